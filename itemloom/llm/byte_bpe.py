@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -116,14 +117,15 @@ class _Codec:
         return b"".join(map(self.pieces.__getitem__, ids.tolist()))
 
 
-_codecs: dict[int, _Codec] = {}
+_codecs: dict[str, _Codec] = {}
 
 
 def _codec(shared) -> _Codec:
-    if shared.id not in _codecs:
+    name, *parts = shared.value
+    if name not in _codecs:
         _codecs.clear()
-        _codecs[shared.id] = _Codec(*shared.value)
-    return _codecs[shared.id]
+        _codecs[name] = _Codec(*parts)
+    return _codecs[name]
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -148,7 +150,7 @@ class ByteBpe:
         return cls(read_ranks(path), pattern)
 
     def _shared(self, df: DataFrame):
-        return df.sparkSession.sparkContext.broadcast((sentencepiece_model(self.pieces), self.pieces, self.pattern))
+        return df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, sentencepiece_model(self.pieces), self.pieces, self.pattern))
 
     def encode(self, df: DataFrame, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
         """(key, token_ids array<int>), and with ``decoded`` also the bytes that

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemloom.llm import byte_bpe, plane_files
+from itemloom.llm import byte_bpe, neighbour_quality, plane_files, toxicity
 from itemloom.llm.shared import scratch_path
 
 
@@ -15,6 +15,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _folded(folds: int):
+    return F.crc32(F.col("doc_id").cast("string")) % folds
+
+
+def _scored(scores: DataFrame, held_out, threshold: float) -> DataFrame:
+    return scores.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def op1_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; labels of fold 2 of 4 are held out."""
+    documents, held_out = _table(spark, sf_dir, "documents"), _folded(4) == 2
+    voters = neighbour_quality.fit(documents, _table(spark, sf_dir, "labels"), usable=~held_out)
+    return _scored(neighbour_quality.score(documents, voters), held_out, 0.7)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of fold 0 of 5 are held out."""
+    documents, held_out = _table(spark, sf_dir, "documents"), _folded(5) == 0
+    machine = toxicity.fit(documents, _table(spark, sf_dir, "labels"), usable=~held_out)
+    return _scored(toxicity.score(documents, machine), held_out, 0.5)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and what they decode to, as digests."""
     import public_tokenizers
@@ -33,8 +55,10 @@ def op5_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_neighbour_quality": op1_neighbour_quality,
     "op2_byte_bpe": op2_byte_bpe,
     "op5_plane_files": op5_plane_files,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -51,3 +52,20 @@ def slices(batches: Iterator[pa.RecordBatch], weigh: str, most: int = 16_000_000
     for batch in batches:
         rows = max(1, int(batch.num_rows * most / max(most, batch.column(weigh).nbytes)))
         yield from (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, usable: Column, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, body, label double) of at most ``most`` labelled keys that are ``usable``.
+
+    Keys are taken in the order of a hash, so the same rows come at each run;
+    of several labels of a key the largest counts.
+    """
+    picked = (
+        labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & usable)
+        .groupBy(key)
+        .agg(F.max(label).cast("double").alias("label"))
+        .orderBy(F.xxhash64(key), key)
+        .limit(most)
+    )
+    # At most ``most`` rows of two numbers.
+    return documents.select(key, F.coalesce(F.col(text), F.lit("")).alias("body")).join(F.broadcast(picked), key)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemloom.llm import byte_bpe, neighbour_quality, plane_files, toxicity
+from itemloom.llm import byte_bpe, decontamination, neighbour_quality, plane_files, toxicity
 from itemloom.llm.shared import scratch_path
 
 
@@ -54,11 +54,22 @@ def op5_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plane_files.read_ids(spark, folder).select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside windows of benchmark items."""
+    hits = decontamination.find_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontamination.report(hits).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbour_quality": op1_neighbour_quality,
     "op2_byte_bpe": op2_byte_bpe,
     "op5_plane_files": op5_plane_files,
+    "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_decontamination": decontamination.ORACLE_SQL,
+}

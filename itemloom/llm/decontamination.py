@@ -52,7 +52,7 @@ def _fingerprinted(df: DataFrame, short: list[int]) -> DataFrame:
 
     places = F.when(F.col("grams").isNull(), F.array().cast("array<int>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("n_words") - SPAN + 1), least)))
     for length in short:
-        every = F.transform(F.sequence(F.lit(0), F.col("n_words") - length), lambda i, own=length: i * 16 + own)
+        every = F.sequence(F.lit(length), (F.col("n_words") - length) * 16 + length, F.lit(16))
         places = F.concat(places, F.when(F.col("n_words") >= length, every).otherwise(F.array().cast("array<int>")))
     return df.select("*", places.alias("places"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemloom.llm import byte_bpe, decontamination, neighbour_quality, plane_files, toxicity
+from itemloom.llm import byte_bpe, decontamination, neighbour_quality, personal_data, plane_files, toxicity
 from itemloom.llm.shared import scratch_path
 
 
@@ -62,12 +62,20 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    found = personal_data.find(_table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", personal_data.of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(personal_data.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(personal_data.written("base"), 256).alias("base_sha256"), personal_data.written("spans").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbour_quality": op1_neighbour_quality,
     "op2_byte_bpe": op2_byte_bpe,
     "op5_plane_files": op5_plane_files,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
+    "op10_personal_data": op10_personal_data,
 }
 
 ORACLE_SQL: dict[str, str] = {

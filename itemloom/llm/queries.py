@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemloom.llm import byte_bpe, decontamination, neighbour_quality, personal_data, plane_files, toxicity
+from itemloom.llm import byte_bpe, decontamination, neighbour_quality, part_enum, personal_data, plane_files, toxicity
 from itemloom.llm.shared import scratch_path
 
 
@@ -54,6 +54,12 @@ def op5_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plane_files.read_ids(spark, folder).select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_part_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingles have a Jaccard similarity of 0.85."""
+    found = part_enum.similar(_table(spark, sf_dir, "documents"), size=4, share=85, of=100)
+    return found.withColumnRenamed("component", "component_id")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside windows of benchmark items."""
     hits = decontamination.find_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbour_quality": op1_neighbour_quality,
     "op2_byte_bpe": op2_byte_bpe,
     "op5_plane_files": op5_plane_files,
+    "op7_part_enum": op7_part_enum,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_personal_data": op10_personal_data,

@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemloom.llm.components import components
-from itemloom.llm.shared import settle, shuffle_width, slices
+from itemloom.llm.set_match import matched
+from itemloom.llm.shared import keep_shared, settle, slices
 
 #: Rounds in which a signature's documents are compared with one of them.
 ROUNDS = 2
@@ -146,49 +147,6 @@ def _sets(documents: DataFrame, key: str, text: str, size: int, share: int, of:
     return source.mapInArrow(run, "key long, n long, digest binary, signs array<long>")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Of (sign, key), the rows whose sign another row has; and of each range of
-    rows the first and last sign's, whose others may be in the next range."""
-    ordered = rows.repartitionByRange(shuffle_width(rows.sparkSession), "sign", "key").sortWithinPartitions("sign", "key")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_sign, held_key = np.empty(0, np.int64), np.empty(0, np.int64)
-        begun, joined = False, False
-        for batch in batches:
-            sign = np.concatenate([held_sign, batch.column("sign").to_numpy()])
-            key = np.concatenate([held_key, batch.column("key").to_numpy()])
-            if not len(sign):
-                continue
-            same = sign[1:] == sign[:-1]
-            keep = np.concatenate([[joined], same]) | np.concatenate([same, [False]])
-            if not begun:
-                keep[0], begun = True, True
-            joined = bool(keep[-1]) if len(sign) == 1 else bool(same[-1])
-            held_sign, held_key = sign[-1:], key[-1:]
-            yield pa.RecordBatch.from_pydict({"sign": sign[:-1][keep[:-1]], "key": key[:-1][keep[:-1]]})
-        yield pa.RecordBatch.from_pydict({"sign": held_sign, "key": held_key})
-
-    return ordered.mapInArrow(run, "sign long, key long")
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, share: int, of: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    left, right = sets.select(F.col("key").alias("a"), F.col("items").alias("mine")), sets.select(F.col("key").alias("b"), F.col("items").alias("theirs"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "mine", "theirs")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(iter([whole]), "mine", 8_000_000):
-                good = []
-                for mine, theirs in zip(batch.column("mine"), batch.column("theirs"), strict=True):
-                    x, y = mine.values.to_numpy(), theirs.values.to_numpy()
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(of * common >= share * (len(x) + len(y) - common))
-                yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(pa.array(good, pa.bool_())) for c in ("a", "b")})
-
-    return rows.mapInArrow(run, "a long, b long")
-
-
 def similar(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, share: int = 80, of: int = 100) -> DataFrame:
     """(key, n_shingles, component): documents link when their shingle sets'
     Jaccard similarity is at least ``share / of``; a component is named by its
@@ -197,7 +155,7 @@ def similar(documents: DataFrame, key: str = "doc_id", text: str = "text", size:
     classes = found.where("digest IS NOT NULL").groupBy("digest").agg(F.min("key").alias("node"))
     members = settle(found.select("key", "n", "digest").join(classes, "digest", "left").select("key", "n", F.coalesce("node", "key").alias("node")), "members")
 
-    together = _shared(found.where("n > 0").select(F.explode("signs").alias("sign"), "key"))
+    together = keep_shared(found.where("n > 0").select(F.explode("signs").alias("sign"), "key"))
     sizes = members.where("n > 0").select("key", "n", "node").distinct()
     groups = settle(together.join(sizes, "key").select("sign", "node", "n").distinct(), "groups")
     # Of these, documents that share a sign with another class.
@@ -234,7 +192,7 @@ def similar(documents: DataFrame, key: str = "doc_id", text: str = "text", size:
             if step < ROUNDS and not groups.isEmpty():
                 continue
             break
-        fresh = settle(_linked(pairs, sets, share, of), "verified")
+        fresh = settle(matched(pairs, sets, share, of), "verified")
         links = fresh if links is None else links.unionByName(fresh)
         named = settle(components(links), "components")
 

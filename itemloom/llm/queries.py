@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemloom.llm import byte_bpe, decontamination, neighbour_quality, part_enum, personal_data, plane_files, toxicity
+from itemloom.llm import byte_bpe, decontamination, line_dedup, neighbour_quality, part_enum, personal_data, plane_files, toxicity
 from itemloom.llm.shared import scratch_path
 
 
@@ -45,6 +45,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), decoded=True))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, those that match an earlier one, and what stays."""
+    found = line_dedup.deduplicate(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op5_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place and checksum as read back from the written files."""
     import public_tokenizers
@@ -78,6 +84,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbour_quality": op1_neighbour_quality,
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_line_dedup": op4_line_dedup,
     "op5_plane_files": op5_plane_files,
     "op7_part_enum": op7_part_enum,
     "op8_decontamination": op8_decontamination,

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,3 +70,39 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, usable:
     )
     # At most ``most`` rows of two numbers.
     return documents.select(key, F.coalesce(F.col(text), F.lit("")).alias("body")).join(F.broadcast(picked), key)
+
+
+def keep_shared(rows: DataFrame, *more: str) -> DataFrame:
+    """Of (sign, key, ``more``: whole numbers), the rows whose sign another key has.
+
+    Rows are sorted over ranges of (sign, key), so a sign with any number of
+    rows is spread over tasks like the others. A range can't see its
+    neighbours: the rows of its first and last sign stay too, and whoever
+    groups the result by sign finds them alone.
+    """
+    names = ("sign", "key", *more)
+    ordered = rows.select(*(F.col(c).cast("long").alias(c) for c in names)).repartitionByRange(shuffle_width(rows.sparkSession), "sign", "key").sortWithinPartitions("sign", "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64) for _ in names]
+        begun, joined = False, False
+        for batch in batches:
+            columns = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, names, strict=True)]
+            sign, key = columns[:2]
+            again = np.zeros(len(sign), bool)
+            again[1:] = (sign[1:] == sign[:-1]) & (key[1:] == key[:-1])
+            columns = [c[~again] for c in columns]
+            sign = columns[0]
+            if not len(sign):
+                continue
+            same = sign[1:] == sign[:-1]
+            keep = np.zeros(len(sign), bool)
+            keep[1:] |= same
+            keep[:-1] |= same
+            keep[0] |= joined or not begun
+            joined, begun = (bool(same[-1]) if len(same) else joined), True
+            held = [c[-1:] for c in columns]
+            yield pa.RecordBatch.from_pydict({c: x[:-1][keep[:-1]] for c, x in zip(names, columns, strict=True)})
+        yield pa.RecordBatch.from_pydict(dict(zip(names, held, strict=True)))
+
+    return ordered.mapInArrow(run, ", ".join(f"{c} long" for c in names))

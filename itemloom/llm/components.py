@@ -1,12 +1,17 @@
-"""Connected components of a link table, by alternating stars."""
+"""Connected components of a link table, and of groups of candidates."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemloom.llm.shared import settle
 
+#: Rounds in which a group's nodes are compared with one of them.
+ROUNDS = 2
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that the links (a, b) reach.
@@ -30,3 +35,38 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v")
         edges = settle(small.unionByName(least.select("u", F.col("low").alias("v"))).distinct(), "links")
+
+
+def connect(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[Column, Column], Column]) -> DataFrame:
+    """(node, component) of the links among nodes that share a group.
+
+    ``groups`` has (sign, node, n: the node's size); ``verify`` keeps those pairs
+    (a, b) that are linked; ``fits`` says whether two sizes allow it. Only pairs
+    of a group's first node with the others are verified, and only while they
+    lie in different components: a group of copies costs as many comparisons as
+    it has members. After ``ROUNDS`` first nodes, pairs of a group whose
+    components still differ are verified one by one, so no link that connects
+    is lost.
+    """
+    links = None
+    named = groups.select("node", F.col("node").alias("component")).limit(0)
+    for step in range(ROUNDS + 1):
+        placed = groups.withColumn("component", F.col("node"))
+        if links is not None:
+            placed = groups.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        first = placed.groupBy("sign").agg(F.min(F.struct("node", "n", "component")).alias("first"), F.min("component").alias("low"), F.max("component").alias("top")).where("low < top")
+        first = first.select("sign", F.col("first.node").alias("a"), F.col("first.n").alias("a_n"), F.col("first.component").alias("a_component"))
+        placed = placed.join(first, "sign")
+        if step == ROUNDS:
+            other = placed.select("sign", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_component"))
+            placed = placed.drop("a", "a_n", "a_component").join(other, "sign").where("a < node")
+        pairs = placed.where("a <> node AND a_component <> component").where(fits(F.col("a_n"), F.col("n")))
+        pairs = settle(pairs.select("a", F.col("node").alias("b")).distinct(), "pairs")
+        if step < ROUNDS:
+            # A first node has now met all others of its group.
+            groups = settle(placed.where("node <> a").select("sign", "node", "n"), "groups")
+        if not pairs.isEmpty():
+            fresh = settle(verify(pairs), "verified")
+            links = fresh if links is None else links.unionByName(fresh)
+            named = settle(components(links), "components")
+    return named

@@ -32,12 +32,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemloom.llm.components import components
+from itemloom.llm.components import connect
 from itemloom.llm.set_match import matched
 from itemloom.llm.shared import keep_shared, settle, slices
 
-#: Rounds in which a signature's documents are compared with one of them.
-ROUNDS = 2
 #: Up to so many differences, pairs of parts are signed.
 FEW = 7
 
@@ -172,30 +170,5 @@ def similar(documents: DataFrame, key: str = "doc_id", text: str = "text", size:
 
     sets = settle(source.mapInArrow(run, "key long, items array<long>"), "items")
 
-    links = named = None
-    for step in range(ROUNDS + 1):
-        if named is not None:
-            placed = groups.join(named.withColumnRenamed("node", "n_node"), F.col("node") == F.col("n_node"), "left").drop("n_node").withColumn("component", F.coalesce("component", "node"))
-        else:
-            placed = groups.withColumn("component", F.col("node"))
-        first = placed.groupBy("sign").agg(F.min_by(F.struct("node", "n", "component"), "node").alias("first"), F.min("component").alias("low"), F.max("component").alias("top")).where("low < top")
-        placed = placed.join(first.select("sign", F.col("first.node").alias("a"), F.col("first.n").alias("a_n"), F.col("first.component").alias("a_component")), "sign")
-        if step == ROUNDS:
-            other = placed.select("sign", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_component"))
-            placed = placed.drop("a", "a_n", "a_component").join(other, "sign").where("a < node")
-        pairs = placed.where("a <> node AND a_component <> component").where(of * F.least("a_n", "n") >= share * F.greatest("a_n", "n"))
-        pairs = settle(pairs.select("a", F.col("node").alias("b")).distinct(), "pairs")
-        if step < ROUNDS:
-            # A first document has now met all others of its signature.
-            groups = settle(placed.where("node <> a").select("sign", "node", "n"), "groups")
-        if pairs.isEmpty():
-            if step < ROUNDS and not groups.isEmpty():
-                continue
-            break
-        fresh = settle(matched(pairs, sets, share, of), "verified")
-        links = fresh if links is None else links.unionByName(fresh)
-        named = settle(components(links), "components")
-
-    if named is None:
-        named = members.select("node", F.col("node").alias("component")).limit(0)
+    named = connect(groups, lambda pairs: matched(pairs, sets, share, of), lambda a, b: of * F.least(a, b) >= share * F.greatest(a, b))
     return members.join(named, "node", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemloom.llm import byte_bpe, decontamination, line_dedup, neighbour_quality, part_enum, personal_data, plane_files, toxicity
+from itemloom.llm import byte_bpe, decontamination, edit_embedding, line_dedup, neighbour_quality, part_enum, personal_data, plane_files, toxicity
 from itemloom.llm.shared import scratch_path
 
 
@@ -45,6 +45,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), decoded=True))
 
 
+def op3_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its half-replaced text."""
+    return edit_embedding.compare_edits(_table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document, those that match an earlier one, and what stays."""
     found = line_dedup.deduplicate(_table(spark, sf_dir, "documents"))
@@ -84,6 +89,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbour_quality": op1_neighbour_quality,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_edit_embedding": op3_edit_embedding,
     "op4_line_dedup": op4_line_dedup,
     "op5_plane_files": op5_plane_files,
     "op7_part_enum": op7_part_enum,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemloom.llm import byte_bpe, decontamination, edit_embedding, line_dedup, neighbour_quality, part_enum, personal_data, plane_files, toxicity
+from itemloom.llm import byte_bpe, decontamination, edit_embedding, line_dedup, neighbour_quality, part_enum, personal_data, plane_files, toxicity, window_index
 from itemloom.llm.shared import scratch_path
 
 
@@ -65,6 +65,12 @@ def op5_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plane_files.read_ids(spark, folder).select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_window_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document outside windows that occur earlier."""
+    found = window_index.deduplicate(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_part_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingles have a Jaccard similarity of 0.85."""
     found = part_enum.similar(_table(spark, sf_dir, "documents"), size=4, share=85, of=100)
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_edit_embedding": op3_edit_embedding,
     "op4_line_dedup": op4_line_dedup,
     "op5_plane_files": op5_plane_files,
+    "op6_window_index": op6_window_index,
     "op7_part_enum": op7_part_enum,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -120,9 +120,10 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", usable: C
     return train(terms, [np.searchsorted(terms, np.array(x, np.int64)) for x in chosen.terms], chosen.label.to_numpy())
 
 
-def score(documents: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score double): how likely the text is toxic."""
-    source = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+def score(documents: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text", more: Sequence[str] = ()) -> DataFrame:
+    """(key, score double): how likely the text is toxic; the columns ``more``
+    pass through."""
+    source = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"), *(F.col(c).alias(f"more_{i}") for i, c in enumerate(more)))
     shared = documents.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +144,7 @@ def score(documents: DataFrame, machine: Machine, key: str = "doc_id", text: str
                 features += own_features
                 ends.append(len(features))
             scores = _sigmoid(own.logits(np.array(features, np.int64), np.array(ends, np.int64)))
-            yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "score": pa.array(scores)})
+            yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "score": pa.array(scores)} | {f"more_{i}": batch.column(f"more_{i}") for i in range(len(more))})
 
-    schema = T.StructType([T.StructField("key", source.schema["key"].dataType), T.StructField("score", T.DoubleType())])
-    return source.mapInArrow(run, schema).withColumnRenamed("key", key)
+    schema = T.StructType([source.schema["key"], T.StructField("score", T.DoubleType()), *(source.schema[f"more_{i}"] for i in range(len(more)))])
+    return source.mapInArrow(run, schema).withColumnsRenamed({"key": key} | {f"more_{i}": c for i, c in enumerate(more)})

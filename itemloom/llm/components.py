@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemloom.llm.shared import settle
+from itemloom.llm.shared import discard, settle
 
 #: Rounds in which a group's nodes are compared with one of them.
 ROUNDS = 2
@@ -34,7 +34,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v")
-        edges = settle(small.unionByName(least.select("u", F.col("low").alias("v"))).distinct(), "links")
+        last, edges = edges, settle(small.unionByName(least.select("u", F.col("low").alias("v"))).distinct(), "links")
+        discard(last)
 
 
 def connect(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[Column, Column], Column]) -> DataFrame:
@@ -64,9 +65,14 @@ def connect(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: C
         pairs = settle(pairs.select("a", F.col("node").alias("b")).distinct(), "pairs")
         if step < ROUNDS:
             # A first node has now met all others of its group.
-            groups = settle(placed.where("node <> a").select("sign", "node", "n"), "groups")
+            rest = settle(placed.where("node <> a").select("sign", "node", "n"), "groups")
+            if step:
+                discard(groups)
+            groups = rest
         if not pairs.isEmpty():
             fresh = settle(verify(pairs), "verified")
             links = fresh if links is None else links.unionByName(fresh)
-            named = settle(components(links), "components")
+            last, named = named, settle(components(links), "components")
+            discard(last)
+        discard(pairs)
     return named

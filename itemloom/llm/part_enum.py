@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from itemloom.llm.components import connect
 from itemloom.llm.set_match import matched
-from itemloom.llm.shared import keep_shared, settle, slices
+from itemloom.llm.shared import discard, keep_shared, settle, slices
 
 #: Up to so many differences, pairs of parts are signed.
 FEW = 7
@@ -155,10 +155,12 @@ def similar(documents: DataFrame, key: str = "doc_id", text: str = "text", size:
 
     together = keep_shared(found.where("n > 0").select(F.explode("signs").alias("sign"), "key"))
     sizes = members.where("n > 0").select("key", "n", "node").distinct()
-    groups = settle(together.join(sizes, "key").select("sign", "node", "n").distinct(), "groups")
+    rough = settle(together.join(sizes, "key").select("sign", "node", "n").distinct(), "groups")
+    discard(found)
     # Of these, documents that share a sign with another class.
-    counted = groups.groupBy("sign").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low < top").drop("top")
-    groups = settle(groups.join(counted.drop("low"), "sign"), "groups")
+    several = rough.groupBy("sign").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low < top").select("sign")
+    groups = settle(rough.join(several, "sign"), "groups")
+    discard(rough)
 
     wanted = groups.select(F.col("node").alias("key")).distinct()
     source = documents.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body")).join(wanted, "key")
@@ -171,4 +173,5 @@ def similar(documents: DataFrame, key: str = "doc_id", text: str = "text", size:
     sets = settle(source.mapInArrow(run, "key long, items array<long>"), "items")
 
     named = connect(groups, lambda pairs: matched(pairs, sets, share, of), lambda a, b: of * F.least(a, b) >= share * F.greatest(a, b))
+    discard(groups, sets)
     return members.join(named, "node", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +34,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/itemloom/{name}-{uuid.uuid4().hex}"
 
 
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a shared scratch table and read it back.
 
     Cuts the lineage, so that work above it isn't repeated and survives lost
     executors.
     """
-    path = scratch_path(df.sparkSession, name)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # Spark deletes a job's shuffle files once the driver has dropped the job.
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete scratch tables that nothing will read any more."""
+    for table in tables:
+        if table is not None and (path := _places.pop(table, None)):
+            jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:

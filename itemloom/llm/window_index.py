@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemloom.llm.part_enum import mixed
-from itemloom.llm.shared import keep_shared, scratch_path, settle, shuffle_width, slices
+from itemloom.llm.shared import discard, keep_shared, scratch_path, settle, shuffle_width, slices
 
 SPAN = 20
 #: Words of an anchor gram.
@@ -117,7 +117,7 @@ def _windows(rows: DataFrame) -> DataFrame:
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """(key, place) of the rows of new documents that another row of the same
+    """(key, places) of the rows of new documents that another row of the same
     window precedes, by age and key.
 
     Rows are sorted over ranges, so a window that very many documents hold is
@@ -155,7 +155,10 @@ def _repeated(rows: DataFrame) -> DataFrame:
     found = settle(ordered.mapInArrow(run, "key long, place long, kind int, part int, sign long, check long, age int"), "repeated")
     ends = found.where("kind = 2").select("sign", "check", F.col("part").alias("before"))
     first = found.where("kind = 1 AND age > 0").join(F.broadcast(ends), ["sign", "check"]).where("before < part").select("key", "place").distinct()
-    return found.where("kind = 0").select("key", "place").unionByName(first)
+    places = found.where("kind = 0").select("key", "place").unionByName(first).groupBy("key").agg(F.collect_list("place").alias("places"))
+    out = settle(places, "places")
+    discard(found)
+    return out
 
 
 def _kept(rows: DataFrame) -> DataFrame:
@@ -213,22 +216,24 @@ class WindowIndex:
         """(key, n_words, n_removed, kept) of a new batch, which is indexed unless
         it is the ``last`` one."""
         source = _source(documents, key, text)
-        fresh = settle(_anchors(source), "anchors").select(F.explode("anchors").alias("sign"), "key")
+        anchors = settle(_anchors(source), "anchors")
+        fresh = anchors.select(F.explode("anchors").alias("sign"), "key")
         together = fresh.withColumn("age", F.lit(1))
         signs = fresh.select("sign").distinct() if self.runs else None
         for path in self.runs:
             together = together.unionByName(self._run(path).hint("merge").join(signs, "sign", "left_semi").withColumn("age", F.lit(0)))
-        shared = settle(keep_shared(together, "age"), "shared").groupBy("key", "age").agg(F.collect_list("sign").alias("anchors"))
+        kept = settle(keep_shared(together, "age"), "shared")
+        shared = kept.groupBy("key", "age").agg(F.collect_list("sign").alias("anchors"))
         texts = source.withColumn("age", F.lit(1))
         for older in self.log:
             texts = texts.unionByName(older.withColumn("age", F.lit(0)))
-        repeated = _repeated(_windows(texts.join(shared, ["key", "age"])))
-        places = repeated.groupBy("key").agg(F.collect_list("place").alias("places"))
+        places = _repeated(_windows(texts.join(shared, ["key", "age"])))
         if not last:
             self._append(fresh)
             self.log.append(source)
             if len(self.runs) >= FANOUT:
                 self.compact()
+        discard(anchors, kept)
         return _kept(source.join(places, "key", "left"))
 
 

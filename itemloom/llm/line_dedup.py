@@ -3,22 +3,25 @@
 A line is the set of its words (A-Z lowered, split at ASCII white space). Words
 are ordered by rarity, from counts over all documents in a table of fixed size;
 any order is right, a good one keeps candidates few. Lines that are similar
-enough share one of their first words, or, if short, two of them; rows of these
-signs are brought together, pruned by the lines' lengths and the words'
-positions, and verified. A line goes if it matches one that begins earlier
-(smaller key, or same key and smaller line number), whatever becomes of that one.
+enough share one of their first words, or, if short, two of them. Rows of these
+signs are sorted over ranges, and a sign's lines are compared: lengths, the
+words' positions and 64 parity bits of the sets leave few pairs, which are then
+verified on the sets. A line goes if it matches one that begins earlier (smaller
+key, or same key and smaller line number), whatever becomes of that one.
+
+Where a sign has more than ``RUN`` lines, these are signed again by pairs of one
+word more, which must agree, too, in similar lines. Where a pair of words still
+has as many, its lines are compared with their first ones, and only lines that
+this doesn't remove meet all before them.
 
 Equal sets are one class, named by a 64-bit hash; of a class only the first line
-can stay. A sign's lines are compared with its first one, then with its second,
-and only what no comparison has removed meets all others before it. Lines
-without words stay. Rows with the same key are one document; null counts as
-empty. Lines of any length stay whole.
+can stay. Lines without words stay. Rows with the same key are one document;
+null counts as empty. Lines of any length stay whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from itemloom.llm.part_enum import mixed
 from itemloom.llm.set_match import matched
-from itemloom.llm.shared import keep_shared, settle, slices
+from itemloom.llm.shared import discard, settle, shuffle_width, slices
 
 #: Rounds in which a sign's lines are compared with one of them.
 ROUNDS = 2
@@ -36,6 +39,10 @@ ROUNDS = 2
 CELLS = 1 << 20
 #: Lines of up to so many words are found by two words.
 SHORT = 12
+#: The most rows of a sign that are compared with each other.
+RUN = 64
+#: The place of signs that are pairs of words.
+NOWHERE = (1 << 32) - 1
 
 
 def least_common(n, share: int, of: int):
@@ -82,22 +89,23 @@ class _Lines:
             sums[full] = np.add.reduceat(mixed(self.hashes), self.starts[full])
         return mixed(sums + self.sizes.astype(np.uint64))
 
-    def signs(self, share: int, of: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(line, sign, place) of all signs; a pair of words has no place."""
-        n, least = self.sizes, least_common(self.sizes, share, of)
-        alone = n * of // share == n
-        single = np.where((n > SHORT) & ~(alone & (least == n)), n - least + 1, 0)
-        place = np.arange(len(self.hashes)) - self.starts[self.line]
-        some = np.flatnonzero(place < single[self.line])
-        lines, signs, places = [self.line[some]], [mixed(self.hashes[some])], [place[some]]
-        double = np.where((n <= SHORT * of // share) & (n > 1) & ~(alone & (least == n)), n - least + 2, 0)
-        for first, second in combinations(range(int(double.max(initial=0))), 2):
-            some = np.flatnonzero((double > second) & (n > second))
-            lines.append(some)
-            one, two = self.hashes[self.starts[some] + first], self.hashes[self.starts[some] + second]
-            signs.append(mixed(mixed(np.minimum(one, two)) + np.maximum(one, two)))
-            places.append(np.full(len(some), -1))
-        return np.concatenate(lines), np.concatenate(signs), np.concatenate(places)
+    def parities(self) -> np.ndarray:
+        """64 bits per line, of which each word flips one: two lines differ in as
+        many words, at least, as their bits do."""
+        out = np.zeros(self.n, np.uint64)
+        full = np.flatnonzero(self.sizes)
+        if len(full):
+            out[full] = np.bitwise_xor.reduceat(np.uint64(1) << (self.hashes & np.uint64(63)), self.starts[full])
+        return out
+
+    def prefixes(self, share: int, of: int) -> tuple[np.ndarray, np.ndarray]:
+        """(line, word) of the rarest words: of two matches' one word fewer shares
+        one, and all share two. Lines that only equal ones match have none."""
+        n = self.sizes
+        least = least_common(n, share, of)
+        length = np.where((n * of // share == n) & (least == n), 0, np.minimum(n, n - least + 2))
+        some = np.flatnonzero(np.arange(len(self.hashes)) - self.starts[self.line] < length[self.line])
+        return self.line[some], mixed(self.hashes[some])
 
 
 def _source(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -124,25 +132,116 @@ def _rarity(source: DataFrame) -> np.ndarray:
     return out
 
 
-def _signed(source: DataFrame, rarity: np.ndarray, share: int, of: int) -> DataFrame:
-    """(key, line, class, n, signs, places) of every line with words."""
+def _classes(source: DataFrame, rarity: np.ndarray, share: int, of: int) -> DataFrame:
+    """(class, first: key and line, n, parity, prefix) of the distinct lines."""
     shared = source.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "body", 2_000_000):
             own = _Lines(batch.column("body").to_pylist())
             own.order(shared.value)
-            line, sign, place = own.signs(share, of)
-            at = np.argsort(line, kind="stable")
+            line, word = own.prefixes(share, of)
             ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(line, minlength=own.n))]).astype(np.int32))
             first = np.cumsum(own.per_text) - own.per_text
             rows = pa.RecordBatch.from_pydict({
                 "key": np.repeat(batch.column("key").to_numpy(), own.per_text), "line": np.arange(own.n) - np.repeat(first, own.per_text), "class": own.classes().view(np.int64), "n": own.sizes,
-                "signs": pa.ListArray.from_arrays(ends, sign[at].view(np.int64)), "places": pa.ListArray.from_arrays(ends, place[at].astype(np.int32)),
+                "parity": own.parities().view(np.int64), "prefix": pa.ListArray.from_arrays(ends, word.view(np.int64)),
             })
             yield rows.filter(pa.array(own.sizes > 0))
 
-    return source.mapInArrow(run, "key long, line long, class long, n long, signs array<long>, places array<int>")
+    lines = source.mapInArrow(run, "key long, line long, class long, n long, parity long, prefix array<long>")
+    return lines.groupBy("class").agg(F.min(F.struct("key", "line")).alias("first"), *(F.first(c).alias(c) for c in ("n", "parity", "prefix")))
+
+
+def _signed(classes: DataFrame, finer: bool, share: int, of: int) -> DataFrame:
+    """(sign, info: size and the word's place, class, parity): single words of long
+    lines and pairs of short ones, or if ``finer`` pairs of all; pairs have no place."""
+    limit = 0 if finer else SHORT
+    reach = 1 << 40 if finer else SHORT * of // share
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "prefix", 1_000_000):
+            n, length = batch.column("n").to_numpy(), np.diff(batch.column("prefix").offsets.to_numpy())
+            words = batch.column("prefix").flatten().to_numpy().view(np.uint64)
+            starts = np.cumsum(length) - length
+            row = np.repeat(np.arange(len(n)), length)
+            place = np.arange(len(words)) - starts[row]
+            single = np.flatnonzero((n[row] > limit) & (place < length[row] - 1)) if not finer else np.empty(0, np.int64)
+            rows, signs, places = [row[single]], [words[single]], [place[single]]
+            paired = np.where(n <= reach, length, 0)
+            for second in range(1, int(paired.max(initial=0))):
+                some = np.flatnonzero(paired > second)
+                for first in range(second):
+                    one, two = words[starts[some] + first], words[starts[some] + second]
+                    rows.append(some)
+                    signs.append(mixed(mixed(np.minimum(one, two)) + np.maximum(one, two)))
+                    places.append(np.full(len(some), NOWHERE))
+            row = np.concatenate(rows)
+            yield pa.RecordBatch.from_pydict({
+                "sign": np.concatenate(signs).view(np.int64), "info": (n[row] << 32) | np.concatenate(places),
+                "class": batch.column("class").to_numpy()[row], "parity": batch.column("parity").to_numpy()[row],
+            })
+
+    return classes.select("class", "n", "parity", "prefix").mapInArrow(run, "sign long, info long, class long, parity long")
+
+
+def _paired(columns: list[np.ndarray], share: int, of: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of classes in runs of one sign, sorted by size, that may match."""
+    sign, info, name, parity = columns
+    n, place = info >> 32, info & NOWHERE
+    lows, highs = [], []
+    active = np.flatnonzero(sign[1:] == sign[:-1]) + 1
+    offset = 1
+    while len(active):
+        other = active - offset
+        both = n[active] + n[other]
+        good = of * n[other] >= share * n[active]
+        most = np.minimum(place[active], place[other]) + np.minimum(n[active] - place[active], n[other] - place[other])
+        good &= (place[active] == NOWHERE) | (most * (of + share) >= share * both)
+        good &= np.bitwise_count((parity[active] ^ parity[other]).view(np.uint64)).astype(np.int64) * (of + share) <= (of - share) * both
+        one, two = name[active[good]], name[other[good]]
+        lows.append(np.minimum(one, two))
+        highs.append(np.maximum(one, two))
+        offset += 1
+        active = active[active >= offset]
+        active = active[sign[active] == sign[active - offset]]
+    if not lows:
+        return name[:0], name[:0]
+    pairs = np.unique(np.stack([np.concatenate(lows), np.concatenate(highs)]), axis=1)
+    return pairs[0], pairs[1]
+
+
+def _met(rows: DataFrame, share: int, of: int) -> DataFrame:
+    """(a, b, sign): pairs of classes that may match, and without b the classes of
+    signs with more than ``RUN`` rows or at the ends of a range of rows."""
+    order = ("sign", "info", "class")
+    ordered = rows.repartitionByRange(shuffle_width(rows.sparkSession), *order).sortWithinPartitions(*order)
+
+    def crowded(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"a": columns[2], "b": pa.nulls(len(columns[2]), pa.int64()), "sign": columns[0]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, full = [np.empty(0, np.int64) for _ in range(4)], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("sign", "info", "class", "parity"), strict=True)]
+            sign = columns[0]
+            if full is None:
+                full = sign[0]  # the rows before may lie in another range
+            begins = np.flatnonzero(np.concatenate([[True], sign[1:] != sign[:-1]]))
+            lengths = np.diff(np.append(begins, len(sign)))
+            many = np.repeat((lengths > RUN) | (sign[begins] == full), lengths)
+            last = np.arange(len(sign)) >= begins[-1]
+            if many[-1]:
+                full, last = sign[-1], last & False
+            yield crowded([c[many] for c in columns])
+            low, high = _paired([c[~many & ~last] for c in columns], share, of)
+            yield pa.RecordBatch.from_pydict({"a": low, "b": high, "sign": pa.nulls(len(low), pa.int64())})
+            held = [c[last] for c in columns]
+        yield crowded(held)
+
+    return ordered.mapInArrow(run, "a long, b long, sign long")
 
 
 def _sets(source: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -166,38 +265,40 @@ def _sets(source: DataFrame, wanted: DataFrame) -> DataFrame:
 def kept_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", share: int = 80, of: int = 100) -> DataFrame:
     """(key, lines): the numbers (from 0) of the lines with words that stay."""
     source = _source(documents, key, text)
-    signed = settle(_signed(source, _rarity(source), share, of), "lines")
-    firsts = settle(signed.groupBy("class").agg(F.min(F.struct("key", "line")).alias("first"), F.first("n").alias("n")), "classes")
-
-    rows = signed.select(F.explode(F.arrays_zip("signs", "places")).alias("x"), F.col("class").alias("key"))
-    rows = rows.select(F.col("x.signs").alias("sign"), "key", F.col("x.places").alias("place"))
-    groups = settle(keep_shared(rows, "place").withColumnRenamed("key", "class").distinct(), "signs")
-    several = groups.groupBy("sign").agg(F.min("class").alias("low"), F.max("class").alias("top")).where("low < top").select("sign")
-    groups = settle(groups.join(several, "sign").join(firsts, "class"), "signs")
-    sets = settle(_sets(source, groups.select("class", "first").distinct()), "items")
-
-    gone = None
-    for step in range(ROUNDS + 1):
-        placed = groups.withColumn("gone", F.lit(False))
-        if gone is not None:
-            placed = groups.join(gone.withColumn("gone", F.lit(True)), "class", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
-        lead = placed.groupBy("sign").agg(F.min(F.struct("first", "class", "n", "place")).alias("lead"), F.max(F.when(~F.col("gone"), F.col("first"))).alias("last"))
-        lead = lead.where("last > lead.first").select("sign", F.col("lead.class").alias("a"), F.col("lead.n").alias("a_n"), F.col("lead.place").alias("a_place"), F.col("lead.first").alias("a_first"))
+    classes = settle(_classes(source, _rarity(source), share, of), "lines")
+    coarse = settle(_met(_signed(classes, False, share, of), share, of), "pairs")
+    crowd = coarse.where("b IS NULL").select(F.col("a").alias("class")).distinct()
+    fine = settle(_met(_signed(classes.join(crowd, "class"), True, share, of), share, of), "pairs")
+    pairs = settle(coarse.unionByName(fine).where("b IS NOT NULL").select("a", "b").distinct(), "pairs")
+    firsts = classes.select("class", "first", "n", "parity")
+    crowds = fine.where("b IS NULL").select("sign", F.col("a").alias("class")).distinct()
+    several = crowds.groupBy("sign").agg(F.count("*").alias("rows")).where("rows > 1").select("sign")
+    groups = settle(crowds.join(several, "sign").join(firsts, "class"), "signs")
+    discard(coarse, fine)
+
+    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).unionByName(groups.select("class")).distinct()
+    sets = settle(_sets(source, firsts.join(wanted, "class").select("class", "first")), "items")
+    one, two = (firsts.select(F.col("class").alias(c), F.col("first").alias(f"{c}_first")) for c in ("a", "b"))
+    linked = matched(pairs, sets, share, of).join(one, "a").join(two, "b")
+    gone = settle(linked.select(F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a")).alias("class")).distinct(), "removed")
+    discard(pairs)
+
+    fits = (of * F.least("n", "a_n") >= share * F.greatest("n", "a_n")) & (F.bit_count(F.col("parity").bitwiseXOR(F.col("a_parity"))) * (of + share) <= (of - share) * (F.col("n") + F.col("a_n")))
+    for step in range(0 if groups.isEmpty() else ROUNDS + 1):
+        placed = groups.join(gone.withColumn("gone", F.lit(True)), "class", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+        lead = placed.groupBy("sign").agg(F.min(F.struct("first", "class", "n", "parity")).alias("lead"), F.max(F.when(~F.col("gone"), F.col("first"))).alias("last"))
+        lead = lead.where("last > lead.first").select("sign", *(F.col(f"lead.{c}").alias("a" if c == "class" else f"a_{c}") for c in ("class", "n", "parity", "first")))
         placed = placed.join(lead, "sign")
         if step == ROUNDS:
-            other = placed.select("sign", F.col("class").alias("a"), F.col("n").alias("a_n"), F.col("place").alias("a_place"), F.col("first").alias("a_first"))
-            placed = placed.drop("a", "a_n", "a_place", "a_first").join(other, "sign")
-        # What the lines share lies before both places or from the nearer line's end back to its place.
-        most = F.least("place", "a_place") + F.least(F.col("n") - F.col("place"), F.col("a_n") - F.col("a_place"))
-        fits = (F.col("place") < 0) | (most * (of + share) >= share * (F.col("n") + F.col("a_n")))
-        pairs = placed.where("a_first < first AND NOT gone").where(of * F.least("n", "a_n") >= share * F.greatest("n", "a_n")).where(fits)
-        pairs = settle(pairs.select("a", F.col("class").alias("b")).distinct(), "pairs")
-        if step < ROUNDS:
-            groups = settle(placed.where("class <> a").select("sign", "class", "place", "first", "n"), "signs")
-        if not pairs.isEmpty():
-            fresh = settle(matched(pairs, sets, share, of).select(F.col("b").alias("class")).distinct(), "removed")
-            gone = fresh if gone is None else gone.unionByName(fresh)
-    stay = firsts if gone is None else firsts.join(gone, "class", "left_anti")
+            other = placed.select("sign", F.col("class").alias("a"), *(F.col(c).alias(f"a_{c}") for c in ("n", "parity", "first")))
+            met = placed.drop("a", "a_n", "a_parity", "a_first").where("NOT gone").join(other, "sign").where((F.col("a_first") < F.col("first")) & fits)
+        else:
+            met = placed.where("a_first < first AND NOT gone").where(fits)
+            groups = settle(placed.where("class <> a").select("sign", "class", "first", "n", "parity"), "signs")
+        fresh = settle(matched(met.select("a", F.col("class").alias("b")).distinct(), sets, share, of).select(F.col("b").alias("class")).distinct(), "removed")
+        gone = gone.unionByName(fresh)
+    discard(sets)
+    stay = firsts.join(gone, "class", "left_anti")
     return stay.groupBy("first.key").agg(F.sort_array(F.collect_list("first.line")).alias("lines"))
 
 

@@ -125,6 +125,7 @@ def _repeated(rows: DataFrame) -> DataFrame:
     settled in a table of two rows per range.
     """
     order = ("sign", F.shiftright("info", 32), "age", "key")
+    rows = settle(rows, "windows")  # else finding the ranges would hash the texts once more
     ordered = rows.repartitionByRange(shuffle_width(rows.sparkSession), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +158,7 @@ def _repeated(rows: DataFrame) -> DataFrame:
     first = found.where("kind = 1 AND age > 0").join(F.broadcast(ends), ["sign", "check"]).where("before < part").select("key", "place").distinct()
     places = found.where("kind = 0").select("key", "place").unionByName(first).groupBy("key").agg(F.collect_list("place").alias("places"))
     out = settle(places, "places")
-    discard(found)
+    discard(found, rows)
     return out
 
 

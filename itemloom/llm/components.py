@@ -11,6 +11,8 @@ from itemloom.llm.shared import discard, settle
 
 #: Rounds in which a group's nodes are compared with one of them.
 ROUNDS = 2
+#: Up to so many nodes of a group are compared pair by pair.
+SMALL = 16
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -38,7 +40,7 @@ def components(links: DataFrame) -> DataFrame:
         discard(last)
 
 
-def connect(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[Column, Column], Column]) -> DataFrame:
+def connect(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[Column, Column], Column], sift: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) of the links among nodes that share a group.
 
     ``groups`` has (sign, node, n: the node's size); ``verify`` keeps those pairs
@@ -46,33 +48,62 @@ def connect(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: C
     of a group's first node with the others are verified, and only while they
     lie in different components: a group of copies costs as many comparisons as
     it has members. After ``ROUNDS`` first nodes, pairs of a group whose
-    components still differ are verified one by one, so no link that connects
-    is lost.
+    components still differ are verified one by one if the group is small (or
+    there is no ``sift``). In a larger one all nodes meet a reference, the node
+    with the most links; of (reference, node, n) rows ``sift`` gives all pairs
+    (a, b) that may be linked though the reference doesn't link them. So no link
+    that connects is lost.
     """
     links = None
     named = groups.select("node", F.col("node").alias("component")).limit(0)
-    for step in range(ROUNDS + 1):
-        placed = groups.withColumn("component", F.col("node"))
-        if links is not None:
+
+    def learn(pairs: DataFrame) -> None:
+        nonlocal links, named
+        fresh = settle(verify(pairs), "verified")
+        links = fresh if links is None else links.unionByName(fresh)
+        last, named = named, settle(components(links), "components")
+        discard(last)
+
+    def open_groups() -> DataFrame:
+        """Groups with nodes of several components."""
+        if links is None:
+            placed = groups.withColumn("component", F.col("node"))
+        else:
             placed = groups.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        first = placed.groupBy("sign").agg(F.min(F.struct("node", "n", "component")).alias("first"), F.min("component").alias("low"), F.max("component").alias("top")).where("low < top")
-        first = first.select("sign", F.col("first.node").alias("a"), F.col("first.n").alias("a_n"), F.col("first.component").alias("a_component"))
-        placed = placed.join(first, "sign")
-        if step == ROUNDS:
-            other = placed.select("sign", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_component"))
-            placed = placed.drop("a", "a_n", "a_component").join(other, "sign").where("a < node")
-        pairs = placed.where("a <> node AND a_component <> component").where(fits(F.col("a_n"), F.col("n")))
-        pairs = settle(pairs.select("a", F.col("node").alias("b")).distinct(), "pairs")
-        if step < ROUNDS:
-            # A first node has now met all others of its group.
-            rest = settle(placed.where("node <> a").select("sign", "node", "n"), "groups")
-            if step:
-                discard(groups)
-            groups = rest
+        first = placed.groupBy("sign").agg(F.min(F.struct("node", "n", "component")).alias("first"), F.min("component").alias("low"), F.max("component").alias("top"), F.count("*").alias("members")).where("low < top")
+        first = first.select("sign", "members", F.col("first.node").alias("a"), F.col("first.n").alias("a_n"), F.col("first.component").alias("a_component"))
+        return placed.join(first, "sign")
+
+    for step in range(ROUNDS):
+        placed = open_groups()
+        pairs = settle(placed.where("a <> node AND a_component <> component").where(fits(F.col("a_n"), F.col("n"))).select("a", F.col("node").alias("b")).distinct(), "pairs")
+        # A first node has now met all others of its group.
+        rest = settle(placed.where("node <> a").select("sign", "node", "n"), "groups")
+        if step:
+            discard(groups)
+        groups = rest
         if not pairs.isEmpty():
-            fresh = settle(verify(pairs), "verified")
-            links = fresh if links is None else links.unionByName(fresh)
-            last, named = named, settle(components(links), "components")
-            discard(last)
+            learn(pairs)
         discard(pairs)
+
+    left = settle(open_groups().select("sign", "node", "n", "component", "members"), "groups")
+    small = left if sift is None else left.where(F.col("members") <= SMALL)
+    other = small.select("sign", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_component"))
+    mine = small.select(F.col("sign").alias("own_sign"), "node", "n", "component")
+    met = other.join(mine, (F.col("sign") == F.col("own_sign")) & (F.col("a") < F.col("node")) & (F.col("a_component") != F.col("component")) & fits(F.col("a_n"), F.col("n")))
+    pairs, stars = met.select("a", F.col("node").alias("b")), None
+    large = None if sift is None else left.where(F.col("members") > SMALL)
+    if large is not None and not large.isEmpty():
+        if links is None:
+            ranked = large.withColumn("degree", F.lit(0).cast("long"))
+        else:
+            degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+            ranked = large.join(degrees, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+        chosen = ranked.groupBy("sign").agg(F.max(F.struct("degree", "node")).alias("most")).select("sign", F.col("most.node").alias("reference"))
+        stars = settle(large.join(chosen, "sign").select("reference", "node", "n").distinct(), "stars")
+        pairs = pairs.unionByName(stars.where("reference <> node").select(F.col("reference").alias("a"), F.col("node").alias("b"))).unionByName(sift(stars))
+    pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    if not pairs.isEmpty():
+        learn(pairs)
+    discard(pairs, left, stars)
     return named

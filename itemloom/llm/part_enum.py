@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemloom.llm.components import connect
-from itemloom.llm.set_match import matched
+from itemloom.llm.set_match import matched, sifted
 from itemloom.llm.shared import discard, keep_shared, settle, slices
 
 #: Up to so many differences, pairs of parts are signed.
@@ -172,6 +172,6 @@ def similar(documents: DataFrame, key: str = "doc_id", text: str = "text", size:
 
     sets = settle(source.mapInArrow(run, "key long, items array<long>"), "items")
 
-    named = connect(groups, lambda pairs: matched(pairs, sets, share, of), lambda a, b: of * F.least(a, b) >= share * F.greatest(a, b))
+    named = connect(groups, lambda pairs: matched(pairs, sets, share, of), lambda a, b: of * F.least(a, b) >= share * F.greatest(a, b), lambda stars: sifted(stars, sets, share, of))
     discard(groups, sets)
     return members.join(named, "node", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component"))

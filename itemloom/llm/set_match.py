@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from itemloom.llm.shared import slices
+from itemloom.llm.shared import settle, slices
 
 
 def matched(pairs: DataFrame, sets: DataFrame, share: int, of: int) -> DataFrame:
@@ -29,3 +29,39 @@ def matched(pairs: DataFrame, sets: DataFrame, share: int, of: int) -> DataFrame
                 yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(pa.array(good, pa.bool_())) for c in ("a", "b")})
 
     return rows.mapInArrow(run, "a long, b long")
+
+
+def sifted(stars: DataFrame, sets: DataFrame, share: int, of: int) -> DataFrame:
+    """Pairs (a, b) of nodes with a common reference that may be similar enough
+    though not both are so to it.
+
+    Each node stands for the shingles in which it differs from the reference.
+    Two nodes differ in the sum of their differences less twice the common ones.
+    If the sum alone is small enough, the reference links both. Else they have
+    differences in common, and as many that they share one of their rarest: the
+    fewer differences of the two are looked up by a short prefix, the more by one
+    of about their half. Copies that were edited each in its own way share none.
+    """
+    left = sets.select(F.col("key").alias("reference"), F.col("items").alias("mine"))
+    right = sets.select(F.col("key").alias("node"), F.col("items").alias("theirs"))
+    rows = stars.where("reference <> node").join(left, "reference").join(right, "node").select("reference", "node", "n", "mine", "theirs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(iter([whole]), "mine", 8_000_000):
+                apart = [np.setxor1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True) for x, y in zip(batch.column("mine"), batch.column("theirs"), strict=True)]
+                at = np.repeat(np.arange(batch.num_rows), [len(d) for d in apart])
+                yield pa.RecordBatch.from_pydict({c: batch.column(c).to_numpy()[at] for c in ("reference", "node", "n")} | {"size": np.array([len(d) for d in apart], np.int64)[at], "item": np.concatenate(apart)})
+
+    apart = settle(rows.mapInArrow(run, "reference long, node long, n long, size long, item long"), "apart")
+    common = apart.groupBy("reference", "item").agg(F.count("*").alias("held")).where("held > 1")
+    order = Window.partitionBy("reference", "node").orderBy("held", "item")
+    # Differences of one node alone come first in the order and join with nothing.
+    ranked = apart.join(common, ["reference", "item"]).withColumn("place", F.row_number().over(order) + F.col("size") - F.count("*").over(Window.partitionBy("reference", "node")))
+    allowed = F.floor((of - share) * F.col("n") / share)
+    few = ranked.where(F.col("place") <= F.floor(allowed / 2) + 1).select("reference", "item", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("size").alias("a_size"))
+    more = ranked.where(F.col("place") <= F.floor((F.col("size") + allowed) / 2) + 1).select(F.col("reference").alias("r"), F.col("item").alias("i"), F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("size").alias("b_size"))
+    fits = of * F.least("a_n", "b_n") >= share * F.greatest("a_n", "b_n")
+    # What has few differences for its size is linked by the reference itself.
+    far = F.col("b_size") * (of + share) > (of - share) * F.col("b_n")
+    return few.join(more, (F.col("reference") == F.col("r")) & (F.col("item") == F.col("i")) & (F.struct("a_size", "a") < F.struct("b_size", "b")) & fits & far).select("a", "b").distinct()

@@ -47,6 +47,25 @@ def test_part_enum_finds_all_components(spark, docs, size, share):
     assert found == {i: (len(s), want[i]) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("with_base", [True, False])
+def test_part_enum_in_a_family_of_near_copies(spark, with_base):
+    """Copies with few to many edits of their own, some edited alike, so that
+    similarities lie on both sides of the bound."""
+    r = random.Random(8)
+    base = [f"w{r.randrange(5000)}" for _ in range(150)]
+    rows = [(0, " ".join(base))] if with_base else []
+    for i in range(1, 70):
+        own = list(base)
+        for _ in range(r.choice([1, 1, 2, 3, 4, 5])):
+            own[r.randrange(len(own))] = f"x{i}" if r.random() < 0.7 else f"y{r.randrange(3)}"
+        if r.random() < 0.2:
+            own[40:44] = ["all", "the", "same", "here"]
+        rows.append((i, " ".join(own)))
+    found = {x.doc_id: x.component for x in part_enum.similar(table(spark, rows), size=4, share=85).collect()}
+    assert found == components_of({i: shingles(t, 4) for i, t in rows}, 85)
+    assert 1 < len(set(found.values())) < 69
+
+
 def test_part_enum_signatures_never_miss():
     """Sets of all sizes that differ as much as allowed share a signature."""
     r = random.Random(5)

@@ -25,6 +25,8 @@ SPAN = 10
 GRAM = 6
 WINDOW = SPAN - GRAM + 1
 AROUND = SPAN - GRAM
+#: Low bits of a gram's hash that hold its place while minima are taken.
+PLACE_BITS = 26
 #: Up to so many fingerprints of items are broadcast; more are joined by shuffle.
 BROADCAST = 200_000
 
@@ -43,18 +45,20 @@ def _fingerprinted(df: DataFrame, short: list[int]) -> DataFrame:
     where a fingerprint of the winnowing has length ``SPAN``."""
     df = df.withColumn("words", F.regexp_extract_all(lowered(F.coalesce("body", F.lit(""))), F.lit(WORDS), F.lit(0))).drop("body")
     n = F.size("words")
-    grams = F.when(n >= SPAN, F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.xxhash64(F.slice("words", i, GRAM))))
-    df = df.select("*", n.alias("n_words"), grams.alias("grams"))
-
-    def least(i: Column) -> Column:
-        own = F.slice("grams", i, WINDOW)
-        return (i - 1 + F.array_position(own, F.array_min(own)).cast("int") - 1) * 16 + SPAN
-
-    places = F.when(F.col("grams").isNull(), F.array().cast("array<int>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("n_words") - SPAN + 1), least)))
+    # Arrays are read by place within the lambdas: slices would copy all of them each time.
+    df = df.select("*", n.alias("n_words"), F.when(n >= SPAN, F.transform("words", lambda w: F.xxhash64(w))).alias("hashes"))
+    begins = F.sequence(F.lit(0), F.col("n_words") - GRAM)
+    grams = F.when(F.col("hashes").isNotNull(), F.transform(begins, lambda i: F.xxhash64(*(F.get("hashes", i + j) for j in range(GRAM)))))
+    df = df.select("*", grams.alias("grams")).drop("hashes")
+    df = df.select("*", F.transform("grams", lambda g, i: g.bitwiseAND(F.lit(-1 << PLACE_BITS)).bitwiseOR(i.cast("long"))).alias("marked"))
+    starts = F.sequence(F.lit(0), F.col("n_words") - SPAN)
+    least = F.array_distinct(F.transform(starts, lambda i: F.least(*(F.get("marked", i + j) for j in range(WINDOW)))))
+    chosen = F.transform(least, lambda m: m.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int") * 16 + SPAN)
+    places = F.when(F.col("marked").isNull(), F.array().cast("array<int>")).otherwise(chosen)
     for length in short:
         every = F.sequence(F.lit(length), (F.col("n_words") - length) * 16 + length, F.lit(16))
         places = F.concat(places, F.when(F.col("n_words") >= length, every).otherwise(F.array().cast("array<int>")))
-    return df.select("*", places.alias("places"))
+    return df.select("*", places.alias("places")).drop("marked")
 
 
 def _hash(place: Column, length: Column, short: list[int]) -> Column:

@@ -9,10 +9,10 @@ words' positions and 64 parity bits of the sets leave few pairs, which are then
 verified on the sets. A line goes if it matches one that begins earlier (smaller
 key, or same key and smaller line number), whatever becomes of that one.
 
-Where a sign has more than ``RUN`` lines, these are signed again by pairs of one
-word more, which must agree, too, in similar lines. Where a pair of words still
-has as many, its lines are compared with their first ones, and only lines that
-this doesn't remove meet all before them.
+Where a word has more than ``RUN`` lines, these are signed again by this word
+with each other one of their first words, of which similar lines must share one,
+too. Where a pair of words still has as many, its lines are compared with their
+first ones, and only lines that this doesn't remove meet all before them.
 
 Equal sets are one class, named by a 64-bit hash; of a class only the first line
 can stay. Lines without words stay. Rows with the same key are one document;
@@ -40,7 +40,7 @@ CELLS = 1 << 20
 #: Lines of up to so many words are found by two words.
 SHORT = 12
 #: The most rows of a sign that are compared with each other.
-RUN = 64
+RUN = 256
 #: The place of signs that are pairs of words.
 NOWHERE = (1 << 32) - 1
 
@@ -153,20 +153,19 @@ def _classes(source: DataFrame, rarity: np.ndarray, share: int, of: int) -> Data
     return lines.groupBy("class").agg(F.min(F.struct("key", "line")).alias("first"), *(F.first(c).alias(c) for c in ("n", "parity", "prefix")))
 
 
-def _signed(classes: DataFrame, finer: bool, share: int, of: int) -> DataFrame:
+def _signed(classes: DataFrame, share: int, of: int) -> DataFrame:
     """(sign, info: size and the word's place, class, parity): single words of long
-    lines and pairs of short ones, or if ``finer`` pairs of all; pairs have no place."""
-    limit = 0 if finer else SHORT
-    reach = 1 << 40 if finer else SHORT * of // share
+    lines and pairs of short ones, which have no place."""
+    reach = SHORT * of // share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "prefix", 1_000_000):
+        for batch in slices(batches, "prefix", 2_000_000):
             n, length = batch.column("n").to_numpy(), np.diff(batch.column("prefix").offsets.to_numpy())
             words = batch.column("prefix").flatten().to_numpy().view(np.uint64)
             starts = np.cumsum(length) - length
             row = np.repeat(np.arange(len(n)), length)
             place = np.arange(len(words)) - starts[row]
-            single = np.flatnonzero((n[row] > limit) & (place < length[row] - 1)) if not finer else np.empty(0, np.int64)
+            single = np.flatnonzero((n[row] > SHORT) & (place < length[row] - 1))
             rows, signs, places = [row[single]], [words[single]], [place[single]]
             paired = np.where(n <= reach, length, 0)
             for second in range(1, int(paired.max(initial=0))):
@@ -185,6 +184,13 @@ def _signed(classes: DataFrame, finer: bool, share: int, of: int) -> DataFrame:
     return classes.select("class", "n", "parity", "prefix").mapInArrow(run, "sign long, info long, class long, parity long")
 
 
+def _signed_again(classes: DataFrame, crowd: DataFrame) -> DataFrame:
+    """As ``_signed``, of (class, sign) the word with each other one of the prefix."""
+    both = crowd.join(classes, "class").select("class", "n", "parity", "sign", F.explode("prefix").alias("word")).where("word <> sign")
+    sign = F.xxhash64(F.least("sign", "word"), F.greatest("sign", "word"))
+    return both.select(sign.alias("sign"), F.shiftleft("n", 32).bitwiseOR(F.lit(NOWHERE)).alias("info"), "class", "parity").distinct()
+
+
 def _paired(columns: list[np.ndarray], share: int, of: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of classes in runs of one sign, sorted by size, that may match."""
     sign, info, name, parity = columns
@@ -193,9 +199,11 @@ def _paired(columns: list[np.ndarray], share: int, of: int) -> tuple[np.ndarray,
     active = np.flatnonzero(sign[1:] == sign[:-1]) + 1
     offset = 1
     while len(active):
+        # Sizes only fall from here: a row whose neighbour is too small has met all it can.
+        active = active[of * n[active - offset] >= share * n[active]]
         other = active - offset
         both = n[active] + n[other]
-        good = of * n[other] >= share * n[active]
+        good = name[active] != name[other]
         most = np.minimum(place[active], place[other]) + np.minimum(n[active] - place[active], n[other] - place[other])
         good &= (place[active] == NOWHERE) | (most * (of + share) >= share * both)
         good &= np.bitwise_count((parity[active] ^ parity[other]).view(np.uint64)).astype(np.int64) * (of + share) <= (of - share) * both
@@ -212,13 +220,13 @@ def _paired(columns: list[np.ndarray], share: int, of: int) -> tuple[np.ndarray,
 
 
 def _met(rows: DataFrame, share: int, of: int) -> DataFrame:
-    """(a, b, sign): pairs of classes that may match, and without b the classes of
-    signs with more than ``RUN`` rows or at the ends of a range of rows."""
+    """(a, b, sign, info): pairs of classes that may match, and without b the classes
+    of signs with more than ``RUN`` rows or at the ends of a range of rows."""
     order = ("sign", "info", "class")
     ordered = rows.repartitionByRange(shuffle_width(rows.sparkSession), *order).sortWithinPartitions(*order)
 
     def crowded(columns: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"a": columns[2], "b": pa.nulls(len(columns[2]), pa.int64()), "sign": columns[0]})
+        return pa.RecordBatch.from_pydict({"a": columns[2], "b": pa.nulls(len(columns[2]), pa.int64()), "sign": columns[0], "info": columns[1]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, full = [np.empty(0, np.int64) for _ in range(4)], None
@@ -237,11 +245,11 @@ def _met(rows: DataFrame, share: int, of: int) -> DataFrame:
                 full, last = sign[-1], last & False
             yield crowded([c[many] for c in columns])
             low, high = _paired([c[~many & ~last] for c in columns], share, of)
-            yield pa.RecordBatch.from_pydict({"a": low, "b": high, "sign": pa.nulls(len(low), pa.int64())})
+            yield pa.RecordBatch.from_pydict({"a": low, "b": high, "sign": pa.nulls(len(low), pa.int64()), "info": pa.nulls(len(low), pa.int64())})
             held = [c[last] for c in columns]
         yield crowded(held)
 
-    return ordered.mapInArrow(run, "a long, b long, sign long")
+    return ordered.mapInArrow(run, "a long, b long, sign long, info long")
 
 
 def _sets(source: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -266,12 +274,13 @@ def kept_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", sh
     """(key, lines): the numbers (from 0) of the lines with words that stay."""
     source = _source(documents, key, text)
     classes = settle(_classes(source, _rarity(source), share, of), "lines")
-    coarse = settle(_met(_signed(classes, False, share, of), share, of), "pairs")
-    crowd = coarse.where("b IS NULL").select(F.col("a").alias("class")).distinct()
-    fine = settle(_met(_signed(classes.join(crowd, "class"), True, share, of), share, of), "pairs")
+    coarse = settle(_met(_signed(classes, share, of), share, of), "pairs")
+    alone, word = F.col("b").isNull(), F.col("info").bitwiseAND(F.lit(NOWHERE)) != NOWHERE
+    crowd = coarse.where(alone & word).select(F.col("a").alias("class"), "sign").distinct()
+    fine = settle(_met(_signed_again(classes, crowd), share, of), "pairs")
     pairs = settle(coarse.unionByName(fine).where("b IS NOT NULL").select("a", "b").distinct(), "pairs")
     firsts = classes.select("class", "first", "n", "parity")
-    crowds = fine.where("b IS NULL").select("sign", F.col("a").alias("class")).distinct()
+    crowds = fine.where(alone).unionByName(coarse.where(alone & ~word)).select("sign", F.col("a").alias("class")).distinct()
     several = crowds.groupBy("sign").agg(F.count("*").alias("rows")).where("rows > 1").select("sign")
     groups = settle(crowds.join(several, "sign").join(firsts, "class"), "signs")
     discard(coarse, fine)

@@ -71,11 +71,12 @@ _SPAN = "struct<start:int,end:int,value:string>"
 
 def matches(text: Column, pattern: str) -> Column:
     """Array of (start, end, value) of a pattern's matches, in code points."""
-    between = F.split(text, pattern, -1)
-    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m, i: F.struct(F.char_length(F.get(between, i)).alias("gap"), m.alias("value")))
+    # The text between matches; its last piece has no match beside it.
+    both = F.arrays_zip(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
+    found = F.filter(both, lambda x: x["value"].isNotNull())
 
     def place(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
+        start = state["at"] + F.char_length(x["between"])
         end = start + F.char_length(x["value"])
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
 

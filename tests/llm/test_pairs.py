@@ -86,7 +86,9 @@ def test_part_enum_signatures_never_miss():
             assert one & two, (n, lost, len(other))
 
 
-def test_line_dedup_keeps_first_lines(spark, docs):
+@pytest.mark.parametrize("run", [256, 2])
+def test_line_dedup_keeps_first_lines(spark, docs, monkeypatch, run):
+    monkeypatch.setattr(line_dedup, "RUN", run)
     lines, first = {}, {}
     for i, t in mixed_texts():
         for j, line in enumerate((t or "").encode().lower().split(b"\n")):

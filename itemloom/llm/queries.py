@@ -106,5 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_window_index": window_index.ORACLE_SQL,
+    "op7_part_enum": part_enum.ORACLE_SQL,
     "op8_decontamination": decontamination.ORACLE_SQL,
 }

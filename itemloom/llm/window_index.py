@@ -254,3 +254,15 @@ def deduplicate(documents: DataFrame, batches: int = 2, key: str = "doc_id", tex
         done = index.add(own, key, text, last=i == len(edges) - 2)
         out = done if out is None else out.unionByName(done)
     return out.withColumnRenamed("key", key)
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+f AS (SELECT doc_id, p, list(word) OVER ahead AS s FROM v WINDOW ahead AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+s AS (SELECT doc_id, p AS i, row_number() OVER (PARTITION BY array_to_string(s, ' ') ORDER BY doc_id, p) AS place FROM f WHERE len(s) = 20),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM s WHERE place > 1),
+k AS (SELECT doc_id, p, word FROM v ANTI JOIN g USING (doc_id, p)),
+t AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM k GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)
+"""

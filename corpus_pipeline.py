@@ -36,16 +36,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by a Jaccard similarity of 0.8 or more of their
-    5-word shingles, the one with the smallest doc_id."""
-    found = part_enum.similar(docs).where("doc_id = component").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").select(*COLUMNS)
+    5-word shingles, the one with the smallest doc_id. Rows without one stay."""
+    found = part_enum.similar(docs).where("doc_id = component").select(F.col("doc_id").alias("first")).distinct()
+    return docs.join(found, F.col("doc_id") == F.col("first"), "left_semi").select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     hits = decontamination.find_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    dirty = hits.where("item IS NOT NULL").select("doc_id", "text_hash").distinct()
-    return docs.withColumn("text_hash", F.xxhash64("text")).join(dirty, ["doc_id", "text_hash"], "left_anti").select(*COLUMNS)
+    dirty = hits.where("item IS NOT NULL").select(F.col("doc_id").alias("dirty_id"), "text_hash").distinct()
+    return docs.join(dirty, (F.xxhash64("text") == F.col("text_hash")) & F.col("doc_id").eqNullSafe(F.col("dirty_id")), "left_anti").select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

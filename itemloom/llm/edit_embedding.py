@@ -143,7 +143,7 @@ def near_documents(prints: DataFrame, key: str = "doc_id", least: float = 0.8) -
     classes = settle(prints.groupBy("fingerprint").agg(F.min(key).cast("long").alias("node")), "prints")
     body = F.col("fingerprint")
     bands = F.array(*(F.xxhash64(F.lit(i), F.substring(body, 1, 8), F.substring(body, 9 + 2 * PER_BAND * i, 2 * PER_BAND)) for i in range(BANDS)))
-    groups = keep_shared(classes.select(F.explode(bands).alias("sign"), F.col("node").alias("key"))).select("sign", F.col("key").alias("node"), F.lit(1).alias("n"))
+    groups = keep_shared(classes.where("node IS NOT NULL").select(F.explode(bands).alias("sign"), F.col("node").alias("key"))).select("sign", F.col("key").alias("node"), F.lit(1).alias("n"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         one, two = classes.select(F.col("node").alias("a"), F.col("fingerprint").alias("one")), classes.select(F.col("node").alias("b"), F.col("fingerprint").alias("two"))

@@ -15,8 +15,9 @@ too. Where a pair of words still has as many, its lines are compared with their
 first ones, and only lines that this doesn't remove meet all before them.
 
 Equal sets are one class, named by a 64-bit hash; of a class only the first line
-can stay. Lines without words stay. Rows with the same key are one document;
-null counts as empty. Lines of any length stay whole.
+can stay. Lines without words stay. Rows with the same key are one document, and
+rows without a key stay as they are; null counts as empty. Lines of any length
+stay whole.
 """
 
 from __future__ import annotations
@@ -109,7 +110,7 @@ class _Lines:
 
 
 def _source(documents: DataFrame, key: str, text: str) -> DataFrame:
-    return documents.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    return documents.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body")).where("key IS NOT NULL")
 
 
 def _rarity(source: DataFrame) -> np.ndarray:
@@ -320,6 +321,6 @@ def deduplicate(documents: DataFrame, key: str = "doc_id", text: str = "text", s
     worded = F.size(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
     chosen = F.coalesce("kept_lines", F.array().cast("array<long>"))
     left = F.array_join(F.filter(lines, lambda x, i: ~x.rlike(r"[^\x20\x09-\x0D]") | F.array_contains("kept_lines", i.cast("long"))), "\n")
-    whole = F.col("n_lines") == F.size(chosen)
-    joined = joined.withColumns({"n_lines": worded, "n_removed": worded - F.size(chosen)})
-    return joined.withColumn(text, F.when(whole, F.col(text)).otherwise(left)).drop("kept_lines")
+    removed = F.when(F.col(key).isNull(), F.lit(0)).otherwise(worded - F.size(chosen)).cast("long")
+    joined = joined.withColumns({"n_lines": worded, "n_removed": removed})
+    return joined.withColumn(text, F.when(F.col("n_removed") == 0, F.col(text)).otherwise(left)).drop("kept_lines")

@@ -15,8 +15,9 @@ links connect needs no further comparison. After some rounds, pairs of documents
 of a signature that are still in different components are compared one by one.
 So no link between components is lost, and copies aren't expanded into pairs.
 
-Rows with the same key are one document. Null and empty texts have no shingles
-and no links. Components are found without the driver (``components``).
+Rows with the same key are one document; rows without a key share the component
+of an equal text, if there is one. Null and empty texts have no shingles and no
+links. Components are found without the driver (``components``).
 """
 
 from __future__ import annotations
@@ -153,8 +154,8 @@ def similar(documents: DataFrame, key: str = "doc_id", text: str = "text", size:
     classes = found.where("digest IS NOT NULL").groupBy("digest").agg(F.min("key").alias("node"))
     members = settle(found.select("key", "n", "digest").join(classes, "digest", "left").select("key", "n", F.coalesce("node", "key").alias("node")), "members")
 
-    together = keep_shared(found.where("n > 0").select(F.explode("signs").alias("sign"), "key"))
-    sizes = members.where("n > 0").select("key", "n", "node").distinct()
+    together = keep_shared(found.where("n > 0 AND key IS NOT NULL").select(F.explode("signs").alias("sign"), "key"))
+    sizes = members.where("n > 0 AND key IS NOT NULL").select("key", "n", "node").distinct()
     rough = settle(together.join(sizes, "key").select("sign", "node", "n").distinct(), "groups")
     discard(found)
     # Of these, documents that share a sign with another class.

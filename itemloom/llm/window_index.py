@@ -15,7 +15,8 @@ its own document counts as earlier, too. Batches must be added in the order that
 decides which of two equal windows stays; within a batch smaller keys come
 first. Windows are judged on the input, not on what is left.
 
-Rows with the same key are one document. Null and empty texts have no words.
+Rows with the same key are one document; rows without a key are only compared
+with themselves. Null and empty texts have no words.
 """
 
 from __future__ import annotations
@@ -218,7 +219,7 @@ class WindowIndex:
         it is the ``last`` one."""
         source = _source(documents, key, text)
         anchors = settle(_anchors(source), "anchors")
-        fresh = anchors.select(F.explode("anchors").alias("sign"), "key")
+        fresh = anchors.where("key IS NOT NULL").select(F.explode("anchors").alias("sign"), "key")
         together = fresh.withColumn("age", F.lit(1))
         signs = fresh.select("sign").distinct() if self.runs else None
         for path in self.runs:

@@ -217,3 +217,13 @@ def test_repeated_rows_stay_and_other_columns_do_no_harm(spark, docs):
 def test_least_common_is_exact():
     for n in range(1, 300):
         assert line_dedup.least_common(n, 80, 100) == math.ceil(n * 4 / 5 - 1e-12)
+
+
+def test_rows_without_a_key(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = table(spark, [(1, text), (None, text), (None, "other words here"), (2, None)])
+    assert {(r.doc_id, r.component) for r in part_enum.similar(rows).collect()} == {(1, 1), (None, 1), (None, None), (2, 2)}
+    assert sorted(r.n_removed for r in line_dedup.deduplicate(rows).collect()) == [0, 0, 0, 0]
+    assert sorted(r.n_removed for r in window_index.deduplicate(rows).collect()) == [0, 0, 0, 0]
+    assert edit_embedding.compare_edits(rows).count() == 4
+    assert edit_embedding.near_documents(edit_embedding.fingerprints(rows)).count() == 4

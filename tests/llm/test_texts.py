@@ -199,3 +199,14 @@ def test_digests_of_the_queries(spark):
     assert all(rows[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items())
     read = queries.op5_plane_files(spark, FOLDER).collect()
     assert len(read) == len(texts) and max(r.ids_crc32 for r in read) < 2**32 and zlib.crc32(b"") == 0
+
+
+def test_rows_without_a_key(spark, bpe):
+    rows = table(spark, [(None, "one two three four five"), (None, None), (1, "mail a@b.c")])
+    items = spark.createDataFrame([(None, "three four five"), (4, None)], "item_id long, text string")
+    assert bpe.encode(rows, decoded=True).count() == 3
+    folder = scratch_path(spark, "test")
+    plane_files.write_ids(rows, folder, tokenizers.path("word_bpe_49k.json"), end_id=1)
+    assert [r.start for r in plane_files.read_ids(spark, folder).orderBy("start").collect()][0] == 0
+    assert sorted(r.n_hit for r in decontamination.report(decontamination.find_hits(rows, items)).collect()) == [0, 0, 3]
+    assert personal_data.find(rows).count() == 3

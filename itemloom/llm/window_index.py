@@ -48,31 +48,43 @@ def hashed_words(text: str) -> tuple[list[bytes], np.ndarray]:
 
 
 def _grams(hashes: np.ndarray, size: int, seed: int) -> np.ndarray:
-    """Hashes of ``size`` words in a row, built by doubling."""
+    """Hashes of ``size`` words in a row: polynomials of the words' hashes, built by
+    doubling, then scrambled."""
     if len(hashes) < size:
         return hashes[:0]
-    width, out = 1, mixed(hashes + np.uint64(seed))
+    base = 0x9E3779B97F4A7C15 + 2 * seed
+    width, out = 1, hashes
     while width < size:
         step = min(width, size - width)
-        out = mixed(out[: len(out) - step] + np.uint64(seed + width) + (out[step:] << np.uint64(1)))
+        # Where the halves overlap, one of them is scrambled, so that no word cancels.
+        out = out[:-step] * np.uint64(pow(base, step, 1 << 64)) + (out[step:] if step == width else mixed(out[step:]))
         width += step
-    return out
+    return mixed(out)
 
 
-def anchored(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(anchor hash, place of the anchor) of each window."""
+def anchored(hashes: np.ndarray) -> np.ndarray:
+    """The anchor of each window: the least hash of its grams."""
     grams = _grams(hashes, GRAM, 5)
     reach = SPAN - GRAM + 1
     if len(grams) < reach:
-        return grams[:0], np.empty(0, np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(grams, reach)
-    place = views.argmin(1)
-    return views[np.arange(len(place)), place], place + np.arange(len(place))
+        return grams[:0]
+    width, least = 1, grams
+    while width < reach:
+        step = min(width, reach - width)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        width += step
+    return least
+
+
+def windows(hashes: np.ndarray) -> np.ndarray:
+    return _grams(hashes, SPAN, 17)
 
 
-def windows(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of each window."""
-    return _grams(hashes, SPAN, 17), _grams(hashes, SPAN, 71)
+def checks(hashes: np.ndarray) -> np.ndarray:
+    """A second hash of each window that doesn't depend on the first: the sum of its
+    words' hashes, scrambled."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(hashes + np.uint64(71)))])
+    return mixed(sums[SPAN:] - sums[:-SPAN])
 
 
 def _source(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -84,7 +96,7 @@ def _anchors(source: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "body", 4_000_000):
-            found = [np.unique(anchored(hashed_words(body)[1])[0]).view(np.int64) for body in batch.column("body").to_pylist()]
+            found = [np.unique(anchored(hashed_words(body)[1])).view(np.int64) for body in batch.column("body").to_pylist()]
             rows = pa.RecordBatch.from_pydict({"key": batch.column("key"), "anchors": pa.array(found, pa.list_(pa.int64()))})
             yield rows.filter(pa.array([len(x) > 0 for x in found], pa.bool_()))
 
@@ -101,8 +113,7 @@ def _windows(rows: DataFrame) -> DataFrame:
             signs, infos, counts = [], [], []
             for body, wanted in zip(batch.column("body").to_pylist(), batch.column("anchors"), strict=True):
                 hashes = hashed_words(body)[1]
-                anchor, _ = anchored(hashes)
-                one, two = windows(hashes)
+                anchor, one, two = anchored(hashes), windows(hashes), checks(hashes)
                 _, first = np.unique(one, return_index=True)
                 first = first[np.isin(anchor[first], wanted.values.to_numpy().view(np.uint64))]
                 signs.append(one[first])
@@ -126,7 +137,6 @@ def _repeated(rows: DataFrame) -> DataFrame:
     settled in a table of two rows per range.
     """
     order = ("sign", F.shiftright("info", 32), "age", "key")
-    rows = settle(rows, "windows")  # else finding the ranges would hash the texts once more
     ordered = rows.repartitionByRange(shuffle_width(rows.sparkSession), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +169,7 @@ def _repeated(rows: DataFrame) -> DataFrame:
     first = found.where("kind = 1 AND age > 0").join(F.broadcast(ends), ["sign", "check"]).where("before < part").select("key", "place").distinct()
     places = found.where("kind = 0").select("key", "place").unionByName(first).groupBy("key").agg(F.collect_list("place").alias("places"))
     out = settle(places, "places")
-    discard(found, rows)
+    discard(found)
     return out
 
 
@@ -171,7 +181,7 @@ def _kept(rows: DataFrame) -> DataFrame:
             total, removed, kept = [], [], []
             for body, places in zip(batch.column("body").to_pylist(), batch.column("places"), strict=True):
                 words, hashes = hashed_words(body)
-                one, _ = windows(hashes)
+                one = windows(hashes)
                 edges = np.zeros(len(words) + 1, np.int64)
                 if len(one):
                     start = np.ones(len(one), bool)

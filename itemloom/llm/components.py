@@ -50,7 +50,7 @@ def connect(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: C
     it has members. After ``ROUNDS`` first nodes, pairs of a group whose
     components still differ are verified one by one if the group is small (or
     there is no ``sift``). In a larger one all nodes meet a reference, the node
-    with the most links; of (reference, node, n) rows ``sift`` gives all pairs
+    in the most such groups; of (reference, node, n) rows ``sift`` gives all pairs
     (a, b) that may be linked though the reference doesn't link them. So no link
     that connects is lost.
     """
@@ -94,12 +94,9 @@ def connect(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: C
     pairs, stars = met.select("a", F.col("node").alias("b")), None
     large = None if sift is None else left.where(F.col("members") > SMALL)
     if large is not None and not large.isEmpty():
-        if links is None:
-            ranked = large.withColumn("degree", F.lit(0).cast("long"))
-        else:
-            degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-            ranked = large.join(degrees, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-        chosen = ranked.groupBy("sign").agg(F.max(F.struct("degree", "node")).alias("most")).select("sign", F.col("most.node").alias("reference"))
+        # A node in many of these groups has few differences of its own; so few nodes serve many groups.
+        common = large.groupBy("node").agg(F.count("*").alias("groups"))
+        chosen = large.join(common, "node").groupBy("sign").agg(F.max(F.struct("groups", "node")).alias("most")).select("sign", F.col("most.node").alias("reference"))
         stars = settle(large.join(chosen, "sign").select("reference", "node", "n").distinct(), "stars")
         pairs = pairs.unionByName(stars.where("reference <> node").select(F.col("reference").alias("a"), F.col("node").alias("b"))).unionByName(sift(stars))
     pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")

@@ -6,11 +6,15 @@ have keys of their own; ``serial`` is for transactions that share keys.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from itemloom.functions.expressions import met
 
@@ -48,3 +52,26 @@ def serial(operations: DataFrame, component: str, order: Sequence[str], step: Ca
     gets a component's operations in order. A component must fit in a task; the
     caller chooses components that do."""
     return operations.groupBy(component).applyInPandas(lambda frame: step(frame.sort_values([*order], kind="stable")), schema)
+
+
+def fold(rows: DataFrame, component: str, order: Sequence[str], step: Callable[[Any, dict], tuple[Any, tuple]], more: pa.Schema) -> DataFrame:
+    """``rows`` with the columns ``more``, which ``step`` gives for each row of a
+    component in order, from a state that it returns, too (None at first). Rows
+    pass through batch by batch, so a component of any size needs no room for
+    more than its state; give slim rows, since one task reads all of them."""
+    names = rows.columns
+    laid = rows.repartition(component).sortWithinPartitions(component, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, last, state = False, None, None
+        for batch in batches:
+            made = []
+            for row in batch.to_pylist():
+                if not begun or row[component] != last:
+                    begun, last, state = True, row[component], None
+                state, values = step(state, row)
+                made.append(values)
+            added = [pa.array([m[i] for m in made], field.type) for i, field in enumerate(more)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*names, *more.names])
+
+    return laid.mapInArrow(run, T.StructType([*rows.schema, *from_arrow_schema(more)]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -261,6 +262,18 @@ def global_index_include(spark, d):
     return index.project(ORDERS.read(spark, d), ORDERS, by, "INCLUDE").where(F.col("o_custkey").between(10, 20)).drop("o_orderdate")
 
 
+@query("SELECT o_custkey, epoch_us(o_orderdate) AS date_us, o_orderkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderdate IS NOT NULL")
+def global_index_keys_only_whole(spark, d):
+    keys = index.project(ORDERS.read(spark, d), ORDERS, ORDERS.broad["by_customer"], "KEYS_ONLY")
+    return keys.select("o_custkey", micros("o_orderdate").alias("date_us"), "o_orderkey")
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_custkey IS NOT NULL AND o_orderdate IS NOT NULL")
+def global_index_include_whole(spark, d):
+    by = Index("by_customer", ("o_custkey",), ("o_orderdate",), include=("o_totalprice",))
+    return index.project(ORDERS.read(spark, d), ORDERS, by, "INCLUDE").drop("o_orderdate")
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_custkey, o_orderdate, o_orderkey LIMIT 60")
 def global_index_scan(spark, d):
     rows = index.project(ORDERS.read(spark, d), ORDERS, ORDERS.broad["by_customer"])
@@ -479,6 +492,25 @@ def txn_serial(spark, d):
     return transactions.serial(operations, "user_id", ["event_id"], step, "user_id long, event_id long, applied boolean, balance long")
 
 
+@query("""WITH RECURSIVE l AS MATERIALIZED (SELECT user_id, event_id, floor(value)::BIGINT AS amount, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+r AS (SELECT user_id, event_id, i, CASE WHEN event_type = 'purchase' AND amount > 0 THEN 0 WHEN event_type = 'purchase' THEN -amount ELSE amount END AS balance, event_type <> 'purchase' OR amount <= 0 AS applied FROM l WHERE i = 1
+UNION ALL SELECT l.user_id, l.event_id, l.i, CASE WHEN event_type <> 'purchase' THEN balance + amount WHEN amount <= balance THEN balance - amount ELSE balance END, event_type <> 'purchase' OR amount <= balance
+FROM r JOIN l ON l.user_id = r.user_id AND l.i = r.i + 1)
+SELECT user_id, event_id, applied, balance FROM r""")
+def txn_serial_whole(spark, d):
+    """``txn_serial`` over all events; a user's operations pass through one by one."""
+
+    def step(balance, row):
+        spends, balance = row["event_type"] == "purchase", balance or 0
+        applied = not spends or row["amount"] <= balance
+        balance += (-row["amount"] if spends else row["amount"]) if applied else 0
+        return balance, (applied, balance)
+
+    operations = _events(spark, d).select("user_id", "event_id", "event_type", F.floor("value").cast("long").alias("amount"))
+    added = pa.schema([("applied", pa.bool_()), ("balance", pa.int64())])
+    return transactions.fold(operations, "user_id", ["event_id"], step, added).select("user_id", "event_id", "applied", "balance")
+
+
 # Statistics, ranges and directories
 
 
@@ -590,6 +622,13 @@ def table_class_limit(spark, d):
     return tables.class_changes(changes).select("event_id", "allowed")
 
 
+@query("""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 2591999 PRECEDING AND CURRENT ROW) <= 2 AS allowed
+FROM (SELECT event_id, user_id, floor(epoch_us(ts) / 1000000)::BIGINT AS s FROM events WHERE event_type = 'signup')""")
+def table_class_limit_whole(spark, d):
+    changes = _events(spark, d).where("event_type = 'signup'").select("event_id", F.col("user_id").alias("table_id"), seconds("ts").alias("at"))
+    return tables.class_changes(changes).select("event_id", "allowed")
+
+
 @query("SELECT user_id AS table_id, max(event_id) AS sampled_at, arg_max(value, event_id) AS item_count FROM events GROUP BY user_id")
 def statistics_newest(spark, d):
     samples = _events(spark, d).select(F.col("user_id").alias("table_id"), F.col("event_id").alias("sampled_at"), F.col("value").alias("item_count"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from itemloom.functions import expressions as X
 from itemloom.functions import sizes as S
 from itemloom.operators import change_log, expiry, index, mutate, ranges, read, tables, transactions
+from itemloom.plans import catalog
 from itemloom.sources.items import Index, ItemTable
 
 HOT = ItemTable("hot", ("pk",), ("sk",))
@@ -105,6 +106,22 @@ def test_transactions(spark):
     assert {r.decision for r in transactions.decide(many, "txn", F.col("ok"), "id").collect()} == {"ABORT"}
 
 
+def test_whole_tables_are_folded(spark):
+    folder = "/root/testdata/sf0.01"
+    events = sorted(spark.read.parquet(f"{folder}/events.parquet").select("user_id", "event_id", "event_type", "value").collect(), key=lambda r: r.event_id)
+    held, want = {}, {}
+    for r in events:
+        amount, balance = int(r.value // 1), held.get(r.user_id, 0)
+        applied = r.event_type != "purchase" or amount <= balance
+        held[r.user_id] = balance + (0 if not applied else -amount if r.event_type == "purchase" else amount)
+        want[r.event_id] = applied, held[r.user_id]
+    found = catalog.QUERIES["txn_serial_whole"](spark, folder).collect()
+    assert len(found) == len(events) and {r.event_id: (r.applied, r.balance) for r in found} == want
+    orders = spark.read.parquet(f"{folder}/orders.parquet").count()
+    assert all(catalog.QUERIES[q](spark, folder).count() == orders for q in ("global_index_keys_only_whole", "global_index_include_whole"))
+    assert catalog.QUERIES["table_class_limit_whole"](spark, folder).count() == sum(r.event_type == "signup" for r in events)
+
+
 def test_item_sizes(spark):
     row = spark.createDataFrame([("key-n", "row", bytearray(4), 12345)], "id string, sort string, payload binary, n int")
     size = S.item_bytes(id=S.string_bytes(F.col("id")), sort=S.string_bytes(F.col("sort")), payload=F.octet_length("payload"), nested=S.list_bytes(F.lit(1), S.number_bytes(F.col("n"))))

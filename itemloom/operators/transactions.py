@@ -39,7 +39,9 @@ def transact_get(operations: DataFrame, items: DataFrame, key: Sequence[str], pl
 
 def first_of_token(requests: DataFrame, token: str, at: str, fingerprint: str) -> DataFrame:
     """Requests with ``outcome``: Applied for a token's first one, and within its
-    life Replayed if the content is the same, or else Mismatch."""
+    life Replayed if the content is the same, or else Mismatch. Later requests
+    are all Applied, and so are those of the first one's second; ``token_lives``
+    begins a new life with each."""
     own = Window.partitionBy(token).orderBy(at)
     first = requests.withColumn("first_at", F.first(at).over(own)).withColumn("first_print", F.first(fingerprint).over(own))
     age = F.col(at) - F.col("first_at")
@@ -75,3 +77,16 @@ def fold(rows: DataFrame, component: str, order: Sequence[str], step: Callable[[
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*names, *more.names])
 
     return laid.mapInArrow(run, T.StructType([*rows.schema, *from_arrow_schema(more)]))
+
+
+def token_lives(requests: DataFrame, token: str, at: str, fingerprint: str, tie: str) -> DataFrame:
+    """Requests with ``outcome``: Applied for the one that begins a life of its
+    token, by time and ``tie``; for others in that life Replayed if the content is
+    the same, or else Mismatch. The first request after a life begins the next."""
+
+    def step(life, row):
+        if life is None or row[at] - life[0] >= TOKEN_LIFE:
+            return (row[at], row[fingerprint]), ("Applied",)
+        return life, ("Replayed" if row[fingerprint] == life[1] else "Mismatch",)
+
+    return fold(requests, token, [at, tie], step, pa.schema([("outcome", pa.string())]))

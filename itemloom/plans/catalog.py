@@ -471,6 +471,17 @@ def txn_token(spark, d):
     return transactions.first_of_token(requests, "user_id", "at", "event_type").select("event_id", "outcome")
 
 
+@query("""WITH RECURSIVE l AS MATERIALIZED (SELECT event_id, user_id AS token, event_type, floor(epoch_us(ts) / 1000000)::BIGINT AS s, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch_us(ts) / 1000000), event_id) AS i FROM events),
+r AS (SELECT event_id, token, i, s AS a, event_type AS p, 'Applied' AS outcome FROM l WHERE i = 1
+UNION ALL SELECT l.event_id, l.token, l.i, CASE WHEN s - a >= 600 THEN s ELSE a END, CASE WHEN s - a >= 600 THEN event_type ELSE p END, CASE WHEN s - a >= 600 THEN 'Applied' WHEN event_type = p THEN 'Replayed' ELSE 'Mismatch' END
+FROM r JOIN l ON l.token = r.token AND l.i = r.i + 1)
+SELECT event_id, outcome FROM r""")
+def txn_token_lives(spark, d):
+    """All requests, each life of a token judged by its own first request."""
+    requests = _events(spark, d).select("event_id", "user_id", "event_type", seconds("ts").alias("at"))
+    return transactions.token_lives(requests, "user_id", "at", "event_type", "event_id").select("event_id", "outcome")
+
+
 @query("""WITH RECURSIVE l AS (SELECT user_id, event_id, floor(value)::BIGINT AS amount, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE event_id < 2000),
 r AS (SELECT user_id, event_id, i, CASE WHEN event_type = 'purchase' THEN 0 ELSE amount END AS balance, event_type <> 'purchase' OR amount = 0 AS applied FROM l WHERE i = 1
 UNION ALL SELECT l.user_id, l.event_id, l.i, CASE WHEN event_type <> 'purchase' THEN balance + amount WHEN amount <= balance THEN balance - amount ELSE balance END, event_type <> 'purchase' OR amount <= balance

@@ -106,6 +106,13 @@ def test_transactions(spark):
     assert {r.decision for r in transactions.decide(many, "txn", F.col("ok"), "id").collect()} == {"ABORT"}
 
 
+def test_each_life_of_a_token_has_its_first_request(spark):
+    rows = [(0, "t", 0, "x"), (1, "t", 700, "x"), (2, "t", 750, "x"), (3, "t", 1299, "y"), (4, "t", 1300, "y"), (5, "u", 5, "x"), (6, "u", 5, "x"), (7, "u", 5, "y"), (8, None, 1, "x"), (9, None, 2, "x")]
+    requests = spark.createDataFrame(rows, "id long, token string, at long, print string").repartition(3)
+    found = {r.id: r.outcome for r in transactions.token_lives(requests, "token", "at", "print", "id").collect()}
+    assert [found[i] for i in range(10)] == ["Applied", "Applied", "Replayed", "Mismatch", "Applied", "Applied", "Replayed", "Mismatch", "Applied", "Replayed"]
+
+
 def test_whole_tables_are_folded(spark):
     folder = "/root/testdata/sf0.01"
     events = sorted(spark.read.parquet(f"{folder}/events.parquet").select("user_id", "event_id", "event_type", "value").collect(), key=lambda r: r.event_id)

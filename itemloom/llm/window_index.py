@@ -15,7 +15,8 @@ its own document counts as earlier, too. Batches must be added in the order that
 decides which of two equal windows stays; within a batch smaller keys come
 first. Windows are judged on the input, not on what is left.
 
-Rows with the same key are one document; rows without a key are only compared
+Rows with the same key are one document: each loses what an earlier document
+holds, and none loses words to another. Rows without a key are only compared
 with themselves. Null and empty texts have no words.
 """
 
@@ -92,19 +93,26 @@ def _source(documents: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _anchors(source: DataFrame) -> DataFrame:
-    """(key, anchors: distinct hashes) of documents with windows."""
+    """(key, text_hash, anchors: distinct hashes) of documents with windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "body", 4_000_000):
             found = [np.unique(anchored(hashed_words(body)[1])).view(np.int64) for body in batch.column("body").to_pylist()]
-            rows = pa.RecordBatch.from_pydict({"key": batch.column("key"), "anchors": pa.array(found, pa.list_(pa.int64()))})
+            rows = pa.RecordBatch.from_pydict({"key": batch.column("key"), "text_hash": batch.column("text_hash"), "anchors": pa.array(found, pa.list_(pa.int64()))})
             yield rows.filter(pa.array([len(x) > 0 for x in found], pa.bool_()))
 
-    return source.mapInArrow(run, "key long, anchors array<long>")
+    return source.select("key", "body", F.xxhash64("body").alias("text_hash")).mapInArrow(run, "key long, text_hash long, anchors array<long>")
+
+
+def _told_apart(source: DataFrame, several: DataFrame | None) -> DataFrame:
+    """``source`` with ``twin``: 0, or the text's hash if the key has ``several`` texts."""
+    if several is None:
+        return source.withColumn("twin", F.lit(0).cast("long"))
+    return source.join(several, "key", "left").withColumn("twin", F.when(F.col("several"), F.xxhash64("body")).otherwise(F.lit(0).cast("long"))).drop("several")
 
 
 def _windows(rows: DataFrame) -> DataFrame:
-    """(sign, age, key, info) of the first place of each distinct window of a
+    """(sign, age, key, twin, info) of the first place of each distinct window of a
     document that stands on one of its ``anchors``; ``info`` has the second
     hash's upper half and the place."""
 
@@ -122,19 +130,19 @@ def _windows(rows: DataFrame) -> DataFrame:
             at = np.repeat(np.arange(batch.num_rows), counts)
             yield pa.RecordBatch.from_pydict({
                 "sign": np.concatenate(signs).view(np.int64), "age": batch.column("age").to_numpy()[at],
-                "key": batch.column("key").to_numpy()[at], "info": np.concatenate(infos).view(np.int64),
+                "key": batch.column("key").to_numpy()[at], "twin": batch.column("twin").to_numpy()[at], "info": np.concatenate(infos).view(np.int64),
             })
 
-    return rows.mapInArrow(run, "sign long, age int, key long, info long")
+    return rows.mapInArrow(run, "sign long, age int, key long, twin long, info long")
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """(key, places) of the rows of new documents that another row of the same
-    window precedes, by age and key.
+    """(key, twin, places) of the rows of new documents that another document's
+    row of the same window precedes, by age and key.
 
     Rows are sorted over ranges, so a window that very many documents hold is
-    spread over tasks; only a range's first row needs another range, and is
-    settled in a table of two rows per range.
+    spread over tasks; only the rows of a range's first document need another
+    range, and are settled by a table of a row per range.
     """
     order = ("sign", F.shiftright("info", 32), "age", "key")
     ordered = rows.repartitionByRange(shuffle_width(rows.sparkSession), *order).sortWithinPartitions(*order)
@@ -142,32 +150,47 @@ def _repeated(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last = TaskContext.get().partitionId(), None
 
-        def edge(kind: int, row: tuple) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"key": [row[2]], "place": [row[3] & 0xFFFFFFFF], "kind": pa.array([kind], pa.int32()), "part": pa.array([part], pa.int32()), "sign": [row[0]], "check": [row[3] >> 32], "age": pa.array([row[1]], pa.int32())})
+        def part_of(kind: int, sign: np.ndarray, age: np.ndarray, key: np.ndarray, twin: np.ndarray, info: np.ndarray) -> pa.RecordBatch:
+            n = len(sign)
+            return pa.RecordBatch.from_pydict({"key": key, "twin": twin, "place": info & 0xFFFFFFFF, "kind": np.full(n, kind, np.int32), "part": np.full(n, part, np.int32), "sign": sign, "check": info >> 32, "age": age})
 
+        def settled(key: np.ndarray, twin: np.ndarray, info: np.ndarray) -> pa.RecordBatch:
+            n = len(key)
+            nothing = pa.nulls(n, pa.int64())
+            return pa.RecordBatch.from_pydict({"key": key, "twin": twin, "place": info & 0xFFFFFFFF, "kind": np.zeros(n, np.int32), "part": np.full(n, part, np.int32), "sign": nothing, "check": nothing, "age": pa.nulls(n, pa.int32())})
+
+        # The first row of the range, and the one of the window at hand.
+        head = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sign, age, key, info = (batch.column(c).to_numpy() for c in ("sign", "age", "key", "info"))
+            columns = [batch.column(c).to_numpy() for c in ("sign", "age", "key", "twin", "info")]
+            if last is not None:
+                columns = [np.concatenate([h, c]) for h, c in zip(last, columns, strict=True)]
+            sign, age, key, twin, info = columns
             check = info >> 32
             again = np.zeros(len(sign), bool)
             again[1:] = (sign[1:] == sign[:-1]) & (check[1:] == check[:-1])
-            if last is None:
-                yield edge(1, (int(sign[0]), int(age[0]), int(key[0]), int(info[0])))
-            else:
-                again[0] = last[0] == sign[0] and last[3] >> 32 == check[0]
-            last = tuple(int(c[-1]) for c in (sign, age, key, info))
-            hit = again & (age > 0)
-            n = int(hit.sum())
-            nothing = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_pydict({"key": key[hit], "place": info[hit] & 0xFFFFFFFF, "kind": np.zeros(n, np.int32), "part": np.full(n, part, np.int32), "sign": nothing, "check": nothing, "age": pa.nulls(n, pa.int32())})
+            lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(sign))))
+            fresh = np.ones(len(sign), bool)
+            fresh[0] = last is None
+            if head is None:
+                head = tuple(int(c[0]) for c in (sign, check, age, key))
+            later = (age != age[lead]) | (key != key[lead])
+            hit = later & (age > 0)
+            yield settled(key[hit], twin[hit], info[hit])
+            open_ = fresh & (sign == head[0]) & (check == head[1]) & (age == head[2]) & (key == head[3]) & (age > 0)
+            if open_.any():
+                yield part_of(1, *(c[open_] for c in columns))
+            at = int(lead[-1])
+            last = [c[at : at + 1] for c in columns]
         if last is not None:
-            yield edge(2, last)
+            yield part_of(2, *last)
 
-    found = settle(ordered.mapInArrow(run, "key long, place long, kind int, part int, sign long, check long, age int"), "repeated")
-    ends = found.where("kind = 2").select("sign", "check", F.col("part").alias("before"))
-    first = found.where("kind = 1 AND age > 0").join(F.broadcast(ends), ["sign", "check"]).where("before < part").select("key", "place").distinct()
-    places = found.where("kind = 0").select("key", "place").unionByName(first).groupBy("key").agg(F.collect_list("place").alias("places"))
+    found = settle(ordered.mapInArrow(run, "key long, twin long, place long, kind int, part int, sign long, check long, age int"), "repeated")
+    ends = found.where("kind = 2").select("sign", "check", F.col("part").alias("before"), F.col("age").alias("before_age"), F.col("key").alias("before_key"))
+    first = found.where("kind = 1").join(F.broadcast(ends), ["sign", "check"]).where("before < part AND (before_age <> age OR before_key <> key)").select("key", "twin", "place").distinct()
+    places = found.where("kind = 0").select("key", "twin", "place").unionByName(first).groupBy("key", "twin").agg(F.collect_set("place").alias("places"))
     out = settle(places, "places")
     discard(found)
     return out
@@ -229,6 +252,9 @@ class WindowIndex:
         it is the ``last`` one."""
         source = _source(documents, key, text)
         anchors = settle(_anchors(source), "anchors")
+        texts = anchors.where("key IS NOT NULL").groupBy("key").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("top"))
+        several = settle(texts.where("low <> top").select("key", F.lit(True).alias("several")), "several")
+        own = _told_apart(source, None if several.isEmpty() else several)
         fresh = anchors.where("key IS NOT NULL").select(F.explode("anchors").alias("sign"), "key")
         together = fresh.withColumn("age", F.lit(1))
         signs = fresh.select("sign").distinct() if self.runs else None
@@ -236,9 +262,9 @@ class WindowIndex:
             together = together.unionByName(self._run(path).hint("merge").join(signs, "sign", "left_semi").withColumn("age", F.lit(0)))
         kept = settle(keep_shared(together, "age"), "shared")
         shared = kept.groupBy("key", "age").agg(F.collect_list("sign").alias("anchors"))
-        texts = source.withColumn("age", F.lit(1))
+        texts = own.withColumn("age", F.lit(1))
         for older in self.log:
-            texts = texts.unionByName(older.withColumn("age", F.lit(0)))
+            texts = texts.unionByName(_told_apart(older, None).withColumn("age", F.lit(0)))
         places = _repeated(_windows(texts.join(shared, ["key", "age"])))
         if not last:
             self._append(fresh)
@@ -246,7 +272,7 @@ class WindowIndex:
             if len(self.runs) >= FANOUT:
                 self.compact()
         discard(anchors, kept)
-        return _kept(source.join(places, "key", "left"))
+        return _kept(own.join(places, ["key", "twin"], "left"))
 
 
 def deduplicate(documents: DataFrame, batches: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -139,6 +139,19 @@ def test_window_index_compacts(spark, docs):
         assert len(index.runs) < window_index.FANOUT
 
 
+@pytest.mark.parametrize("batches", [1, 3])
+def test_window_index_keeps_a_copy_of_what_repeated_rows_share(spark, docs, batches):
+    twice = docs.unionByName(docs)
+    want = brute_windows(mixed_texts())
+    found = window_index.deduplicate(twice, batches=batches).collect()
+    assert len(found) == 2 * len(want) and {(r.doc_id, r.n_words, r.n_removed, r.kept) for r in found} == {(i, *want[i]) for i in want}
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(5, f"a b {passage}"), (5, f"a b {passage}"), (5, " ".join(f"q{i}" for i in range(90)) + " " + passage), (9, f"{passage} c d e"), (9, f"{passage} c d e"), (9, f"{' x' * 30} {passage} f")]
+    found = {(r.doc_id, r.n_removed, r.kept) for r in window_index.deduplicate(table(spark, rows), batches=batches).collect()}
+    assert {x for x in found if x[0] == 5} == {(5, 0, t) for _, t in rows[:3]}
+    assert (9, 20, "c d e") in found and any(k == 9 and "p0" not in kept and kept.endswith("f") for k, _, kept in found)
+
+
 def test_edit_embedding(spark, docs):
     found = {r.doc_id: r for r in edit_embedding.compare_edits(docs).collect()}
     texts = [t or "" for _, t in sorted(mixed_texts(), reverse=True)]

@@ -44,7 +44,7 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     hits = decontamination.find_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    dirty = hits.where("item IS NOT NULL").select(F.col("doc_id").alias("dirty_id"), "text_hash").distinct()
+    dirty = hits.where("first IS NOT NULL").select(F.col("doc_id").alias("dirty_id"), "text_hash").distinct()
     return docs.join(dirty, (F.xxhash64("text") == F.col("text_hash")) & F.col("doc_id").eqNullSafe(F.col("dirty_id")), "left_anti").select(*COLUMNS)
 
 

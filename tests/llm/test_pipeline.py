@@ -4,7 +4,7 @@ import hashlib
 
 import corpus_pipeline
 from itemloom.llm import toxicity
-from tests.llm.conftest import FOLDER
+from tests.llm.conftest import FOLDER, table
 from tests.llm.test_pairs import components_of, shingles
 from tests.llm.test_texts import brute_hits
 
@@ -50,3 +50,10 @@ def test_stages_return_documents(spark):
     assert names == ["toxicity", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "byte-level BPE"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, documents, FOLDER).schema == documents.schema
+
+
+def test_benchmark_rows_without_an_id_count(spark, tmp_path):
+    item = " ".join(f"q{i}" for i in range(14))
+    spark.createDataFrame([(None, item), (3, "other words of an item that no document holds here at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = table(spark, [(1, f"before {item} after"), (2, "clean words"), (4, None)])
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_contaminated(spark, rows, str(tmp_path)).collect()) == [2, 4]

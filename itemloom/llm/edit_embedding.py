@@ -11,6 +11,7 @@ lengths share the ticks that both reach.
 
 ``likeness`` compares two fingerprints; ``near_documents`` finds candidates by
 bands of sampled ticks, of which one must agree, and verifies them by likeness.
+Texts are banded at their own length and at shorter ones, so lengths may differ.
 Null counts as empty. Texts of any length are walked to their end.
 """
 
@@ -23,6 +24,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -123,6 +125,22 @@ def likeness(one: str, two: str) -> float:
     return float(((a == b) & told).sum() / total) if total else 1.0
 
 
+def band_signs(own: str, least: float) -> list[int]:
+    """Hashes of a fingerprint's bands at its length and at each shorter one of a
+    text that ``likeness`` may find as like as ``least``: enough of what is read
+    must lie below it. The samples of two lengths begin with the same ticks below
+    the shorter one, so their bands are the same."""
+    length, read = int(own[:8], 16), np.frombuffer(bytes.fromhex(own[8:]), np.uint8)
+    ticks, needed, signs = sampled_ticks(length), least * int((read > 0).sum()), []
+    while length >= LEAST:
+        seen = read[ticks < length]
+        if int((seen > 0).sum()) < needed:
+            break
+        signs += [xxhash.xxh3_64_intdigest(seen[PER_BAND * i : PER_BAND * (i + 1)].tobytes(), seed=(length << 8) + i) for i in range(min(BANDS, len(seen) // PER_BAND))]
+        length -= 1 << max(0, (length - 1).bit_length() - 4)
+    return signs
+
+
 def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_chars, fingerprint) of every row."""
     source = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
@@ -138,12 +156,16 @@ def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text")
 def near_documents(prints: DataFrame, key: str = "doc_id", least: float = 0.8) -> DataFrame:
     """(key, component) of (key, fingerprint): documents whose fingerprints agree
     in all ticks of a band are candidates, and linked if they are as like as
-    ``least``. Equal fingerprints are one class; see ``connect`` for large bands.
-    Texts whose rounded lengths differ aren't compared."""
+    ``least``. Equal fingerprints are one class; see ``connect`` for large bands."""
     classes = settle(prints.groupBy("fingerprint").agg(F.min(key).cast("long").alias("node")), "prints")
-    body = F.col("fingerprint")
-    bands = F.array(*(F.xxhash64(F.lit(i), F.substring(body, 1, 8), F.substring(body, 9 + 2 * PER_BAND * i, 2 * PER_BAND)) for i in range(BANDS)))
-    groups = keep_shared(classes.where("node IS NOT NULL").select(F.explode(bands).alias("sign"), F.col("node").alias("key"))).select("sign", F.col("key").alias("node"), F.lit(1).alias("n"))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.array(band_signs(x, least), np.uint64).view(np.int64) for x in batch.column("fingerprint").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"key": batch.column("node"), "signs": pa.array(found, pa.list_(pa.int64()))})
+
+    signed = classes.where("node IS NOT NULL").select("node", "fingerprint").mapInArrow(sign, "key long, signs array<long>")
+    groups = keep_shared(signed.select(F.explode("signs").alias("sign"), "key")).select("sign", F.col("key").alias("node"), F.lit(1).alias("n"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         one, two = classes.select(F.col("node").alias("a"), F.col("fingerprint").alias("one")), classes.select(F.col("node").alias("b"), F.col("fingerprint").alias("two"))

@@ -194,6 +194,27 @@ def test_near_documents(spark):
     assert found == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 6}
 
 
+def test_near_documents_of_other_lengths(spark):
+    r = random.Random(8)
+    make = lambda n: "".join(r.choice("abcdefghij   ") for _ in range(n))
+    texts = []
+    for n in (1024, 1024, 1360, 700, 2050, 5000):
+        base = make(n)
+        texts += [base, base + "x", base[:-2], base + make(n // 30), base[: -n // 12], base[: n - 40] + make(4) + base[n - 40 :], base[: n - 60] + base[n - 53 :], base + make(n // 7), base + make(n)]
+    prints = [edit_embedding.of_text(t) for t in texts]
+    like = [(i, j) for i in range(len(texts)) for j in range(i) if edit_embedding.likeness(prints[i], prints[j]) >= 0.8]
+    assert sum(prints[i][:8] != prints[j][:8] for i, j in like) > 40
+    signs = [{*edit_embedding.band_signs(p, 0.8)} for p in prints]
+    assert sum(bool(signs[i] & signs[j]) for i, j in like) >= 0.98 * len(like)
+    first = [*range(len(texts))]
+    for _ in first:
+        for i, j in like:
+            first[i] = first[j] = min(first[i], first[j])
+    rows = table(spark, [*enumerate(texts)])
+    found = {x.doc_id: x.component for x in edit_embedding.near_documents(edit_embedding.fingerprints(rows)).collect()}
+    assert found == dict(enumerate(first))
+
+
 def test_components_of_a_long_chain(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (103, 101), (7, 7)]
     found = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

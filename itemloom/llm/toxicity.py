@@ -2,8 +2,11 @@
 
 Terms are the lower-cased words of a text and their first 4, 5 and 6
 characters, each counted once a document and hashed. Of all terms in the
-training rows those that tell the classes apart (chi-square) become features.
-The machine has a weight and a short vector per feature; the dot product of two
+training rows those become features that tell the classes apart, alone or with
+another term, by more than chance among so many terms or pairs of them (their
+log-likelihood ratio beats a multiple of the logarithm of that number). So rare
+terms count if the sample can tell, and terms that are as frequent in both
+classes count if a pair isn't. The machine has a weight and a short vector per feature; the dot product of two
 features' vectors is their interaction, so an insult beside a group's name can
 weigh more than both alone.
 
@@ -13,6 +16,7 @@ text without features. Without labels every score is one fixed low value.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator, Sequence
@@ -29,6 +33,8 @@ from itemloom.llm.shared import labelled_sample, settle, slices
 #: The most labelled rows to fit on, and the most features to keep.
 SAMPLE = 20_000
 FEATURES = 4096
+#: What a ratio must beat, as a multiple of the logarithm of the number of terms or pairs.
+CHANCE = 1.6
 #: Bits of a term's hash.
 BITS = 24
 RANK = 8
@@ -94,9 +100,52 @@ def train(terms: np.ndarray, documents: list[np.ndarray], labels: np.ndarray, ep
     return machine
 
 
+def evidence(n: np.ndarray, hits: np.ndarray, total: float, positive: float) -> np.ndarray:
+    """Log-likelihood ratio of something in ``n`` of ``total`` rows and ``hits`` of
+    the ``positive`` ones against its being independent of the label."""
+    out = np.zeros(len(n))
+    for seen, rows, share in ((hits, n, positive), (n - hits, n, total - positive), (positive - hits, total - n, positive), (total - positive - n + hits, total - n, total - positive)):
+        out += 2 * seen * np.log(np.maximum(seen, 1e-9) * total / np.maximum(rows * share, 1e-9))
+    return out
+
+
+def fewest(bound: float, total: float, positive: float) -> int:
+    """Rows without which no evidence can beat ``bound``."""
+    return max(1, math.ceil(bound / (-2 * math.log(min(positive, total - positive) / total))))
+
+
+def paired(documents: list[np.ndarray], labels: np.ndarray, alone: np.ndarray, bound: float) -> np.ndarray:
+    """For each term the most evidence that a pair with it adds to what both terms
+    give ``alone``, or 0 if not more than ``bound``. All pairs are counted, one
+    term's at a time."""
+    size, total, positive = len(alone), float(len(labels)), float(labels.sum())
+    least, best = fewest(bound, total, positive), np.zeros(size)
+    lengths = [len(x) for x in documents]
+    flat = np.concatenate(documents) if documents else np.empty(0, np.int32)
+    order = np.argsort(flat, kind="stable")
+    rows, ends = np.repeat(np.arange(len(documents)), lengths)[order], np.searchsorted(flat[order], np.arange(size + 1))
+    for a in range(size):
+        own = rows[ends[a] : ends[a + 1]]
+        both = np.bincount(np.concatenate([documents[i] for i in own]), minlength=size)
+        hits = np.bincount(np.concatenate([flat[:0], *(documents[i] for i in own[labels[own] > 0])]), minlength=size)
+        b = np.flatnonzero(both >= least)
+        more = evidence(both[b].astype(float), hits[b].astype(float), total, positive) - np.maximum(alone[a], alone[b])
+        best[a] = max(0.0, more[more > bound].max(initial=0.0))
+    return best
+
+
+def numbered(known: np.ndarray, values: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """The places in the sorted ``known`` of each document's values; others go."""
+    at = np.minimum(np.searchsorted(known, values), max(0, len(known) - 1)).astype(np.int32)
+    held = known[at] == values if len(known) else np.zeros(len(values), bool)
+    ends = np.concatenate([[0], np.cumsum(held)])[offsets]
+    at = at[held]
+    return [at[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", usable: Column | None = None, key: str = "doc_id", text: str = "text") -> Machine:
-    """Fit on labelled rows; the terms' counts are made by Spark, and only the
-    chosen features of at most ``SAMPLE`` documents come to the driver."""
+    """Fit on labelled rows; the terms' counts are made by Spark, and only terms
+    that may be features, of at most ``SAMPLE`` documents, come to the driver."""
     sample = labelled_sample(documents, labels, label, F.lit(True) if usable is None else usable, SAMPLE, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,15 +158,30 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", usable: C
     if not 0 < positive < n:
         share = (positive + 0.5) / (n + 2)
         return Machine(np.empty(0, np.int64), float(np.log(share / (1 - share))), np.empty(0), np.empty((0, RANK)))
-    counts = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("label").alias("hits"))
-    a, b, total = F.col("hits"), F.col("n") - F.col("hits"), F.lit(float(n))
-    c, d = F.lit(positive) - a, F.lit(float(n) - positive) - b
-    chi = total * (a * d - b * c) ** 2 / F.greatest(F.lit(1.0), (a + b) * (c + d) * (a + c) * (b + d))
-    best = counts.where("n >= 5").withColumn("chi", chi).where("chi > 20").orderBy(F.desc("chi"), "term").limit(FEATURES)
-    terms = np.array(sorted(r.term for r in best.select("term").collect()), np.int64)
-    # At most SAMPLE documents with FEATURES numbers each, mostly a few dozen.
-    chosen = rows.select("label", F.array_intersect("terms", F.lit(terms.tolist()).cast("array<int>")).alias("terms")).toPandas()
-    return train(terms, [np.searchsorted(terms, np.array(x, np.int64)) for x in chosen.terms], chosen.label.to_numpy())
+    counts = settle(rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("label").alias("hits")), "terms")
+    size = max(2, counts.count())
+    bound = CHANCE * math.log(size)
+    # Evidence of a pair must beat chance among all pairs.
+    found = counts.where(F.col("n") >= fewest(bound, n, positive)).orderBy("term").toPandas()
+    terms, alone = found.term.to_numpy(np.int64), evidence(found.n.to_numpy(float), found.hits.to_numpy(float), n, positive)
+    wide = found.n.to_numpy() >= fewest(2 * bound, n, positive)
+    wanted = rows.sparkSession.sparkContext.broadcast(terms[wide | (alone > bound)])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            few = [np.intersect1d(x.values.to_numpy(), wanted.value, assume_unique=True).astype(np.int32) for x in batch.column("terms")]
+            yield pa.RecordBatch.from_pydict({"label": batch.column("label"), "terms": pa.array(few, pa.list_(pa.int32()))})
+
+    few = rows.mapInArrow(choose, "label double, terms array<int>").toArrow()
+    lists = few.column("terms").combine_chunks()
+    labels, values, offsets = few.column("label").to_numpy(), lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    number = np.flatnonzero(wide)
+    together = paired(numbered(terms[number], values, offsets), labels, alone[number], 2 * bound)
+    strength = np.where(alone > bound, alone, 0.0)
+    strength[number] = np.maximum(strength[number], together)
+    order = np.lexsort((terms, -strength))[:FEATURES]
+    terms = np.sort(terms[order[strength[order] > 0]])
+    return train(terms, numbered(terms, values, offsets), labels)
 
 
 def score(documents: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text", more: Sequence[str] = ()) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on single texts, against their libraries or brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -182,6 +183,30 @@ def test_interactions_are_learned():
     assert scores[0] < 0 > scores[1] and scores[2] > 0
 
 
+def test_terms_that_matter_only_together(spark):
+    """Each term is as frequent in both classes; only pairs tell them apart."""
+    r = random.Random(5)
+    pairs = {("red", "cat"): 1, ("blue", "dog"): 1, ("red", "dog"): 0, ("blue", "cat"): 0}
+    rows, labels = [], []
+    for i in range(400):
+        pair = [*pairs][i % 4]
+        rows.append((i, " ".join([*pair, *(f"w{r.randrange(300)}" for _ in range(20))])))
+        labels.append((i, pairs[pair]))
+    machine = toxicity.fit(table(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    held = [(n, " ".join(pair)) for n, pair in enumerate(pairs)]
+    scores = {x.doc_id: x.score for x in toxicity.score(table(spark, held), machine).collect()}
+    assert [scores[n] > 0.5 for n in range(4)] == [True, True, False, False]
+
+
+def test_rare_terms_of_a_small_sample(spark):
+    """Four rows of sixty are enough for a word that no clean row has."""
+    rows = [(i, " ".join(f"w{(7 * i + k) % 90}" for k in range(9)) + (" zuk" if i % 15 == 0 else "")) for i in range(60)]
+    machine = toxicity.fit(table(spark, rows), spark.createDataFrame([(i, int(i % 15 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    scores = {x.doc_id: x.score for x in toxicity.score(table(spark, [(1, "zuk w3"), (2, "w3 w4")]), machine).collect()}
+    assert toxicity.word_terms("zuk")[0] in machine.terms and toxicity.word_terms("w3")[0] not in machine.terms
+    assert scores[1] > 1.3 * scores[2]
+
+
 def test_rows_that_share_a_sign(spark):
     rows = [(s, k) for s in range(40) for k in range(s % 4)] + [(1000, k % 50) for k in range(500)]
     found = keep_shared(spark.createDataFrame(rows, "sign long, key long")).collect()

@@ -3,21 +3,26 @@
 A line is the set of its words (A-Z lowered, split at ASCII white space). Words
 are ordered by rarity, from counts over all documents in a table of fixed size;
 any order is right, a good one keeps candidates few. Lines that are similar
-enough share one of their first words, or, if short, two of them. Rows of these
-signs are sorted over ranges, and a sign's lines are compared: lengths, the
-words' positions and 64 parity bits of the sets leave few pairs, which are then
-verified on the sets. A line goes if it matches one that begins earlier (smaller
-key, or same key and smaller line number), whatever becomes of that one.
-
-Where a word has more than ``RUN`` lines, these are signed again by this word
-with each other one of their first words, of which similar lines must share one,
-too. Where a pair of words still has as many, its lines are compared with their
-first ones, and only lines that this doesn't remove meet all before them.
-
-Equal sets are one class, named by a 64-bit hash; of a class only the first line
-can stay. Lines without words stay. Rows with the same key are one document, and
-rows without a key stay as they are; null counts as empty. Lines of any length
-stay whole.
+enough share one of their first words, so each line is signed by these. Rows of
+a sign are sorted by range, and its lines are compared: lengths, the words'
+places and 64 parity bits of the sets leave few pairs. Of each line's, the
+``FEW`` earliest are verified on the sets. A line goes if it matches one that
+begins earlier (smaller key, or same key and smaller line number), whatever
+becomes of that one; so one match is enough.
+
+What this leaves open is settled by the sets: lines with more than ``FEW``
+candidates that weren't removed, lines of signs with more than ``RUN`` lines, and
+those at the ends of a range of rows. Such lines, the probes, meet all earlier
+ones of the sign. Where a sign is crowded it is first joined with each other one
+of a line's first words, of which similar lines share as many as are taken, up
+to ``DEPTH`` words. So no match is lost, and no group is expanded into pairs.
+
+Lines of equal sets are told by a 64-bit hash, and all but the first of them go.
+Lines without words stay. Rows with the same key and text are one document, rows
+with the same key and other texts are different ones (in the order of a hash of
+the text), and rows without a key stay as they are; null counts as empty. Lines
+of any length stay whole. An empty table gives an empty one; columns of any other
+name are kept.
 """
 
 from __future__ import annotations
@@ -26,24 +31,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from itemloom.llm.part_enum import mixed
-from itemloom.llm.set_match import matched
-from itemloom.llm.shared import discard, settle, shuffle_width, slices
+from itemloom.llm.shared import discard, settle, shuffle_width, slices, told_apart
+from itemloom.llm.words import Words, blocks, mixed
 
-#: Rounds in which a sign's lines are compared with one of them.
-ROUNDS = 2
 #: Cells of the table of word counts.
 CELLS = 1 << 20
-#: Lines of up to so many words are found by two words.
-SHORT = 12
-#: The most rows of a sign that are compared with each other.
-RUN = 256
-#: The place of signs that are pairs of words.
-NOWHERE = (1 << 32) - 1
+#: Candidates of a row that are verified at once.
+FEW = 2
+#: The most lines of a sign that are all compared with each other.
+RUN = 1024
+#: Neighbours that a line of a longer run is compared with.
+NEAR = 64
+#: Words of a sign, at most.
+DEPTH = 4
+#: Rows that are compared at once; a longer run is handled in pieces.
+CHUNK = 1 << 18
+PLACE = (1 << 32) - 1
 
 
 def least_common(n, share: int, of: int):
@@ -51,276 +58,392 @@ def least_common(n, share: int, of: int):
     return -(-share * n // of)
 
 
+def only_equal(n, share: int, of: int):
+    """Whether a line of ``n`` words matches none but equal ones."""
+    return (n * of // share == n) & (least_common(n, share, of) == n)
+
+
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(44)).astype(np.int64)
+
+
 class _Lines:
-    """The distinct words of a batch's lines, line by line."""
-
-    def __init__(self, texts: list[str]):
-        split = [t.encode("utf-8", "surrogatepass").lower().split(b"\n") for t in texts]
-        words: list[bytes] = []
-        counts = []
-        for lines in split:
-            for line in lines:
-                own = line.split()
-                counts.append(len(own))
-                words += own
-        self.per_text = np.array([len(lines) for lines in split], np.int64)
-        self.n = len(counts)
-        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-        self.line = np.repeat(np.arange(self.n), counts)
-
-    def cells(self) -> np.ndarray:
-        return (self.hashes >> np.uint64(20)).astype(np.int64) & (CELLS - 1)
-
-    def order(self, rarity: np.ndarray | None = None) -> None:
-        """Sort each line's words, by rarity if given, and drop repeated ones."""
-        keys = (self.hashes, self.line) if rarity is None else (self.hashes, rarity[self.cells()], self.line)
-        at = np.lexsort(keys)
-        line, hashes = self.line[at], self.hashes[at]
+    """The distinct words of a block's lines, line by line; with ``rarity`` (by
+    cell) the rarest come first."""
+
+    def __init__(self, words: Words, rarity: np.ndarray | None = None):
+        self.first, line = words.lines()
+        hashes = words.hashes
+        rank = np.zeros(len(hashes), np.uint64) if rarity is None else rarity[_cells(hashes)].astype(np.uint64)
+        self.n = int(self.first[-1])
+        slim = (line.astype(np.uint64) << np.uint64(40)) | (rank << np.uint64(32)) | (hashes >> np.uint64(32))
+        at = np.argsort(slim)
+        key = slim[at]
+        if self.n >= 1 << 24 or ((key[1:] == key[:-1]) & (hashes[at[1:]] != hashes[at[:-1]])).any():
+            at = np.lexsort((hashes, rank, line))
+        line, hashes = line[at], hashes[at]
         new = np.ones(len(at), bool)
         new[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
         self.line, self.hashes = line[new], hashes[new]
         self.sizes = np.bincount(self.line, minlength=self.n)
         self.starts = np.cumsum(self.sizes) - self.sizes
+        self.full = np.flatnonzero(self.sizes)
 
     def classes(self) -> np.ndarray:
-        """A hash of each line's set; 0 stands for none."""
+        """A hash of each line's set."""
         sums = np.zeros(self.n, np.uint64)
-        full = np.flatnonzero(self.sizes)
-        if len(full):
-            sums[full] = np.add.reduceat(mixed(self.hashes), self.starts[full])
+        if len(self.full):
+            sums[self.full] = np.add.reduceat(mixed(self.hashes), self.starts[self.full])
         return mixed(sums + self.sizes.astype(np.uint64))
 
     def parities(self) -> np.ndarray:
         """64 bits per line, of which each word flips one: two lines differ in as
         many words, at least, as their bits do."""
         out = np.zeros(self.n, np.uint64)
-        full = np.flatnonzero(self.sizes)
-        if len(full):
-            out[full] = np.bitwise_xor.reduceat(np.uint64(1) << (self.hashes & np.uint64(63)), self.starts[full])
+        if len(self.full):
+            out[self.full] = np.bitwise_xor.reduceat(np.uint64(1) << (self.hashes & np.uint64(63)), self.starts[self.full])
         return out
 
-    def prefixes(self, share: int, of: int) -> tuple[np.ndarray, np.ndarray]:
-        """(line, word) of the rarest words: of two matches' one word fewer shares
-        one, and all share two. Lines that only equal ones match have none."""
+    def signs(self, classes: np.ndarray, share: int, of: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, place, sign): the rarest words, of which similar lines share one.
+        Lines that only equal ones match have one sign for their set."""
         n = self.sizes
-        least = least_common(n, share, of)
-        length = np.where((n * of // share == n) & (least == n), 0, np.minimum(n, n - least + 2))
-        some = np.flatnonzero(np.arange(len(self.hashes)) - self.starts[self.line] < length[self.line])
-        return self.line[some], mixed(self.hashes[some])
-
-
-def _source(documents: DataFrame, key: str, text: str) -> DataFrame:
-    return documents.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body")).where("key IS NOT NULL")
+        alone = only_equal(n, share, of)
+        length = np.where(alone, np.minimum(n, 1), n - least_common(n, share, of) + 1)
+        place = np.arange(len(self.hashes)) - self.starts[self.line]
+        some = np.flatnonzero(place < length[self.line])
+        line = self.line[some]
+        return line, place[some], np.where(alone[line], mixed(~classes[line]), self.hashes[some])
 
 
 def _rarity(source: DataFrame) -> np.ndarray:
     """Per cell the logarithm of its words' count in all documents, as a small
-    number; the cells' counts are summed by Spark, in ``CELLS`` rows at most."""
+    number; the cells' counts are summed by Spark, in blocks of 4096."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.int64)
-        for batch in slices(batches, "body", 4_000_000):
-            counts += np.bincount(_Lines(batch.column("body").to_pylist()).cells(), minlength=CELLS)
-        full = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_pydict({"cell": full, "n": counts[full]})
-
-    summed = source.select("body").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    # One row of bytes for each 4096 cells.
-    packed = summed.groupBy(F.shiftright("cell", 12).alias("block")).agg(F.array_sort(F.collect_list(F.struct((F.col("cell") % 4096).alias("cell"), F.least(F.floor(8 * F.log2(F.col("n") + 1)), F.lit(255)).alias("rank")))).alias("ranks"))
-    out = np.zeros(CELLS, np.uint8)
-    for row in packed.select("block", F.transform("ranks", lambda r: r["cell"]).alias("cells"), F.transform("ranks", lambda r: r["rank"]).alias("ranks")).toLocalIterator():
-        out[row.block * 4096 + np.array(row.cells, np.int64)] = row.ranks
-    return out
-
+        for _, words in blocks(batches, lowered=True):
+            counts += np.bincount(_cells(words.hashes), minlength=CELLS)
+        full = np.flatnonzero(counts.reshape(-1, 4096).any(axis=1))
+        yield pa.RecordBatch.from_pydict({"block": full, "counts": pa.array([counts[i * 4096 : i * 4096 + 4096].tobytes() for i in full], pa.binary())})
 
-def _classes(source: DataFrame, rarity: np.ndarray, share: int, of: int) -> DataFrame:
-    """(class, first: key and line, n, parity, prefix) of the distinct lines."""
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                sums[block] = sums.get(block, 0) + np.frombuffer(counts, np.int64)
+        ranks = [np.minimum(8 * np.log2(x + 1), 255).astype(np.uint8).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int64()), "ranks": pa.array(ranks, pa.binary())})
+
+    parts = source.select("body").mapInArrow(run, "block long, counts binary").repartition("block")
+    out = np.zeros((CELLS // 4096, 4096), np.uint8)
+    # A row for each 4096 cells: a megabyte in all.
+    for row in parts.mapInArrow(total, "block long, ranks binary").toLocalIterator():
+        out[row.block] = np.frombuffer(bytes(row.ranks), np.uint8)
+    return out.reshape(-1)
+
+
+def _signed(source: DataFrame, rarity: np.ndarray, share: int, of: int) -> DataFrame:
+    """(sign, info: size and place, class, parity, key, line) of the lines. Of equal
+    lines of a block only the first has all signs, the others the one at place 0."""
     shared = source.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "body", 2_000_000):
-            own = _Lines(batch.column("body").to_pylist())
-            own.order(shared.value)
-            line, word = own.prefixes(share, of)
-            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(line, minlength=own.n))]).astype(np.int32))
-            first = np.cumsum(own.per_text) - own.per_text
-            rows = pa.RecordBatch.from_pydict({
-                "key": np.repeat(batch.column("key").to_numpy(), own.per_text), "line": np.arange(own.n) - np.repeat(first, own.per_text), "class": own.classes().view(np.int64), "n": own.sizes,
-                "parity": own.parities().view(np.int64), "prefix": pa.ListArray.from_arrays(ends, word.view(np.int64)),
-            })
-            yield rows.filter(pa.array(own.sizes > 0))
-
-    lines = source.mapInArrow(run, "key long, line long, class long, n long, parity long, prefix array<long>")
-    return lines.groupBy("class").agg(F.min(F.struct("key", "line")).alias("first"), *(F.first(c).alias(c) for c in ("n", "parity", "prefix")))
-
-
-def _signed(classes: DataFrame, share: int, of: int) -> DataFrame:
-    """(sign, info: size and the word's place, class, parity): single words of long
-    lines and pairs of short ones, which have no place."""
-    reach = SHORT * of // share
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "prefix", 2_000_000):
-            n, length = batch.column("n").to_numpy(), np.diff(batch.column("prefix").offsets.to_numpy())
-            words = batch.column("prefix").flatten().to_numpy().view(np.uint64)
-            starts = np.cumsum(length) - length
-            row = np.repeat(np.arange(len(n)), length)
-            place = np.arange(len(words)) - starts[row]
-            single = np.flatnonzero((n[row] > SHORT) & (place < length[row] - 1))
-            rows, signs, places = [row[single]], [words[single]], [place[single]]
-            paired = np.where(n <= reach, length, 0)
-            for second in range(1, int(paired.max(initial=0))):
-                some = np.flatnonzero(paired > second)
-                for first in range(second):
-                    one, two = words[starts[some] + first], words[starts[some] + second]
-                    rows.append(some)
-                    signs.append(mixed(mixed(np.minimum(one, two)) + np.maximum(one, two)))
-                    places.append(np.full(len(some), NOWHERE))
-            row = np.concatenate(rows)
+        for batch, words in blocks(batches, lowered=True):
+            own = _Lines(words, shared.value)
+            classes, parity = own.classes(), own.parities()
+            number = np.arange(own.n) - np.repeat(own.first[:-1], np.diff(own.first)) + np.repeat(batch.column("twin").to_numpy(), np.diff(own.first))
+            key = np.repeat(batch.column("key").to_numpy(), np.diff(own.first))
+            order = np.lexsort((number, key, classes))
+            later = np.zeros(own.n, bool)
+            later[order[1:]] = classes[order[1:]] == classes[order[:-1]]
+            line, place, sign = own.signs(classes, share, of)
+            used = ~later[line] | (place == 0)
+            line, place, sign = line[used], place[used], sign[used]
             yield pa.RecordBatch.from_pydict({
-                "sign": np.concatenate(signs).view(np.int64), "info": (n[row] << 32) | np.concatenate(places),
-                "class": batch.column("class").to_numpy()[row], "parity": batch.column("parity").to_numpy()[row],
+                "sign": sign.view(np.int64), "info": (own.sizes[line] << 32) | place, "class": classes[line].view(np.int64),
+                "parity": parity[line].view(np.int64), "key": key[line], "line": number[line],
             })
 
-    return classes.select("class", "n", "parity", "prefix").mapInArrow(run, "sign long, info long, class long, parity long")
-
-
-def _signed_again(classes: DataFrame, crowd: DataFrame) -> DataFrame:
-    """As ``_signed``, of (class, sign) the word with each other one of the prefix."""
-    both = crowd.join(classes, "class").select("class", "n", "parity", "sign", F.explode("prefix").alias("word")).where("word <> sign")
-    sign = F.xxhash64(F.least("sign", "word"), F.greatest("sign", "word"))
-    return both.select(sign.alias("sign"), F.shiftleft("n", 32).bitwiseOR(F.lit(NOWHERE)).alias("info"), "class", "parity").distinct()
-
-
-def _paired(columns: list[np.ndarray], share: int, of: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of classes in runs of one sign, sorted by size, that may match."""
-    sign, info, name, parity = columns
-    n, place = info >> 32, info & NOWHERE
-    lows, highs = [], []
-    active = np.flatnonzero(sign[1:] == sign[:-1]) + 1
-    offset = 1
+    return source.mapInArrow(run, "sign long, info long, class long, parity long, key long, line long")
+
+
+class _Earliest:
+    """The ``FEW`` smallest candidates of each row, and how many it has."""
+
+    def __init__(self, rows: int):
+        self.best = np.full((FEW, rows), np.iinfo(np.int64).max)
+        self.count = np.zeros(rows, np.int64)
+
+    def offer(self, row: np.ndarray, candidate: np.ndarray) -> None:
+        """Each row is named once."""
+        new = (self.best[:, row] != candidate).all(axis=0)
+        row, candidate = row[new], candidate[new]
+        self.count[row] += 1
+        for best in self.best:
+            known = best[row]
+            best[row] = np.minimum(known, candidate)
+            candidate = np.maximum(known, candidate)
+
+
+def _alike(i: np.ndarray, j: np.ndarray, n: np.ndarray, place: np.ndarray, parity: np.ndarray, share: int, of: int) -> np.ndarray:
+    """Whether rows of one sign may match: by length, place and parity."""
+    both = n[i] + n[j]
+    good = of * np.minimum(n[i], n[j]) >= share * np.maximum(n[i], n[j])
+    most = np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j])
+    good &= most * (of + share) >= share * both
+    return good & (np.bitwise_count(parity[i] ^ parity[j]).astype(np.int64) * (of + share) <= (of - share) * both)
+
+
+def _compared(columns: list[np.ndarray], cut: np.ndarray, share: int, of: int) -> tuple[np.ndarray, ...]:
+    """Of rows sorted by sign, size, place, class, key and line: (copies of a line
+    that stands before them, and pairs of an earlier and a later row, and the rows
+    that are open). Rows are given by number; signs that are ``cut`` have rows
+    elsewhere, too."""
+    sign, info, name, parity, key, line = columns
+    n, place, parity = info >> 32, info & PLACE, parity.view(np.uint64)
+    again = np.zeros(len(sign), bool)
+    again[1:] = (sign[1:] == sign[:-1]) & (name[1:] == name[:-1])
+    whole = np.maximum.accumulate(np.where(again, 0, np.arange(len(sign))))
+    copies = np.flatnonzero(again & (place == 0) & ((key != key[whole]) | (line != line[whole])))
+    begins = np.ones(len(sign), bool)
+    begins[1:] = sign[1:] != sign[:-1]
+    rows = np.flatnonzero(~again)
+    run = np.cumsum(begins)[rows] - 1
+    length = np.bincount(run, minlength=int(begins.sum()))
+    rows, run = rows[(length[run] > 1) | cut[rows]], run[(length[run] > 1) | cut[rows]]
+    n, place, parity, open_ = n[rows], place[rows], parity[rows], cut[rows]
+    by_age = np.lexsort((line[rows], key[rows]))
+    age = np.empty(len(rows), np.int64)
+    age[by_age] = np.arange(len(rows))
+
+    found = _Earliest(len(rows))
+    crowded = length[run] > RUN
+    if len(rows):
+        # The first row of each longer run, by age.
+        starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        lead = by_age[np.repeat(np.minimum.reduceat(age, starts), np.diff(np.append(starts, len(run))))]
+        some = np.flatnonzero(crowded & (lead != np.arange(len(rows))))
+        some = some[_alike(some, lead[some], n, place, parity, share, of)]
+        found.offer(some, age[lead[some]])
+    offset, active = 1, np.flatnonzero(run[1:] == run[:-1]) + 1
     while len(active):
         # Sizes only fall from here: a row whose neighbour is too small has met all it can.
         active = active[of * n[active - offset] >= share * n[active]]
-        other = active - offset
-        both = n[active] + n[other]
-        good = name[active] != name[other]
-        most = np.minimum(place[active], place[other]) + np.minimum(n[active] - place[active], n[other] - place[other])
-        good &= (place[active] == NOWHERE) | (most * (of + share) >= share * both)
-        good &= np.bitwise_count((parity[active] ^ parity[other]).view(np.uint64)).astype(np.int64) * (of + share) <= (of - share) * both
-        one, two = name[active[good]], name[other[good]]
-        lows.append(np.minimum(one, two))
-        highs.append(np.maximum(one, two))
+        i = active[_alike(active, active - offset, n, place, parity, share, of)]
+        if len(i):
+            j = i - offset
+            late = age[i] > age[j]
+            found.offer(i[late], age[j[late]])
+            found.offer(j[~late], age[i[~late]])
         offset += 1
         active = active[active >= offset]
-        active = active[sign[active] == sign[active - offset]]
-    if not lows:
-        return name[:0], name[:0]
-    pairs = np.unique(np.stack([np.concatenate(lows), np.concatenate(highs)]), axis=1)
-    return pairs[0], pairs[1]
+        active = active[(run[active] == run[active - offset]) & (~crowded[active] | (offset <= NEAR))]
+    which, later = np.nonzero(found.best < np.iinfo(np.int64).max)
+    earlier = by_age[found.best[which, later]]
+    over = (found.count > FEW) | crowded | open_
+    over &= ~only_equal(n, share, of)
+    marked = np.zeros(len(length), bool)
+    marked[run[over]] = True
+    kept = np.flatnonzero(marked[run] | open_)
+    return copies, rows[earlier], rows[later], rows[kept], over[kept]
+
+
+_MET = "kind int, key long, line long, a_key long, a_line long, sign long, class long, n long, parity long"
 
 
 def _met(rows: DataFrame, share: int, of: int) -> DataFrame:
-    """(a, b, sign, info): pairs of classes that may match, and without b the classes
-    of signs with more than ``RUN`` rows or at the ends of a range of rows."""
-    order = ("sign", "info", "class")
+    """Of kind 0: lines (key, line) that are gone. Of kind 1: lines with an earlier
+    one (a_key, a_line) that may match. Of kinds 2 and 3: rows of open signs, of
+    which those of kind 3 may have further matches."""
+    order = ("sign", "info", "class", "key", "line")
     ordered = rows.repartitionByRange(shuffle_width(rows.sparkSession), *order).sortWithinPartitions(*order)
 
-    def crowded(columns: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"a": columns[2], "b": pa.nulls(len(columns[2]), pa.int64()), "sign": columns[0], "info": columns[1]})
+    def told(columns: list[np.ndarray], cut: np.ndarray) -> pa.RecordBatch:
+        copies, earlier, later, kept, over = _compared(columns, cut, share, of)
+        sign, info, name, parity, key, line = columns
+        own = np.concatenate([copies, later, kept])
+        kind = np.concatenate([np.zeros(len(copies)), np.ones(len(later)), 2 + over]).astype(np.int32)
+        blank = kind < 2
+        other = np.concatenate([copies, earlier, kept])
+        return pa.RecordBatch.from_pydict({
+            "kind": kind, "key": key[own], "line": line[own], "a_key": pa.array(key[other], mask=kind != 1), "a_line": pa.array(line[other], mask=kind != 1),
+            "sign": pa.array(sign[own], mask=blank), "class": pa.array(name[own], mask=blank), "n": pa.array(info[own] >> 32, mask=blank), "parity": pa.array(parity[own], mask=blank),
+        })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, full = [np.empty(0, np.int64) for _ in range(4)], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("sign", "info", "class", "parity"), strict=True)]
+        held: list[list[np.ndarray]] = []
+        # Signs whose runs are handled in several pieces.
+        split: list[int] = []
+
+        def pieces(last: bool) -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
             sign = columns[0]
-            if full is None:
-                full = sign[0]  # the rows before may lie in another range
-            begins = np.flatnonzero(np.concatenate([[True], sign[1:] != sign[:-1]]))
-            lengths = np.diff(np.append(begins, len(sign)))
-            many = np.repeat((lengths > RUN) | (sign[begins] == full), lengths)
-            last = np.arange(len(sign)) >= begins[-1]
-            if many[-1]:
-                full, last = sign[-1], last & False
-            yield crowded([c[many] for c in columns])
-            low, high = _paired([c[~many & ~last] for c in columns], share, of)
-            yield pa.RecordBatch.from_pydict({"a": low, "b": high, "sign": pa.nulls(len(low), pa.int64()), "info": pa.nulls(len(low), pa.int64())})
-            held = [c[last] for c in columns]
-        yield crowded(held)
-
-    return ordered.mapInArrow(run, "a long, b long, sign long, info long")
+            if not split:
+                split.append(int(sign[0]))  # the rows before may lie in another range
+            upto = len(sign) if last else int(np.flatnonzero(sign == sign[-1])[0])
+            if not upto and len(sign) >= CHUNK:
+                split.append(int(sign[0]))
+                upto = len(sign)
+            held.clear()
+            if upto:
+                cut = np.isin(sign[:upto], split)
+                if last:
+                    cut |= sign[:upto] == sign[-1]
+                yield told([c[:upto] for c in columns], cut)
+            if upto < len(sign):
+                held.append([c[upto:] for c in columns])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append([batch.column(c).to_numpy() for c in ("sign", "info", "class", "parity", "key", "line")])
+                if sum(len(x[0]) for x in held) >= CHUNK:
+                    yield from pieces(False)
+        if held:
+            yield from pieces(True)
+
+    return ordered.mapInArrow(run, _MET)
 
 
 def _sets(source: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key: class, items) of the ``wanted`` classes, from their first lines."""
-    by_text = wanted.groupBy("first.key").agg(F.collect_list(F.struct("first.line", "class")).alias("lines"))
-    rows = source.join(by_text, "key").select("body", "lines.line", "lines.class")
+    """(key, line, items) of the ``wanted`` lines (key, line)."""
+    twin = F.shiftright("line", 32)
+    lines = wanted.groupBy("key", twin.alias("twin_at")).agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    rows = source.withColumn("twin_at", F.shiftright("twin", 32)).join(lines, ["key", "twin_at"]).dropDuplicates(["key", "twin_at"]).select("key", "twin", "body", "lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "body", 2_000_000):
-            own = _Lines(batch.column("body").to_pylist())
-            own.order()
-            first = np.cumsum(own.per_text) - own.per_text
-            per_text = [len(x) for x in batch.column("line")]
-            at = np.repeat(first, per_text) + batch.column("line").flatten().to_numpy()
-            items = [own.hashes[own.starts[i] : own.starts[i] + own.sizes[i]].view(np.int64) for i in at]
-            yield pa.RecordBatch.from_pydict({"key": batch.column("class").flatten(), "items": pa.array(items, pa.list_(pa.int64()))})
-
-    return rows.mapInArrow(run, "key long, items array<long>")
-
-
-def kept_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", share: int = 80, of: int = 100) -> DataFrame:
-    """(key, lines): the numbers (from 0) of the lines with words that stay."""
-    source = _source(documents, key, text)
-    classes = settle(_classes(source, _rarity(source), share, of), "lines")
-    coarse = settle(_met(_signed(classes, share, of), share, of), "pairs")
-    alone, word = F.col("b").isNull(), F.col("info").bitwiseAND(F.lit(NOWHERE)) != NOWHERE
-    crowd = coarse.where(alone & word).select(F.col("a").alias("class"), "sign").distinct()
-    fine = settle(_met(_signed_again(classes, crowd), share, of), "pairs")
-    pairs = settle(coarse.unionByName(fine).where("b IS NOT NULL").select("a", "b").distinct(), "pairs")
-    firsts = classes.select("class", "first", "n", "parity")
-    crowds = fine.where(alone).unionByName(coarse.where(alone & ~word)).select("sign", F.col("a").alias("class")).distinct()
-    several = crowds.groupBy("sign").agg(F.count("*").alias("rows")).where("rows > 1").select("sign")
-    groups = settle(crowds.join(several, "sign").join(firsts, "class"), "signs")
-    discard(coarse, fine)
-
-    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).unionByName(groups.select("class")).distinct()
-    sets = settle(_sets(source, firsts.join(wanted, "class").select("class", "first")), "items")
-    one, two = (firsts.select(F.col("class").alias(c), F.col("first").alias(f"{c}_first")) for c in ("a", "b"))
-    linked = matched(pairs, sets, share, of).join(one, "a").join(two, "b")
-    gone = settle(linked.select(F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a")).alias("class")).distinct(), "removed")
-    discard(pairs)
-
-    fits = (of * F.least("n", "a_n") >= share * F.greatest("n", "a_n")) & (F.bit_count(F.col("parity").bitwiseXOR(F.col("a_parity"))) * (of + share) <= (of - share) * (F.col("n") + F.col("a_n")))
-    for step in range(0 if groups.isEmpty() else ROUNDS + 1):
-        placed = groups.join(gone.withColumn("gone", F.lit(True)), "class", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
-        lead = placed.groupBy("sign").agg(F.min(F.struct("first", "class", "n", "parity")).alias("lead"), F.max(F.when(~F.col("gone"), F.col("first"))).alias("last"))
-        lead = lead.where("last > lead.first").select("sign", *(F.col(f"lead.{c}").alias("a" if c == "class" else f"a_{c}") for c in ("class", "n", "parity", "first")))
-        placed = placed.join(lead, "sign")
-        if step == ROUNDS:
-            other = placed.select("sign", F.col("class").alias("a"), *(F.col(c).alias(f"a_{c}") for c in ("n", "parity", "first")))
-            met = placed.drop("a", "a_n", "a_parity", "a_first").where("NOT gone").join(other, "sign").where((F.col("a_first") < F.col("first")) & fits)
-        else:
-            met = placed.where("a_first < first AND NOT gone").where(fits)
-            groups = settle(placed.where("class <> a").select("sign", "class", "first", "n", "parity"), "signs")
-        fresh = settle(matched(met.select("a", F.col("class").alias("b")).distinct(), sets, share, of).select(F.col("b").alias("class")).distinct(), "removed")
-        gone = gone.unionByName(fresh)
-    discard(sets)
-    stay = firsts.join(gone, "class", "left_anti")
-    return stay.groupBy("first.key").agg(F.sort_array(F.collect_list("first.line")).alias("lines"))
+        for batch, words in blocks(batches, lowered=True):
+            own = _Lines(words)
+            per_text = np.diff(batch.column("lines").offsets.to_numpy())
+            line = batch.column("lines").flatten().to_numpy()
+            at = line - np.repeat(batch.column("twin").to_numpy() - own.first[:-1], per_text)
+            ends = np.concatenate([[0], np.cumsum(own.sizes[at])])
+            items = np.repeat(own.starts[at] - ends[:-1], own.sizes[at]) + np.arange(ends[-1])
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), own.hashes[items].view(np.int64))
+            yield pa.RecordBatch.from_pydict({"key": np.repeat(batch.column("key").to_numpy(), per_text), "line": line, "items": lists})
+
+    return rows.mapInArrow(run, "key long, line long, items array<long>")
+
+
+def _matching(pairs: DataFrame, sets: DataFrame, share: int, of: int) -> DataFrame:
+    """The lines (key, line) of the pairs whose sets match."""
+    theirs = sets.select(F.col("key").alias("a_key"), F.col("line").alias("a_line"), F.col("items").alias("theirs"))
+    rows = pairs.select("key", "line", "a_key", "a_line").distinct().join(theirs, ["a_key", "a_line"]).drop("a_key", "a_line").join(sets, ["key", "line"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(iter([whole]), "theirs", 4_000_000):
+                rows = np.arange(batch.num_rows)
+                sizes = [np.diff(batch.column(c).offsets.to_numpy()) for c in ("theirs", "items")]
+                hashes = np.concatenate([batch.column(c).flatten().to_numpy() for c in ("theirs", "items")])
+                row = np.concatenate([np.repeat(rows, s) for s in sizes])
+                at = np.lexsort((hashes, row))
+                same = (hashes[at[1:]] == hashes[at[:-1]]) & (row[at[1:]] == row[at[:-1]])
+                common = np.bincount(row[at[1:]][same], minlength=batch.num_rows)
+                good = of * common >= share * (sizes[0] + sizes[1] - common)
+                yield batch.select(["key", "line"]).filter(pa.array(good))
+
+    return rows.mapInArrow(run, "key long, line long").distinct()
+
+
+def _deeper(rows: DataFrame, sets: DataFrame, rarity: np.ndarray, share: int, of: int) -> DataFrame:
+    """``rows`` (key, line, words, ...) with each other one of a line's first words
+    added to ``words``; similar lines that share these share one of the new ones."""
+    shared = rows.sparkSession.sparkContext.broadcast(rarity)
+    more = [c for c in rows.columns if c not in ("key", "line", "words")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            for i, (words, items) in enumerate(zip(batch.column("words").to_pylist(), batch.column("items"), strict=True)):
+                own = items.values.to_numpy().view(np.uint64)
+                own = own[np.lexsort((own, shared.value[_cells(own)]))][: len(own) - least_common(len(own), share, of) + 1 + len(words)].view(np.int64).tolist()
+                new = [sorted([*words, word]) for word in own if word not in words]
+                found += new
+                at += [i] * len(new)
+            out = batch.select(["key", "line", *more]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(found, pa.list_(pa.int64()))], [*out.schema.names, "words"])
+
+    wide = rows.join(sets, ["key", "line"])
+    fields = {f.name: f.dataType.simpleString() for f in wide.schema}
+    return wide.mapInArrow(run, ", ".join(f"{c} {fields[c]}" for c in ("key", "line", *more)) + ", words array<long>").distinct()
+
+
+def _settled_by_sets(open_: DataFrame, probes: DataFrame, source: DataFrame, sets: DataFrame, rarity: np.ndarray, share: int, of: int) -> DataFrame:
+    """The lines among the ``probes`` (key, line, sign) that match an earlier one of
+    the ``open_`` rows of the same sign."""
+    line = ["key", "line"]
+    rows = open_.join(probes.select("sign").distinct(), "sign", "left_semi").join(probes.withColumn("probe", F.lit(True)), [*line, "sign"], "left")
+    rows = rows.select(*line, "n", "parity", F.coalesce("probe", F.lit(False)).alias("probe"), F.array("sign").alias("words")).distinct()
+    found, spent = None, []
+    for depth in range(1, DEPTH + 1):
+        rows = settle(rows, "open")
+        spent.append(rows)
+        groups = rows.groupBy("words").agg(F.count("*").alias("rows"), F.max("probe").alias("probed")).where("rows > 1 AND probed")
+        rows = rows.join(groups, "words")
+        small = rows if depth == DEPTH else rows.where(F.col("rows") <= RUN)
+        other = small.select("words", *(F.col(c).alias(f"a_{c}") for c in ("key", "line", "n", "parity")))
+        fits = (of * F.least("n", "a_n") >= share * F.greatest("n", "a_n")) & (F.bit_count(F.col("parity").bitwiseXOR(F.col("a_parity"))) * (of + share) <= (of - share) * (F.col("n") + F.col("a_n")))
+        earlier = (F.col("a_key") < F.col("key")) | ((F.col("a_key") == F.col("key")) & (F.col("a_line") < F.col("line")))
+        met = _matching(small.where("probe").join(other, "words").where(earlier & fits), sets, share, of)
+        found = met if found is None else found.unionByName(met)
+        rows = rows.where(F.col("rows") > RUN)
+        if depth == DEPTH or rows.isEmpty():
+            break
+        rows = _deeper(rows.select(*line, "n", "parity", "probe", "words"), sets, rarity, share, of)
+    out = settle(found.distinct(), "removed")
+    discard(*spent)
+    return out
+
+
+def removed_lines(source: DataFrame, share: int = 80, of: int = 100) -> DataFrame:
+    """(key, line): the lines of ``source`` (key, twin, body) that match an earlier
+    one; ``line`` counts from the document's ``twin``."""
+    line = ["key", "line"]
+    rarity = _rarity(source)
+    met = settle(_met(_signed(source, rarity, share, of), share, of), "pairs")
+    copies, pairs, open_ = met.where("kind = 0").select(*line), met.where("kind = 1"), met.where("kind >= 2")
+    # Equal lines of different ranges.
+    first = open_.groupBy("class").agg(F.min(F.struct(*line)).alias("first"), F.max(F.struct(*line)).alias("last")).where("first < last").select("class", "first")
+    copies = copies.unionByName(open_.join(first, "class").where(F.struct(*line) > F.col("first")).select(*line))
+    ends = [pairs.select(*line), pairs.select(F.col("a_key").alias("key"), F.col("a_line").alias("line")), open_.select(*line)]
+    sets = settle(_sets(source, ends[0].unionByName(ends[1]).unionByName(ends[2]).distinct()), "items")
+    gone = settle(copies.unionByName(_matching(pairs, sets, share, of)).distinct(), "removed")
+    probes = settle(open_.where("kind = 3").select(*line, "sign").join(gone, line, "left_anti"), "probes")
+    if not probes.isEmpty():
+        late = _settled_by_sets(open_.select(*line, "sign", "n", "parity"), probes, source, sets, rarity, share, of)
+        last, gone = gone, settle(gone.unionByName(late).distinct(), "removed")
+        discard(last, late)
+    discard(met, sets, probes)
+    return gone
 
 
 def deduplicate(documents: DataFrame, key: str = "doc_id", text: str = "text", share: int = 80, of: int = 100) -> DataFrame:
     """``documents`` with the later matches removed from ``text``, and n_lines and
     n_removed (both of lines with words) added."""
-    kept = settle(kept_lines(documents, key, text, share, of), "kept").select(F.col("key").alias("kept_key"), F.col("lines").alias("kept_lines"))
-    joined = documents.join(kept, F.col(key).cast("long") == F.col("kept_key"), "left").drop("kept_key")
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    worded = F.size(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
-    chosen = F.coalesce("kept_lines", F.array().cast("array<long>"))
-    left = F.array_join(F.filter(lines, lambda x, i: ~x.rlike(r"[^\x20\x09-\x0D]") | F.array_contains("kept_lines", i.cast("long"))), "\n")
-    removed = F.when(F.col(key).isNull(), F.lit(0)).otherwise(worded - F.size(chosen)).cast("long")
-    joined = joined.withColumns({"n_lines": worded, "n_removed": removed})
-    return joined.withColumn(text, F.when(F.col("n_removed") == 0, F.col(text)).otherwise(left)).drop("kept_lines")
+    own = told_apart(documents, key, text)
+    gone = removed_lines(own.select("key", "twin", "body").where("key IS NOT NULL"), share, of)
+    per_text = gone.groupBy("key", F.shiftright("line", 32).alias("twin_at")).agg(F.collect_list(F.col("line").bitwiseAND(F.lit(PLACE))).alias("gone"))
+    rows = own.withColumn("twin_at", F.shiftright("twin", 32)).join(per_text.hint("shuffle_hash"), ["key", "twin_at"], "left").select("row", "body", "gone")
+    names = documents.columns
+    changed = names.index(text)
+    passed = [i for i, c in enumerate(names) if c not in ("n_lines", "n_removed")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(iter([whole]), "body", 8_000_000):
+                texts, lines, removed = [], [], []
+                for had, body, gone in zip(batch.column("row").field(changed).to_pylist(), batch.column("body").to_pylist(), batch.column("gone").to_pylist(), strict=True):
+                    own_lines = body.encode("utf-8", "surrogatepass").split(b"\n")
+                    lines.append(sum(1 for x in own_lines if x.split(None, 1)))
+                    removed.append(len(gone or ()))
+                    if gone:
+                        dead = set(gone)
+                        had = b"\n".join(x for i, x in enumerate(own_lines) if i not in dead).decode("utf-8", "surrogatepass")
+                    texts.append(had)
+                columns = [batch.column("row").field(i) for i in passed]
+                columns[passed.index(changed)] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], [*(names[i] for i in passed), "n_lines", "n_removed"])
+
+    schema = StructType([documents.schema.fields[i] for i in passed]).add("n_lines", "long").add("n_removed", "long")
+    return rows.mapInArrow(run, schema)

@@ -13,17 +13,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Whether Spark deletes a query's shuffle files as soon as the query has ended.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the session has no such setting (tests in local mode) a temporary
-    folder of this machine is set once and used from then on.
+    Where the session has no such setting, a temporary folder of this machine is
+    set once in local mode and used from then on; a cluster gets an error, as its
+    executors wouldn't see each other's files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext
         known = context.getCheckpointDir()
         if not known:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="itemloom-"))
             known = context.getCheckpointDir()
         root = known
@@ -44,9 +51,13 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     executors.
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    # Spark deletes a job's shuffle files once the driver has dropped the job.
-    spark.sparkContext._jvm.System.gc()
+    # What is read again is the table, so the shuffle files behind it may go.
+    cleaned = spark.conf.get(CLEANED, None)
+    spark.conf.set(CLEANED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANED) if cleaned is None else spark.conf.set(CLEANED, cleaned)
     out = spark.read.schema(df.schema).parquet(path)
     _places[out] = path
     return out
@@ -72,6 +83,22 @@ def slices(batches: Iterator[pa.RecordBatch], weigh: str, most: int = 16_000_000
         yield from (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
 
 
+def told_apart(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(row: all columns, key long, body: the text or "", twin) of the documents.
+
+    ``twin`` is 0, or 31 bits of the text's hash above 32 zero bits where the key
+    is null or has several texts, so (key, twin) names a text.
+    """
+    rows = documents.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    apart = F.shiftleft(F.shiftrightunsigned(F.xxhash64("body"), 33), 32)
+    texts = rows.where("key IS NOT NULL").groupBy("key").agg(F.min(F.xxhash64("body")).alias("low"), F.max(F.xxhash64("body")).alias("top"))
+    several = settle(texts.where("low <> top").select("key", F.lit(True).alias("several")), "several")
+    if several.isEmpty():
+        return rows.withColumn("twin", F.when(F.col("key").isNull(), apart).otherwise(F.lit(0).cast("long")))
+    twin = F.when(F.col("several") | F.col("key").isNull(), apart).otherwise(F.lit(0).cast("long"))
+    return rows.join(several, "key", "left").withColumn("twin", twin).drop("several")
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, usable: Column, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, body, label double) of at most ``most`` labelled keys that are ``usable``.
 

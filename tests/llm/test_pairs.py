@@ -86,9 +86,30 @@ def test_part_enum_signatures_never_miss():
             assert one & two, (n, lost, len(other))
 
 
-@pytest.mark.parametrize("run", [256, 2])
-def test_line_dedup_keeps_first_lines(spark, docs, monkeypatch, run):
-    monkeypatch.setattr(line_dedup, "RUN", run)
+def test_line_dedup_of_rows_with_one_key(spark):
+    """Equal rows are one document; other texts of the key are documents of their own."""
+    line, other = "alpha beta gamma delta eta", "one two three four five"
+    rows = [(1, f"{line}\n{other}"), (1, f"{line}\n{other}"), (1, line), (None, line), (2, f"{other}\n{line} "), (3, "x\n\nx y")]
+    found = sorted((r.doc_id or 0, r.text, r.n_lines, r.n_removed) for r in line_dedup.deduplicate(table(spark, rows)).collect())
+    ones = [x for x in found if x[0] == 1]
+    assert sum(x[3] for x in ones) in (1, 4)  # which text of key 1 comes first is settled by a hash
+    assert len({x[1:] for x in ones}) == 2 and len(ones) == 3
+    assert (2, "", 2, 2) in found and (0, line, 1, 0) in found and (3, "x\n\nx y", 2, 0) in found
+
+
+@pytest.mark.parametrize("clash", ["n_lines", "key", "line", "gone", "row", "body", "twin"])
+def test_line_dedup_with_columns_of_its_names(spark, clash):
+    rows = table(spark, [(1, "a b c\na b c"), (2, "d")]).withColumn(clash, F.lit("mine"))
+    found = {r.doc_id: r for r in line_dedup.deduplicate(rows).collect()}
+    assert (found[1].text, found[1].n_removed, found[2].n_removed) == ("a b c", 1, 0)
+    assert clash == "n_lines" or found[1][clash] == "mine"
+
+
+@pytest.mark.parametrize("run, few, chunk", [(1024, 2, 1 << 18), (2, 1, 8)])
+def test_line_dedup_keeps_first_lines(spark, docs, monkeypatch, run, few, chunk):
+    """Also with runs cut in pieces, few neighbours and several words in a sign."""
+    for name, value in (("RUN", run), ("FEW", few), ("CHUNK", chunk), ("NEAR", min(run, 64))):
+        monkeypatch.setattr(line_dedup, name, value)
     lines, first = {}, {}
     for i, t in mixed_texts():
         for j, line in enumerate((t or "").encode().lower().split(b"\n")):

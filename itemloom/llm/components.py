@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from itemloom.llm.set_match import Stars
 from itemloom.llm.shared import discard, settle
 
 #: Rounds in which a group's nodes are compared with one of them.
@@ -40,8 +41,9 @@ def components(links: DataFrame) -> DataFrame:
         discard(last)
 
 
-def connect(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[Column, Column], Column], sift: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(node, component) of the links among nodes that share a group.
+def connect(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[Column, Column], Column], stars_of: Callable[[DataFrame], Stars] | None = None, links: DataFrame | None = None) -> DataFrame:
+    """(node, component) of the links among nodes that share a group, and of
+    ``links`` (a, b) that are known before.
 
     ``groups`` has (sign, node, n: the node's size); ``verify`` keeps those pairs
     (a, b) that are linked; ``fits`` says whether two sizes allow it. Only pairs
@@ -49,12 +51,13 @@ def connect(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: C
     lie in different components: a group of copies costs as many comparisons as
     it has members. After ``ROUNDS`` first nodes, pairs of a group whose
     components still differ are verified one by one if the group is small (or
-    there is no ``sift``). In a larger one all nodes meet a reference, the node
-    in the most such groups; of (reference, node, n) rows ``sift`` gives all pairs
-    (a, b) that may be linked though the reference doesn't link them. So no link
-    that connects is lost.
+    there is no ``stars_of``). In a larger one all nodes are compared through a
+    reference, the node in the most such groups (``Stars``). So no link that
+    connects is lost.
     """
-    links = None
+    given = links is not None and not links.isEmpty()
+    if not given:
+        links = None
     named = groups.select("node", F.col("node").alias("component")).limit(0)
 
     def learn(pairs: DataFrame) -> None:
@@ -64,6 +67,9 @@ def connect(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: C
         last, named = named, settle(components(links), "components")
         discard(last)
 
+    if given:
+        named = settle(components(links), "components")
+
     def open_groups() -> DataFrame:
         """Groups with nodes of several components."""
         if links is None:
@@ -87,20 +93,27 @@ def connect(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: C
         discard(pairs)
 
     left = settle(open_groups().select("sign", "node", "n", "component", "members"), "groups")
-    small = left if sift is None else left.where(F.col("members") <= SMALL)
+    small = left if stars_of is None else left.where(F.col("members") <= SMALL)
     other = small.select("sign", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_component"))
     mine = small.select(F.col("sign").alias("own_sign"), "node", "n", "component")
     met = other.join(mine, (F.col("sign") == F.col("own_sign")) & (F.col("a") < F.col("node")) & (F.col("a_component") != F.col("component")) & fits(F.col("a_n"), F.col("n")))
     pairs, stars = met.select("a", F.col("node").alias("b")), None
-    large = None if sift is None else left.where(F.col("members") > SMALL)
+    large = None if stars_of is None else left.where(F.col("members") > SMALL)
     if large is not None and not large.isEmpty():
         # A node in many of these groups has few differences of its own; so few nodes serve many groups.
         common = large.groupBy("node").agg(F.count("*").alias("groups"))
         chosen = large.join(common, "node").groupBy("sign").agg(F.max(F.struct("groups", "node")).alias("most")).select("sign", F.col("most.node").alias("reference"))
         stars = settle(large.join(chosen, "sign").select("reference", "node", "n").distinct(), "stars")
-        pairs = pairs.unionByName(stars.where("reference <> node").select(F.col("reference").alias("a"), F.col("node").alias("b"))).unionByName(sift(stars))
     pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     if not pairs.isEmpty():
         learn(pairs)
-    discard(pairs, left, stars)
+    discard(pairs, left)
+    if stars is not None:
+        compared = stars_of(stars)
+        for found in (compared.leads, lambda: compared.others(named)):
+            pairs = settle(found().select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+            if not pairs.isEmpty():
+                learn(pairs)
+            discard(pairs)
+        discard(stars, compared.rows)
     return named

@@ -15,8 +15,9 @@ links connect needs no further comparison. After some rounds, pairs of documents
 of a signature that are still in different components are compared one by one.
 So no link between components is lost, and copies aren't expanded into pairs.
 
-Rows with the same key are one document; rows without a key share the component
-of an equal text, if there is one. Null and empty texts have no shingles and no
+Rows with the same key have one component, and what links with one of their texts
+has it, too; rows without a key share the component of an equal text, if there is
+one. An empty table gives an empty one; columns of any other name don't matter. Null and empty texts have no shingles and no
 links. Components are found without the driver (``components``).
 """
 
@@ -34,39 +35,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemloom.llm.components import connect
-from itemloom.llm.set_match import matched, sifted
-from itemloom.llm.shared import discard, keep_shared, settle, slices
+from itemloom.llm.set_match import Stars, matched
+from itemloom.llm.shared import discard, keep_shared, settle
+from itemloom.llm.words import Words, blocks, mixed
 
 #: Up to so many differences, pairs of parts are signed.
 FEW = 7
 
-_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A one-to-one scrambling of 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
-    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
-    return x ^ (x >> np.uint64(31))
-
-
-def word_hashes(text: str) -> np.ndarray:
-    """Hashes of the words of a text with A-Z lowered; words end at ASCII white space."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
-def shingles(text: str, size: int) -> np.ndarray:
-    """The sorted distinct hashes of word shingles; shorter texts are one shingle."""
-    words = word_hashes(text)
-    if not len(words):
-        return words
-    if len(words) < size:
-        return np.array([xxhash.xxh3_64_intdigest(words.tobytes(), len(words))], np.uint64)
-    out = np.zeros(len(words) - size + 1, np.uint64)
+def shingles_of(words: Words, size: int) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its word shingles; a text of
+    fewer words is one shingle."""
+    hashes, out = words.hashes, np.zeros(max(0, len(words.hashes) - size + 1), np.uint64)
     for i in range(size):
-        out = mixed(out + words[i : i + len(out)] + np.uint64(i))
-    return np.unique(out)
+        out = mixed(out + hashes[i : i + len(out)] + np.uint64(i))
+    found = []
+    for low, high in zip(words.texts[:-1].tolist(), words.texts[1:].tolist(), strict=True):
+        if high - low >= size:
+            found.append(np.unique(out[low : high - size + 1]))
+        else:
+            found.append(np.array([xxhash.xxh3_64_intdigest(hashes[low:high].tobytes(), high - low)], np.uint64) if high > low else hashes[:0])
+    return found
 
 
 @dataclass(frozen=True)
@@ -128,10 +116,9 @@ def _sets(documents: DataFrame, key: str, text: str, size: int, share: int, of:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bands(1000, share, of)
-        for batch in slices(batches, "body", 4_000_000):
+        for batch, words in blocks(batches, lowered=True):
             n, digests, signs = [], [], []
-            for body in batch.column("body").to_pylist():
-                items = shingles(body, size)
+            for items in shingles_of(words, size):
                 n.append(len(items))
                 if not len(items):
                     digests.append(None)
@@ -153,27 +140,24 @@ def similar(documents: DataFrame, key: str = "doc_id", text: str = "text", size:
     found = settle(_sets(documents, key, text, size, share, of), "sets")
     classes = found.where("digest IS NOT NULL").groupBy("digest").agg(F.min("key").alias("node"))
     members = settle(found.select("key", "n", "digest").join(classes, "digest", "left").select("key", "n", F.coalesce("node", "key").alias("node")), "members")
-
-    together = keep_shared(found.where("n > 0 AND key IS NOT NULL").select(F.explode("signs").alias("sign"), "key"))
-    sizes = members.where("n > 0 AND key IS NOT NULL").select("key", "n", "node").distinct()
-    rough = settle(together.join(sizes, "key").select("sign", "node", "n").distinct(), "groups")
+    nodes = found.where("n > 0 AND key IS NOT NULL").groupBy("digest").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("signs").alias("signs"))
+    groups = settle(keep_shared(nodes.select(F.explode("signs").alias("sign"), "key", "n"), "n").withColumnRenamed("key", "node"), "groups")
     discard(found)
-    # Of these, documents that share a sign with another class.
-    several = rough.groupBy("sign").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low < top").select("sign")
-    groups = settle(rough.join(several, "sign"), "groups")
-    discard(rough)
-
+    # Texts with the same key belong together.
+    keyed = members.where("n > 0 AND key IS NOT NULL")
+    nodes = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low < top").select("key", F.col("low").alias("a"))
+    twins = settle(keyed.join(nodes, "key").select("a", F.col("node").alias("b")).where("a < b").distinct(), "twins")
     wanted = groups.select(F.col("node").alias("key")).distinct()
     source = documents.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body")).join(wanted, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "body", 4_000_000):
-            sets = [shingles(body, size).view(np.int64) for body in batch.column("body").to_pylist()]
+        for batch, words in blocks(batches, lowered=True):
+            sets = [items.view(np.int64) for items in shingles_of(words, size)]
             yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "items": pa.array(sets, pa.list_(pa.int64()))})
 
     sets = settle(source.mapInArrow(run, "key long, items array<long>"), "items")
 
-    named = connect(groups, lambda pairs: matched(pairs, sets, share, of), lambda a, b: of * F.least(a, b) >= share * F.greatest(a, b), lambda stars: sifted(stars, sets, share, of))
+    named = connect(groups, lambda pairs: matched(pairs, sets, share, of), lambda a, b: of * F.least(a, b) >= share * F.greatest(a, b), lambda stars: Stars(stars, sets, share, of), twins)
     discard(groups, sets)
     return members.join(named, "node", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component"))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from itemloom.llm.shared import settle, slices
+from itemloom.llm.shared import discard, settle, slices
 
 
 def matched(pairs: DataFrame, sets: DataFrame, share: int, of: int) -> DataFrame:
@@ -31,37 +31,70 @@ def matched(pairs: DataFrame, sets: DataFrame, share: int, of: int) -> DataFrame
     return rows.mapInArrow(run, "a long, b long")
 
 
-def sifted(stars: DataFrame, sets: DataFrame, share: int, of: int) -> DataFrame:
-    """Pairs (a, b) of nodes with a common reference that may be similar enough
-    though not both are so to it.
+class Stars:
+    """Pairs of nodes with a common reference that may be similar enough, without
+    comparing all of them.
 
-    Each node stands for the shingles in which it differs from the reference.
-    Two nodes differ in the sum of their differences less twice the common ones.
-    If the sum alone is small enough, the reference links both. Else they have
-    differences in common, and as many that they share one of their rarest: the
-    fewer differences of the two are looked up by a short prefix, the more by one
-    of about their half. Copies that were edited each in its own way share none.
+    ``stars`` has (reference, node, n: the node's size), the reference itself
+    included. Each node stands for the shingles in which it differs from its
+    star's consensus: the reference, changed where most nodes differ from it. Two
+    nodes differ in the sum of their differences less twice the common ones. With
+    the excess of a node, its differences less ``(of - share) / (of + share)`` of
+    its size, nodes are similar if they have half the sum of their excesses in
+    common, at least. Where this sum isn't positive, the star's node of least
+    excess is similar to both (``leads``). Else they share a difference, and one
+    of their rarest (``others``); differences of one node alone meet nothing, so
+    copies that were edited each in its own way aren't compared.
     """
-    left = sets.select(F.col("key").alias("reference"), F.col("items").alias("mine"))
-    right = sets.select(F.col("key").alias("node"), F.col("items").alias("theirs"))
-    rows = stars.where("reference <> node").join(left, "reference").join(right, "node").select("reference", "node", "n", "mine", "theirs")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(iter([whole]), "mine", 8_000_000):
-                apart = [np.setxor1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True) for x, y in zip(batch.column("mine"), batch.column("theirs"), strict=True)]
-                at = np.repeat(np.arange(batch.num_rows), [len(d) for d in apart])
-                yield pa.RecordBatch.from_pydict({c: batch.column(c).to_numpy()[at] for c in ("reference", "node", "n")} | {"size": np.array([len(d) for d in apart], np.int64)[at], "item": np.concatenate(apart)})
-
-    apart = settle(rows.mapInArrow(run, "reference long, node long, n long, size long, item long"), "apart")
-    common = apart.groupBy("reference", "item").agg(F.count("*").alias("held")).where("held > 1")
-    order = Window.partitionBy("reference", "node").orderBy("held", "item")
-    # Differences of one node alone come first in the order and join with nothing.
-    ranked = apart.join(common, ["reference", "item"]).withColumn("place", F.row_number().over(order) + F.col("size") - F.count("*").over(Window.partitionBy("reference", "node")))
-    allowed = F.floor((of - share) * F.col("n") / share)
-    few = ranked.where(F.col("place") <= F.floor(allowed / 2) + 1).select("reference", "item", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("size").alias("a_size"))
-    more = ranked.where(F.col("place") <= F.floor((F.col("size") + allowed) / 2) + 1).select(F.col("reference").alias("r"), F.col("item").alias("i"), F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("size").alias("b_size"))
-    fits = of * F.least("a_n", "b_n") >= share * F.greatest("a_n", "b_n")
-    # What has few differences for its size is linked by the reference itself.
-    far = F.col("b_size") * (of + share) > (of - share) * F.col("b_n")
-    return few.join(more, (F.col("reference") == F.col("r")) & (F.col("item") == F.col("i")) & (F.struct("a_size", "a") < F.struct("b_size", "b")) & fits & far).select("a", "b").distinct()
+    def __init__(self, stars: DataFrame, sets: DataFrame, share: int, of: int):
+        self.share, self.of = share, of
+        left = sets.select(F.col("key").alias("reference"), F.col("items").alias("mine"))
+        right = sets.select(F.col("key").alias("node"), F.col("items").alias("theirs"))
+        apart = settle(self._apart(stars.join(left, "reference").join(right, "node").select("reference", "node", F.size("theirs").cast("long").alias("n"), "mine", "theirs")), "apart")
+        members = apart.groupBy("reference").agg(F.count("*").alias("members"))
+        held = apart.select("reference", F.explode("theirs").alias("item")).groupBy("reference", "item").agg(F.count("*").alias("held"))
+        # At most twice as many as a node differs in.
+        common = held.join(members, "reference").where(2 * F.col("held") > F.col("members")).groupBy("reference").agg(F.collect_list("item").alias("mine"))
+        rows = self._apart(apart.join(common, "reference", "left"))
+        self.rows = settle(rows.withColumn("excess", F.size("theirs") * (of + share) - F.col("n") * (of - share)), "apart")
+        discard(apart)
+
+    @staticmethod
+    def _apart(rows: DataFrame) -> DataFrame:
+        """(reference, node, n, theirs): what one of ``mine`` and ``theirs`` lacks."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in slices(iter([whole]), "theirs", 8_000_000):
+                    apart = [np.setxor1d(np.asarray(x.values if x.is_valid else [], np.int64), np.asarray(y.values, np.int64)) for x, y in zip(batch.column("mine"), batch.column("theirs"), strict=True)]
+                    yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("reference", "node", "n")} | {"theirs": pa.array(apart, pa.list_(pa.int64()))})
+
+        return rows.select("reference", "node", "n", "mine", "theirs").mapInArrow(run, "reference long, node long, n long, theirs array<long>")
+
+    def leads(self) -> DataFrame:
+        """Pairs (a, b) of a star's node of least excess with those similar to it."""
+        lead = self.rows.groupBy("reference").agg(F.min(F.struct("excess", "node")).alias("lead"))
+        met = self.rows.join(lead, "reference").where((F.col("node") != F.col("lead.node")) & (F.col("excess") + F.col("lead.excess") <= 0))
+        return met.select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
+
+    def others(self, named: DataFrame) -> DataFrame:
+        """Pairs (a, b) of nodes with different components that have differences
+        in common; ``named`` has (node, component)."""
+        placed = self.rows.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        least = placed.groupBy("reference").agg(F.min("excess").alias("least"), F.min("component").alias("low"), F.max("component").alias("top")).where("low < top").select("reference", "least")
+        placed = placed.join(least, "reference").withColumn("size", F.size("theirs").cast("long"))
+        # A node with several texts is one row for each.
+        items = placed.select("reference", "node", F.xxhash64("theirs").alias("text"), "n", "component", "excess", "least", "size", F.explode("theirs").alias("item"))
+        shared = items.groupBy("reference", "item").agg(F.count("*").alias("held"), F.min("component").alias("low"), F.max("component").alias("top")).where("low < top").select("reference", "item", "held")
+        own = Window.partitionBy("reference", "node", "text")
+        order = own.orderBy("held", "item")
+        # What no other component has comes first in the order and meets nothing.
+        ranked = items.join(shared, ["reference", "item"]).withColumn("place", F.row_number().over(order) + F.col("size") - F.count("*").over(own))
+        # The excess is in units of 1 / (of + share).
+        reach = lambda excess: F.col("size") - F.greatest(F.ceil(excess / (2 * (self.of + self.share))), F.lit(1)) + 1
+        few = ranked.where(F.col("place") <= reach(2 * F.col("excess"))).select("reference", "item", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("excess").alias("a_excess"), F.col("component").alias("a_component"))
+        more = ranked.where(F.col("place") <= reach(F.col("excess") + F.col("least"))).select(F.col("reference").alias("r"), F.col("item").alias("i"), F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("excess").alias("b_excess"), F.col("component").alias("b_component"))
+        fits = (self.of * F.least("a_n", "b_n") >= self.share * F.greatest("a_n", "b_n")) & (F.col("a_component") != F.col("b_component")) & (F.col("a_excess") + F.col("b_excess") > 0)
+        met = few.join(more, (F.col("reference") == F.col("r")) & (F.col("item") == F.col("i")) & (F.struct("a_excess", "a") < F.struct("b_excess", "b")) & fits)
+        return met.select("a", "b").distinct()

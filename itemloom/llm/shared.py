@@ -119,22 +119,22 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, usable:
 def keep_shared(rows: DataFrame, *more: str) -> DataFrame:
     """Of (sign, key, ``more``: whole numbers), the rows whose sign another key has.
 
-    Rows are sorted over ranges of (sign, key), so a sign with any number of
+    Rows are sorted over ranges, so a sign with any number of
     rows is spread over tasks like the others. A range can't see its
     neighbours: the rows of its first and last sign stay too, and whoever
     groups the result by sign finds them alone.
     """
     names = ("sign", "key", *more)
-    ordered = rows.select(*(F.col(c).cast("long").alias(c) for c in names)).repartitionByRange(shuffle_width(rows.sparkSession), "sign", "key").sortWithinPartitions("sign", "key")
+    ordered = rows.select(*(F.col(c).cast("long").alias(c) for c in names)).repartitionByRange(shuffle_width(rows.sparkSession), *names).sortWithinPartitions(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64) for _ in names]
         begun, joined = False, False
         for batch in batches:
             columns = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, names, strict=True)]
-            sign, key = columns[:2]
+            sign = columns[0]
             again = np.zeros(len(sign), bool)
-            again[1:] = (sign[1:] == sign[:-1]) & (key[1:] == key[:-1])
+            again[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in columns])
             columns = [c[~again] for c in columns]
             sign = columns[0]
             if not len(sign):

@@ -27,13 +27,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemloom.llm.part_enum import mixed
-from itemloom.llm.shared import discard, keep_shared, scratch_path, settle, shuffle_width, slices
+from itemloom.llm.shared import discard, keep_shared, scratch_path, settle, shuffle_width
+from itemloom.llm.words import Words, blocks, mixed
 
 SPAN = 20
 #: Words of an anchor gram.
@@ -42,12 +41,6 @@ GRAM = 6
 FANOUT = 3
 
 
-def hashed_words(text: str) -> tuple[list[bytes], np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+``, unchanged, and their hashes."""
-    words = text.encode("utf-8", "surrogatepass").split()
-    return words, np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
 def _grams(hashes: np.ndarray, size: int, seed: int) -> np.ndarray:
     """Hashes of ``size`` words in a row: polynomials of the words' hashes, built by
     doubling, then scrambled."""
@@ -88,6 +81,32 @@ def checks(hashes: np.ndarray) -> np.ndarray:
     return mixed(sums[SPAN:] - sums[:-SPAN])
 
 
+class _Windows:
+    """The windows of a block's texts: the ``text`` and the ``place`` in it, the
+    hash ``one`` and the ``anchor`` of each."""
+
+    def __init__(self, words: Words):
+        self.words, hashes, bounds = words, words.hashes, words.texts
+        of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        self.at = np.flatnonzero(of[: max(0, len(of) - SPAN + 1)] == of[SPAN - 1 :])
+        self.text = of[self.at]
+        self.place = self.at - bounds[self.text]
+        self.one, self.anchor = windows(hashes)[self.at], anchored(hashes)[self.at]
+
+    def stretches(self) -> np.ndarray:
+        """Where the anchor or the text changes."""
+        new = np.ones(len(self.at), bool)
+        new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (self.text[1:] != self.text[:-1])
+        return np.flatnonzero(new)
+
+    def repeats(self) -> np.ndarray:
+        """Whether a window begins earlier in its own text, too."""
+        order = np.argsort(self.one, kind="stable")
+        out = np.zeros(len(order), bool)
+        out[order[1:]] = (self.one[order[1:]] == self.one[order[:-1]]) & (self.text[order[1:]] == self.text[order[:-1]])
+        return out
+
+
 def _source(documents: DataFrame, key: str, text: str) -> DataFrame:
     return documents.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
 
@@ -96,10 +115,18 @@ def _anchors(source: DataFrame) -> DataFrame:
     """(key, text_hash, anchors: distinct hashes) of documents with windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "body", 4_000_000):
-            found = [np.unique(anchored(hashed_words(body)[1])).view(np.int64) for body in batch.column("body").to_pylist()]
-            rows = pa.RecordBatch.from_pydict({"key": batch.column("key"), "text_hash": batch.column("text_hash"), "anchors": pa.array(found, pa.list_(pa.int64()))})
-            yield rows.filter(pa.array([len(x) > 0 for x in found], pa.bool_()))
+        for batch, words in blocks(batches):
+            found = _Windows(words)
+            at = found.stretches()
+            text, anchor = found.text[at], found.anchor[at]
+            order = np.lexsort((anchor, text))
+            text, anchor = text[order], anchor[order]
+            new = np.ones(len(at), bool)
+            new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+            count = np.bincount(text[new], minlength=batch.num_rows)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), anchor[new].view(np.int64))
+            rows = pa.RecordBatch.from_pydict({"key": batch.column("key"), "text_hash": batch.column("text_hash"), "anchors": lists})
+            yield rows.filter(pa.array(count > 0))
 
     return source.select("key", "body", F.xxhash64("body").alias("text_hash")).mapInArrow(run, "key long, text_hash long, anchors array<long>")
 
@@ -117,20 +144,20 @@ def _windows(rows: DataFrame) -> DataFrame:
     hash's upper half and the place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "body", 4_000_000):
-            signs, infos, counts = [], [], []
-            for body, wanted in zip(batch.column("body").to_pylist(), batch.column("anchors"), strict=True):
-                hashes = hashed_words(body)[1]
-                anchor, one, two = anchored(hashes), windows(hashes), checks(hashes)
-                _, first = np.unique(one, return_index=True)
-                first = first[np.isin(anchor[first], wanted.values.to_numpy().view(np.uint64))]
-                signs.append(one[first])
-                infos.append((two[first] & np.uint64(0xFFFFFFFF00000000)) | first.astype(np.uint64))
-                counts.append(len(first))
-            at = np.repeat(np.arange(batch.num_rows), counts)
+        for batch, words in blocks(batches):
+            found, two = _Windows(words), checks(words.hashes)
+            at = found.stretches()
+            wanted = batch.column("anchors")
+            # Other anchors of equal hash would only add rows.
+            named = lambda anchor, text: mixed(anchor + mixed(text.astype(np.uint64)))
+            of = np.repeat(np.arange(batch.num_rows), np.diff(wanted.offsets.to_numpy()))
+            good = np.isin(named(found.anchor[at], found.text[at]), named(wanted.flatten().to_numpy().view(np.uint64), of))
+            good = np.repeat(good, np.diff(np.append(at, len(found.at)))) & ~found.repeats()
+            rows, place = found.text[good], found.place[good]
             yield pa.RecordBatch.from_pydict({
-                "sign": np.concatenate(signs).view(np.int64), "age": batch.column("age").to_numpy()[at],
-                "key": batch.column("key").to_numpy()[at], "twin": batch.column("twin").to_numpy()[at], "info": np.concatenate(infos).view(np.int64),
+                "sign": found.one[good].view(np.int64), "age": batch.column("age").to_numpy()[rows],
+                "key": batch.column("key").to_numpy()[rows], "twin": batch.column("twin").to_numpy()[rows],
+                "info": ((two[found.at[good]] & np.uint64(0xFFFFFFFF00000000)) | place.astype(np.uint64)).view(np.int64),
             })
 
     return rows.mapInArrow(run, "sign long, age int, key long, twin long, info long")
@@ -200,25 +227,21 @@ def _kept(rows: DataFrame) -> DataFrame:
     """(key, n_words, n_removed, kept: the words that stay, joined by spaces)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "body", 4_000_000):
-            total, removed, kept = [], [], []
-            for body, places in zip(batch.column("body").to_pylist(), batch.column("places"), strict=True):
-                words, hashes = hashed_words(body)
-                one = windows(hashes)
-                edges = np.zeros(len(words) + 1, np.int64)
-                if len(one):
-                    start = np.ones(len(one), bool)
-                    start[np.unique(one, return_index=True)[1]] = False
-                    if places.is_valid:
-                        start[places.values.to_numpy()] = True
-                    at = np.flatnonzero(start)
-                    np.add.at(edges, at, 1)
-                    np.add.at(edges, at + SPAN, -1)
-                covered = np.cumsum(edges[:-1]) > 0
-                total.append(len(words))
-                removed.append(int(covered.sum()))
-                kept.append(b" ".join(words if not removed[-1] else [w for w, gone in zip(words, covered.tolist(), strict=True) if not gone]))
-            yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
+        for batch, words in blocks(batches):
+            found = _Windows(words)
+            places, first = batch.column("places"), words.texts[:-1]
+            count = np.diff(places.offsets.to_numpy()) * places.is_valid().to_numpy(zero_copy_only=False)
+            at = np.concatenate([found.at[found.repeats()], places.drop_null().flatten().to_numpy() + np.repeat(first, count)])
+            edges = np.zeros(len(words.hashes) + 1, np.int64)
+            np.add.at(edges, at, 1)
+            np.add.at(edges, at + SPAN, -1)
+            gone = np.cumsum(edges[:-1]) > 0
+            sums = np.concatenate([[0], np.cumsum(gone)])[words.texts]
+            total, removed, kept = np.diff(words.texts), np.diff(sums), []
+            for body, some, low, high in zip(batch.column("body").to_pylist(), removed.tolist(), words.texts[:-1].tolist(), words.texts[1:].tolist(), strict=True):
+                own = body.encode("utf-8", "surrogatepass").split()
+                kept.append(b" ".join(own if not some else [w for w, dead in zip(own, gone[low:high].tolist(), strict=True) if not dead]))
+            yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "n_words": total, "n_removed": removed, "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
     return rows.select("key", "body", "places").mapInArrow(run, "key long, n_words long, n_removed long, kept string")
 

@@ -6,11 +6,11 @@ any order is right, a good one keeps candidates few. Lines that are similar
 enough share one of their first words, so each line is signed by these. Rows of
 a sign are sorted by range, and its lines are compared: lengths, the words'
 places and 64 parity bits of the sets leave few pairs. Of each line's, the
-``FEW`` earliest are verified on the sets. A line goes if it matches one that
+``FEW`` earliest are verified on the sets, the rest only where none matches. A line goes if it matches one that
 begins earlier (smaller key, or same key and smaller line number), whatever
 becomes of that one; so one match is enough.
 
-What this leaves open is settled by the sets: lines with more than ``FEW``
+What this leaves open is settled by the sets: lines with more than ``MANY``
 candidates that weren't removed, lines of signs with more than ``RUN`` lines, and
 those at the ends of a range of rows. Such lines, the probes, meet all earlier
 ones of the sign. Where a sign is crowded it is first joined with each other one
@@ -39,18 +39,24 @@ from itemloom.llm.shared import discard, settle, shuffle_width, slices, told_apa
 from itemloom.llm.words import Words, blocks, mixed
 
 #: Cells of the table of word counts.
-CELLS = 1 << 20
+CELLS, BLOCK = 1 << 22, 1 << 14
 #: Candidates of a row that are verified at once.
-FEW = 2
+FEW = 4
+#: Candidates of a row up to which all are noted at once.
+MANY = 64
 #: The most lines of a sign that are all compared with each other.
 RUN = 1024
 #: Neighbours that a line of a longer run is compared with.
 NEAR = 64
 #: Words of a sign, at most.
 DEPTH = 4
+#: Lines of more words have ``MORE`` times 64 further bits (a power of two less one).
+LONG, MORE = 64, 3
 #: Rows that are compared at once; a longer run is handled in pieces.
 CHUNK = 1 << 18
 PLACE = (1 << 32) - 1
+PARITIES = [f"parity{i}" for i in range(1 + MORE)]
+COLUMNS = ["sign", "info", "class", "key", "line", *PARITIES]
 
 
 def least_common(n, share: int, of: int):
@@ -64,7 +70,7 @@ def only_equal(n, share: int, of: int):
 
 
 def _cells(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(44)).astype(np.int64)
+    return (hashes >> np.uint64(42)).astype(np.int64)
 
 
 class _Lines:
@@ -98,10 +104,19 @@ class _Lines:
 
     def parities(self) -> np.ndarray:
         """64 bits per line, of which each word flips one: two lines differ in as
-        many words, at least, as their bits do."""
-        out = np.zeros(self.n, np.uint64)
+        many words, at least, as their bits do. For lines of more than ``LONG`` words
+        further rows tell which of these words flip one of 64, 128 and 192 other bits."""
+        out = np.zeros((1 + MORE, self.n), np.uint64)
         if len(self.full):
-            out[self.full] = np.bitwise_xor.reduceat(np.uint64(1) << (self.hashes & np.uint64(63)), self.starts[self.full])
+            bits, part = np.uint64(1) << (self.hashes & np.uint64(63)), (self.hashes >> np.uint64(6)) & np.uint64(MORE)
+            out[0, self.full] = np.bitwise_xor.reduceat(bits, self.starts[self.full])
+            long = self.full[self.sizes[self.full] > LONG]
+            if len(long):
+                some = self.sizes[self.line] > LONG
+                bits, part = bits[some], part[some]
+                starts = np.cumsum(self.sizes[long]) - self.sizes[long]
+                for i in range(1, 1 + MORE):
+                    out[i, long] = np.bitwise_xor.reduceat(np.where(part == i, bits, 0), starts)
         return out
 
     def signs(self, classes: np.ndarray, share: int, of: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,33 +133,40 @@ class _Lines:
 
 def _rarity(source: DataFrame) -> np.ndarray:
     """Per cell the logarithm of its words' count in all documents, as a small
-    number; the cells' counts are summed by Spark, in blocks of 4096."""
+    number; the cells' counts are summed by Spark, in blocks of ``BLOCK``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.int64)
         for _, words in blocks(batches, lowered=True):
-            counts += np.bincount(_cells(words.hashes), minlength=CELLS)
-        full = np.flatnonzero(counts.reshape(-1, 4096).any(axis=1))
-        yield pa.RecordBatch.from_pydict({"block": full, "counts": pa.array([counts[i * 4096 : i * 4096 + 4096].tobytes() for i in full], pa.binary())})
+            np.add.at(counts, _cells(words.hashes), 1)
+        full = np.flatnonzero(counts)
+        edges = np.searchsorted(full, np.arange(0, CELLS + 1, BLOCK))
+        parts = [(i, full[low:high]) for i, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if low < high]
+        yield pa.RecordBatch.from_pydict({
+            "block": pa.array([i for i, _ in parts], pa.int64()), "cells": pa.array([(at % BLOCK).astype(np.uint16).tobytes() for _, at in parts], pa.binary()),
+            "counts": pa.array([np.minimum(counts[at], (1 << 32) - 1).astype(np.uint32).tobytes() for _, at in parts], pa.binary()),
+        })
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                sums[block] = sums.get(block, 0) + np.frombuffer(counts, np.int64)
+            for block, cells, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "cells", "counts")), strict=True):
+                sums.setdefault(block, np.zeros(BLOCK, np.int64))[np.frombuffer(cells, np.uint16)] += np.frombuffer(counts, np.uint32)
         ranks = [np.minimum(8 * np.log2(x + 1), 255).astype(np.uint8).tobytes() for x in sums.values()]
         yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int64()), "ranks": pa.array(ranks, pa.binary())})
 
-    parts = source.select("body").mapInArrow(run, "block long, counts binary").repartition("block")
-    out = np.zeros((CELLS // 4096, 4096), np.uint8)
-    # A row for each 4096 cells: a megabyte in all.
-    for row in parts.mapInArrow(total, "block long, ranks binary").toLocalIterator():
+    parts = source.select("body").mapInArrow(run, "block long, cells binary, counts binary").repartition("block")
+    summed = settle(parts.mapInArrow(total, "block long, ranks binary"), "rarity")
+    out = np.zeros((CELLS // BLOCK, BLOCK), np.uint8)
+    # A byte for each cell in all.
+    for row in summed.toLocalIterator():
         out[row.block] = np.frombuffer(bytes(row.ranks), np.uint8)
+    discard(summed)
     return out.reshape(-1)
 
 
 def _signed(source: DataFrame, rarity: np.ndarray, share: int, of: int) -> DataFrame:
-    """(sign, info: size and place, class, parity, key, line) of the lines. Of equal
+    """(sign, info: size and place, class, key, line, parities) of the lines. Of equal
     lines of a block only the first has all signs, the others the one at place 0."""
     shared = source.sparkSession.sparkContext.broadcast(rarity)
 
@@ -161,11 +183,10 @@ def _signed(source: DataFrame, rarity: np.ndarray, share: int, of: int) -> DataF
             used = ~later[line] | (place == 0)
             line, place, sign = line[used], place[used], sign[used]
             yield pa.RecordBatch.from_pydict({
-                "sign": sign.view(np.int64), "info": (own.sizes[line] << 32) | place, "class": classes[line].view(np.int64),
-                "parity": parity[line].view(np.int64), "key": key[line], "line": number[line],
-            })
+                "sign": sign.view(np.int64), "info": (own.sizes[line] << 32) | place, "class": classes[line].view(np.int64), "key": key[line], "line": number[line],
+            } | {c: parity[i, line].view(np.int64) for i, c in enumerate(PARITIES)})
 
-    return source.mapInArrow(run, "sign long, info long, class long, parity long, key long, line long")
+    return source.mapInArrow(run, ", ".join(f"{c} long" for c in COLUMNS))
 
 
 class _Earliest:
@@ -192,16 +213,27 @@ def _alike(i: np.ndarray, j: np.ndarray, n: np.ndarray, place: np.ndarray, parit
     good = of * np.minimum(n[i], n[j]) >= share * np.maximum(n[i], n[j])
     most = np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j])
     good &= most * (of + share) >= share * both
-    return good & (np.bitwise_count(parity[i] ^ parity[j]).astype(np.int64) * (of + share) <= (of - share) * both)
+    at = np.flatnonzero(good)
+    i, j = i[at], j[at]
+    both = both[at]
+    apart = parity[:, i] ^ parity[:, j]
+    least = np.bitwise_count(apart[0]).astype(np.int64)
+    long = np.flatnonzero((n[i] > LONG) & (n[j] > LONG))
+    if len(long):
+        # What the further parts don't have is in the first one.
+        more = apart[1:, long]
+        least[long] = np.bitwise_count(more).sum(axis=0, dtype=np.int64) + np.bitwise_count(apart[0, long] ^ np.bitwise_xor.reduce(more))
+    good[at] = least * (of + share) <= (of - share) * both
+    return good
 
 
 def _compared(columns: list[np.ndarray], cut: np.ndarray, share: int, of: int) -> tuple[np.ndarray, ...]:
-    """Of rows sorted by sign, size, place, class, key and line: (copies of a line
-    that stands before them, and pairs of an earlier and a later row, and the rows
-    that are open). Rows are given by number; signs that are ``cut`` have rows
-    elsewhere, too."""
-    sign, info, name, parity, key, line = columns
-    n, place, parity = info >> 32, info & PLACE, parity.view(np.uint64)
+    """Of rows sorted by sign, size, place, class, key and line: copies of a line
+    that stands before them; pairs of an earlier and a later row; more such pairs;
+    rows that may have still more; the rows of open signs, and whether they may match
+    others. Rows are given by number; signs that are ``cut`` have rows elsewhere, too."""
+    sign, info, name, key, line = columns[:5]
+    n, place, parity = info >> 32, info & PLACE, np.stack(columns[5:]).view(np.uint64)
     again = np.zeros(len(sign), bool)
     again[1:] = (sign[1:] == sign[:-1]) & (name[1:] == name[:-1])
     whole = np.maximum.accumulate(np.where(again, 0, np.arange(len(sign))))
@@ -212,7 +244,7 @@ def _compared(columns: list[np.ndarray], cut: np.ndarray, share: int, of: int) -
     run = np.cumsum(begins)[rows] - 1
     length = np.bincount(run, minlength=int(begins.sum()))
     rows, run = rows[(length[run] > 1) | cut[rows]], run[(length[run] > 1) | cut[rows]]
-    n, place, parity, open_ = n[rows], place[rows], parity[rows], cut[rows]
+    n, place, parity, open_ = n[rows], place[rows], parity[:, rows], cut[rows]
     by_age = np.lexsort((line[rows], key[rows]))
     age = np.empty(len(rows), np.int64)
     age[by_age] = np.arange(len(rows))
@@ -226,50 +258,74 @@ def _compared(columns: list[np.ndarray], cut: np.ndarray, share: int, of: int) -
         some = np.flatnonzero(crowded & (lead != np.arange(len(rows))))
         some = some[_alike(some, lead[some], n, place, parity, share, of)]
         found.offer(some, age[lead[some]])
-    offset, active = 1, np.flatnonzero(run[1:] == run[:-1]) + 1
-    while len(active):
-        # Sizes only fall from here: a row whose neighbour is too small has met all it can.
-        active = active[of * n[active - offset] >= share * n[active]]
-        i = active[_alike(active, active - offset, n, place, parity, share, of)]
-        if len(i):
-            j = i - offset
-            late = age[i] > age[j]
-            found.offer(i[late], age[j[late]])
-            found.offer(j[~late], age[i[~late]])
-        offset += 1
-        active = active[active >= offset]
-        active = active[(run[active] == run[active - offset]) & (~crowded[active] | (offset <= NEAR))]
+    met = _Met(n, place, parity, run, ~crowded, share, of)
+    for i, j in met.pairs(np.ones(len(rows), bool)):
+        late = age[i] > age[j]
+        found.offer(i[late], age[j[late]])
+        found.offer(j[~late], age[i[~late]])
+    open_ = (crowded | open_) & ~only_equal(n, share, of)
     which, later = np.nonzero(found.best < np.iinfo(np.int64).max)
-    earlier = by_age[found.best[which, later]]
-    over = (found.count > FEW) | crowded | open_
-    over &= ~only_equal(n, share, of)
-    marked = np.zeros(len(length), bool)
-    marked[run[over]] = True
-    kept = np.flatnonzero(marked[run] | open_)
-    return copies, rows[earlier], rows[later], rows[kept], over[kept]
-
-
-_MET = "kind int, key long, line long, a_key long, a_line long, sign long, class long, n long, parity long"
+    first = [(by_age[found.best[which, later]], later)]
+    # All candidates of rows with some more.
+    some = (found.count > FEW) & (found.count <= MANY) & ~open_
+    rest = []
+    for i, j in met.pairs(np.isin(run, run[some])) if some.any() else ():
+        late = age[i] > age[j]
+        i, j = np.where(late, i, j), np.where(late, j, i)
+        rest.append((j[some[i]], i[some[i]]))
+    first, rest = (tuple(rows[np.concatenate([np.empty(0, np.int64), *x])] for x in zip(*pairs, strict=True)) if pairs else (rows[:0], rows[:0]) for pairs in (first, rest))
+    kept = np.flatnonzero(crowded | cut[rows])
+    return copies, first, rest, rows[(found.count > MANY) & ~open_], rows[kept], open_[kept]
+
+
+class _Met:
+    """Pairs of rows in runs that may match."""
+
+    def __init__(self, n: np.ndarray, place: np.ndarray, parity: np.ndarray, run: np.ndarray, whole: np.ndarray, share: int, of: int):
+        self.n, self.place, self.parity, self.run, self.whole, self.share, self.of = n, place, parity, run, whole, share, of
+
+    def pairs(self, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(i, j) with i beyond j, each i and each j once in an array, of the
+        ``wanted`` runs; rows of runs that aren't ``whole`` meet some neighbours."""
+        n, run, share, of = self.n, self.run, self.share, self.of
+        offset, active = 1, np.flatnonzero((run[1:] == run[:-1]) & wanted[1:]) + 1
+        while len(active):
+            # Sizes only fall from here: a row whose neighbour is too small has met all it can.
+            active = active[of * n[active - offset] >= share * n[active]]
+            i = active[_alike(active, active - offset, n, self.place, self.parity, share, of)]
+            if len(i):
+                yield i, i - offset
+            offset += 1
+            active = active[active >= offset]
+            active = active[(run[active] == run[active - offset]) & (self.whole[active] | (offset <= NEAR))]
+
+
+_MET = ", ".join(["kind int", *(f"{c} long" for c in ("key", "line", "a_key", "a_line", "sign", "class", "n", *PARITIES))])
+#: Kinds of rows: copies of earlier lines; lines with an earlier one that may match,
+#: and with a further one; lines with still more in this sign; rows of open signs,
+#: and those of them that may match others.
+COPY, PAIR, FURTHER, MARK, TARGET, PROBE = range(6)
 
 
 def _met(rows: DataFrame, share: int, of: int) -> DataFrame:
-    """Of kind 0: lines (key, line) that are gone. Of kind 1: lines with an earlier
-    one (a_key, a_line) that may match. Of kinds 2 and 3: rows of open signs, of
-    which those of kind 3 may have further matches."""
+    """What comes of comparing the lines of each sign, by kind."""
     order = ("sign", "info", "class", "key", "line")
     ordered = rows.repartitionByRange(shuffle_width(rows.sparkSession), *order).sortWithinPartitions(*order)
 
     def told(columns: list[np.ndarray], cut: np.ndarray) -> pa.RecordBatch:
-        copies, earlier, later, kept, over = _compared(columns, cut, share, of)
-        sign, info, name, parity, key, line = columns
-        own = np.concatenate([copies, later, kept])
-        kind = np.concatenate([np.zeros(len(copies)), np.ones(len(later)), 2 + over]).astype(np.int32)
-        blank = kind < 2
-        other = np.concatenate([copies, earlier, kept])
+        copies, (earlier, later), (earlier_too, later_too), marks, kept, probes = _compared(columns, cut, share, of)
+        parts = [(COPY, copies), (PAIR, later), (FURTHER, later_too), (MARK, marks), (TARGET, kept)]
+        own = np.concatenate([x for _, x in parts])
+        kind = np.repeat(np.array([k for k, _ in parts], np.int32), [len(x) for _, x in parts])
+        kind[len(own) - len(kept) :] += probes
+        other = own.copy()
+        other[len(copies) : len(copies) + len(earlier) + len(earlier_too)] = np.concatenate([earlier, earlier_too])
+        paired, signed, open_ = (kind == PAIR) | (kind == FURTHER), kind >= MARK, kind >= TARGET
+        sign, info, name, key, line = columns[:5]
         return pa.RecordBatch.from_pydict({
-            "kind": kind, "key": key[own], "line": line[own], "a_key": pa.array(key[other], mask=kind != 1), "a_line": pa.array(line[other], mask=kind != 1),
-            "sign": pa.array(sign[own], mask=blank), "class": pa.array(name[own], mask=blank), "n": pa.array(info[own] >> 32, mask=blank), "parity": pa.array(parity[own], mask=blank),
-        })
+            "kind": kind, "key": key[own], "line": line[own], "a_key": pa.array(key[other], mask=~paired), "a_line": pa.array(line[other], mask=~paired),
+            "sign": pa.array(sign[own], mask=~signed), "class": pa.array(name[own], mask=~open_), "n": pa.array(info[own] >> 32, mask=~open_),
+        } | {c: pa.array(x[own], mask=~open_) for c, x in zip(PARITIES, columns[5:], strict=True)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -296,7 +352,7 @@ def _met(rows: DataFrame, share: int, of: int) -> DataFrame:
 
         for batch in batches:
             if batch.num_rows:
-                held.append([batch.column(c).to_numpy() for c in ("sign", "info", "class", "parity", "key", "line")])
+                held.append([batch.column(c).to_numpy() for c in COLUMNS])
                 if sum(len(x[0]) for x in held) >= CHUNK:
                     yield from pieces(False)
         if held:
@@ -374,7 +430,7 @@ def _settled_by_sets(open_: DataFrame, probes: DataFrame, source: DataFrame, set
     the ``open_`` rows of the same sign."""
     line = ["key", "line"]
     rows = open_.join(probes.select("sign").distinct(), "sign", "left_semi").join(probes.withColumn("probe", F.lit(True)), [*line, "sign"], "left")
-    rows = rows.select(*line, "n", "parity", F.coalesce("probe", F.lit(False)).alias("probe"), F.array("sign").alias("words")).distinct()
+    rows = rows.select(*line, "n", PARITIES[0], F.coalesce("probe", F.lit(False)).alias("probe"), F.array("sign").alias("words")).distinct()
     found, spent = None, []
     for depth in range(1, DEPTH + 1):
         rows = settle(rows, "open")
@@ -382,15 +438,15 @@ def _settled_by_sets(open_: DataFrame, probes: DataFrame, source: DataFrame, set
         groups = rows.groupBy("words").agg(F.count("*").alias("rows"), F.max("probe").alias("probed")).where("rows > 1 AND probed")
         rows = rows.join(groups, "words")
         small = rows if depth == DEPTH else rows.where(F.col("rows") <= RUN)
-        other = small.select("words", *(F.col(c).alias(f"a_{c}") for c in ("key", "line", "n", "parity")))
-        fits = (of * F.least("n", "a_n") >= share * F.greatest("n", "a_n")) & (F.bit_count(F.col("parity").bitwiseXOR(F.col("a_parity"))) * (of + share) <= (of - share) * (F.col("n") + F.col("a_n")))
+        other = small.select("words", *(F.col(c).alias(f"a_{c}") for c in ("key", "line", "n", PARITIES[0])))
+        fits = (of * F.least("n", "a_n") >= share * F.greatest("n", "a_n")) & (F.bit_count(F.col(PARITIES[0]).bitwiseXOR(F.col(f"a_{PARITIES[0]}"))) * (of + share) <= (of - share) * (F.col("n") + F.col("a_n")))
         earlier = (F.col("a_key") < F.col("key")) | ((F.col("a_key") == F.col("key")) & (F.col("a_line") < F.col("line")))
         met = _matching(small.where("probe").join(other, "words").where(earlier & fits), sets, share, of)
         found = met if found is None else found.unionByName(met)
         rows = rows.where(F.col("rows") > RUN)
         if depth == DEPTH or rows.isEmpty():
             break
-        rows = _deeper(rows.select(*line, "n", "parity", "probe", "words"), sets, rarity, share, of)
+        rows = _deeper(rows.select(*line, "n", PARITIES[0], "probe", "words"), sets, rarity, share, of)
     out = settle(found.distinct(), "removed")
     discard(*spent)
     return out
@@ -402,19 +458,35 @@ def removed_lines(source: DataFrame, share: int = 80, of: int = 100) -> DataFram
     line = ["key", "line"]
     rarity = _rarity(source)
     met = settle(_met(_signed(source, rarity, share, of), share, of), "pairs")
-    copies, pairs, open_ = met.where("kind = 0").select(*line), met.where("kind = 1"), met.where("kind >= 2")
+    copies, open_ = met.where(F.col("kind") == COPY).select(*line), met.where(F.col("kind") >= TARGET)
     # Equal lines of different ranges.
     first = open_.groupBy("class").agg(F.min(F.struct(*line)).alias("first"), F.max(F.struct(*line)).alias("last")).where("first < last").select("class", "first")
     copies = copies.unionByName(open_.join(first, "class").where(F.struct(*line) > F.col("first")).select(*line))
-    ends = [pairs.select(*line), pairs.select(F.col("a_key").alias("key"), F.col("a_line").alias("line")), open_.select(*line)]
-    sets = settle(_sets(source, ends[0].unionByName(ends[1]).unionByName(ends[2]).distinct()), "items")
-    gone = settle(copies.unionByName(_matching(pairs, sets, share, of)).distinct(), "removed")
-    probes = settle(open_.where("kind = 3").select(*line, "sign").join(gone, line, "left_anti"), "probes")
+    pairs = [met.where(F.col("kind") == kind).select(*line, "a_key", "a_line") for kind in (PAIR, FURTHER)]
+    ends = [pairs[0].select(*line), *(p.select(F.col("a_key").alias("key"), F.col("a_line").alias("line")) for p in pairs), open_.select(*line)]
+    sets = settle(_sets(source, ends[0].unionByName(ends[1]).unionByName(ends[2]).unionByName(ends[3]).distinct()), "items")
+    # Most lines match the earliest candidate; only of the others all are compared.
+    best = pairs[0].groupBy(*line).agg(F.min(F.struct("a_key", "a_line")).alias("a")).select(*line, "a.a_key", "a.a_line")
+    gone = settle(copies.unionByName(_matching(best, sets, share, of)).distinct(), "removed")
+    for some in pairs:
+        late = settle(_matching(some.join(gone, line, "left_anti"), sets, share, of), "removed")
+        last, gone = gone, settle(gone.unionByName(late), "removed")
+        discard(last, late)
+
+    probes = settle(met.where(F.col("kind").isin(MARK, PROBE)).select(*line, "sign").join(gone, line, "left_anti"), "probes")
+    marks = settle(met.where(F.col("kind") == MARK).select(*line, "sign").join(gone, line, "left_anti").select("sign").distinct(), "marks")
+    open_ = open_.select(*line, "sign", "n", PARITIES[0])
+    if not marks.isEmpty():
+        # The rows of these signs once more.
+        again = settle(_signed(source, rarity, share, of).join(marks, "sign", "left_semi").select(*line, "sign", F.shiftright("info", 32).alias("n"), PARITIES[0]), "open")
+        last, sets = sets, settle(_sets(source, again.select(*line).distinct().join(sets.select(*line), line, "left_anti")).unionByName(sets), "items")
+        discard(last)
+        open_ = open_.unionByName(again)
     if not probes.isEmpty():
-        late = _settled_by_sets(open_.select(*line, "sign", "n", "parity"), probes, source, sets, rarity, share, of)
+        late = _settled_by_sets(open_, probes, source, sets, rarity, share, of)
         last, gone = gone, settle(gone.unionByName(late).distinct(), "removed")
         discard(last, late)
-    discard(met, sets, probes)
+    discard(met, sets, probes, marks)
     return gone
 
 

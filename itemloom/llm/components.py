@@ -100,9 +100,13 @@ def connect(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: C
     pairs, stars = met.select("a", F.col("node").alias("b")), None
     large = None if stars_of is None else left.where(F.col("members") > SMALL)
     if large is not None and not large.isEmpty():
-        # A node in many of these groups has few differences of its own; so few nodes serve many groups.
+        # A node in many of these groups has few differences of its own. Each node prefers
+        # the one that is in most of them, and a group takes what a member prefers most:
+        # so groups of the same nodes have one star, and few nodes are in several.
         common = large.groupBy("node").agg(F.count("*").alias("groups"))
-        chosen = large.join(common, "node").groupBy("sign").agg(F.max(F.struct("groups", "node")).alias("most")).select("sign", F.col("most.node").alias("reference"))
+        first = large.join(common, "node").groupBy("sign").agg(F.max(F.struct("groups", "node")).alias("most"))
+        liked = large.join(first, "sign").groupBy("node").agg(F.max("most").alias("liked"))
+        chosen = large.join(liked, "node").groupBy("sign").agg(F.max("liked").alias("most")).select("sign", F.col("most.node").alias("reference"))
         stars = settle(large.join(chosen, "sign").select("reference", "node", "n").distinct(), "stars")
     pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     if not pairs.isEmpty():

@@ -1,14 +1,18 @@
 """Conditions and updates over items, as Spark columns.
 
 Conditions are two-valued: a comparison with an absent attribute or between
-different kinds of values doesn't match, so ``negate`` is true where the inner
-condition isn't met. A column that is null is an absent attribute.
+different kinds of values isn't met, and never an error; ``negate`` is true where
+the inner condition isn't met, and ``<>`` where ``=`` isn't, so also with an absent
+side. A column that is null is an absent attribute. What isn't met may be null
+rather than false: a filter drops both, and bare comparisons reach the scan;
+``met`` gives a boolean to show.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column
@@ -24,6 +28,23 @@ COMPARISONS: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
+#: Kinds of values by the names that Spark gives to their types.
+_NUMBER = r"^(tinyint|smallint|int|bigint|float|double|decimal.*)$"
+_TIME = r"^(timestamp|timestamp_ntz|date)$"
+
+
+def _kind(value: Column) -> Column:
+    """The kind of a column's type; Spark folds it to a constant."""
+    name = F.typeof(value)
+    return F.when(name.rlike(_NUMBER), "number").when(name.rlike(_TIME), "time").otherwise(name)
+
+
+def _typed(left: Column, right: Any, made: Callable[[Column, Column], Column]) -> Column:
+    """``made`` of both sides where they are of one kind."""
+    right = right if isinstance(right, Column) else F.lit(right)
+    return F.when(_kind(left) == _kind(right), made(left, right))
+
+
 def met(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
@@ -38,19 +59,19 @@ def attribute(path: str, source: str | None = None, kind: str = "string") -> Col
 
 def compare(left: Column, operator: str, right: Any) -> Column:
     if operator == "<>":
-        # Unequal also if one side is absent or of another kind.
-        return ~met(left == right)
-    return met(COMPARISONS[operator](left, right if isinstance(right, Column) else F.lit(right)))
+        return negate(compare(left, "=", right))
+    return _typed(left, right, COMPARISONS[operator])
 
 
 def between(value: Column, low: Any, high: Any) -> Column:
     if not isinstance(low, Column) and not isinstance(high, Column) and low > high:
         raise ValueError("the lower bound lies above the upper one")
-    return met(value.between(low, high))
+    return compare(value, ">=", low) & compare(value, "<=", high)
 
 
 def within(value: Column, choices: Sequence[Any]) -> Column:
-    return met(value.isin(*choices))
+    """Whether the value equals one of the choices of its kind."""
+    return any_of(*(compare(value, "=", c) for c in choices))
 
 
 def exists(value: Column) -> Column:
@@ -61,22 +82,16 @@ def not_exists(value: Column) -> Column:
     return value.isNull()
 
 
-def begins_with(value: Column, prefix: str) -> Column:
-    return met(value.startswith(prefix))
+def begins_with(value: Column, prefix: str | bytes) -> Column:
+    return _typed(value, prefix, lambda v, p: v.startswith(p))
 
 
 def all_of(*conditions: Column) -> Column:
-    out = F.lit(True)
-    for c in conditions:
-        out = out & met(c)
-    return out
+    return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
 def any_of(*conditions: Column) -> Column:
-    out = F.lit(False)
-    for c in conditions:
-        out = out | met(c)
-    return out
+    return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
 def negate(condition: Column) -> Column:

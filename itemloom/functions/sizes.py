@@ -12,7 +12,9 @@ def string_bytes(value: Column) -> Column:
 
 def number_bytes(value: Column) -> Column:
     """One byte for two significant digits, one more, and one for a minus."""
-    digits = F.regexp_replace(F.regexp_replace(F.regexp_replace(value.cast("string"), "[-.]", ""), "^0+", ""), "0+$", "")
+    # An exponent's digits don't count.
+    plain = F.regexp_replace(value.cast("string"), "[eE].*$", "")
+    digits = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "[-.]", ""), "^0+", ""), "0+$", "")
     return F.ceil(F.greatest(F.length(digits), F.lit(1)) / 2).cast("int") + 1 + F.when(value < 0, 1).otherwise(0)
 
 

@@ -47,6 +47,29 @@ def read_page(made: DataFrame, version: str, after: int, limit: int) -> DataFram
     return made.where(F.col(version) > after).orderBy(version).limit(limit)
 
 
+def get_records(made: DataFrame, version: str, after: int, limit: int, created: Column, now: int, size: Column, budget: int = 1 << 20, keep: int = 24 * 3600) -> DataFrame:
+    """A page of records beyond a sequence, that are younger than ``keep`` seconds: up
+    to ``limit`` (1 to 1000) and up to ``budget`` bytes. Every row says the page's
+    ``last_sequence`` and whether no record follows (``exhausted``). A first record
+    larger than the budget is an error when the rows are computed."""
+    if not 1 <= limit <= 1000:
+        raise ValueError("a page has 1 to 1000 records")
+    live = made.where((F.col(version) > after) & (created > now - keep))
+    running, page = Window.orderBy(version).rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy()
+    first = live.orderBy(version).limit(limit + 1).withColumns({"place": F.row_number().over(running), "page_bytes": F.sum(size).over(running)})
+    fits = (F.col("place") <= limit) & (F.col("page_bytes") <= budget)
+    checked = F.when((F.col("place") == 1) & (F.col("page_bytes") > budget), F.raise_error(F.lit("a record exceeds the page's bytes")).cast("boolean")).otherwise(fits)
+    told = first.withColumn("fits", checked).withColumns({"last_sequence": F.max(F.when(F.col("fits"), F.col(version))).over(page), "exhausted": F.min("fits").over(page)})
+    return told.where("fits").drop("fits", "place")
+
+
+def shard_end(latest: DataFrame, shard: str, version: str, closed: DataFrame) -> DataFrame:
+    """``latest`` read positions (shard, version) with ``state``: End for a closed
+    shard read to its last sequence, else More; ``closed`` has (shard, last)."""
+    met = latest.join(closed.select(shard, F.col("last").alias("closed_at")), shard, "left")
+    return met.withColumn("state", F.when(F.col(version) >= F.col("closed_at"), "End").otherwise("More")).drop("closed_at")
+
+
 def tail(made: DataFrame, shard: list[str], version: str) -> DataFrame:
     """The last sequence of each shard."""
     return made.groupBy(*shard).agg(F.max(version).alias("latest"))

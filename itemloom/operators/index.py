@@ -29,11 +29,13 @@ def fold(changes: DataFrame, keys: list[str], version: list[str], value: str) ->
 
 def moves(log: DataFrame, key: list[str], index_key: str, version: str, value: str) -> DataFrame:
     """(index_key, key, version, value) changes of an index from a log of items:
-    when the index key moves, the old place gets a tombstone with the new version."""
+    when the index key moves, the old place gets a tombstone with the new version. A
+    change that leaves key and value as they were gives none."""
     from itemloom.operators.change_log import with_old
 
     paired = with_old(log, key, version, [index_key, value])
     old, new = F.col(f"old_{index_key}"), F.col(index_key)
     gone = paired.where(old.isNotNull() & ~old.eqNullSafe(new)).select(old.alias(index_key), *key, version, F.lit(None).cast(log.schema[value].dataType).alias(value))
-    put = paired.where(new.isNotNull()).select(index_key, *key, version, value)
+    same = ~F.col("is_first") & old.eqNullSafe(new) & F.col(f"old_{value}").eqNullSafe(F.col(value))
+    put = paired.where(new.isNotNull() & ~same).select(index_key, *key, version, value)
     return put.unionByName(gone)

@@ -15,20 +15,19 @@ def statistics(items: DataFrame, size: Column, indexes: dict[str, tuple[Column,
 
 
 def split_point(items: DataFrame, key: str) -> DataFrame:
-    """The key at place count / 2 of the distinct keys, none for fewer than two.
-    Keys are counted per bucket first, so only the bucket of the middle is sorted."""
-    keys = items.select(key).where(F.col(key).isNotNull()).distinct()
-    bounds = keys.agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
-    bucket = F.floor((F.col(key) - F.col("low")) * 1000 / (F.col("high") - F.col("low") + 1))
-    placed = keys.crossJoin(F.broadcast(bounds)).withColumn("bucket", bucket)  # one row of bounds
-    counts = placed.groupBy("bucket", "n").count()
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    middle = F.floor(F.col("n") / 2)
-    counts = counts.where((F.col("n") >= 2) & (F.col("before") <= middle) & (middle < F.col("before") + F.col("count"))).select("bucket", "before")
-    inside = placed.join(F.broadcast(counts), "bucket")
-    ranked = inside.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(key)) - 1 + F.col("before"))
-    return ranked.where(F.col("place") == middle).select(F.col(key).alias("split_key"), F.col("n").alias("key_count"))
+    """(split_key, key_count): the key at place count / 2 of the distinct keys, none
+    for fewer than two. Keys of any type are sorted over ranges; with the count of
+    each range, a row for each, every key knows its place."""
+    spark = items.sparkSession
+    keys = items.select(F.col(key).alias("split_key")).where(F.col(key).isNotNull()).distinct()
+    placed = keys.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "split_key").sortWithinPartitions("split_key")
+    # The upper half of the id is the range, the lower one the place in it.
+    placed = placed.withColumn("id", F.monotonically_increasing_id()).withColumn("part", F.shiftright("id", 33))
+    counts = placed.groupBy("part").agg(F.count("*").alias("own"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("part", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("before"), F.sum("own").over(Window.partitionBy()).alias("key_count"))
+    ranked = placed.join(F.broadcast(counts), "part").withColumn("place", F.col("before") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1)))
+    return ranked.where((F.col("key_count") >= 2) & (F.col("place") == F.floor(F.col("key_count") / 2))).select("split_key", "key_count")
 
 
 def directory(fences: DataFrame, fence: str) -> DataFrame:
@@ -42,22 +41,3 @@ def route(items: DataFrame, key: str, ranges: DataFrame) -> DataFrame:
     """Items with the part that owns their key; a directory has a row per range."""
     k = F.col(key)
     return items.join(F.broadcast(ranges), (F.col("lower").isNull() | (k >= F.col("lower"))) & (F.col("upper").isNull() | (k < F.col("upper"))))
-
-
-def owners(ranges: DataFrame, low: int | None, high: int | None, forward: bool = True) -> DataFrame:
-    """The ranges that meet [low, high), clipped to it, in order."""
-    hit = ranges
-    if high is not None:
-        hit = hit.where(F.col("lower").isNull() | (F.col("lower") < high))
-    if low is not None:
-        hit = hit.where(F.col("upper").isNull() | (F.col("upper") > low))
-    clipped = hit.select("part", F.greatest("lower", F.lit(low)).alias("lower"), F.least("upper", F.lit(high)).alias("upper"))
-    return clipped.orderBy(F.col("part") if forward else F.col("part").desc())
-
-
-def split(ranges: DataFrame, part: int, boundary: int) -> DataFrame:
-    """The directory with one range replaced by two children."""
-    source = ranges.where(F.col("part") == part)
-    left = source.select((F.col("part") * 10 + 1).alias("part"), "lower", F.lit(boundary).cast(ranges.schema["upper"].dataType).alias("upper"))
-    right = source.select((F.col("part") * 10 + 2).alias("part"), F.lit(boundary).cast(ranges.schema["lower"].dataType).alias("lower"), "upper")
-    return ranges.where(F.col("part") != part).unionByName(left).unionByName(right)

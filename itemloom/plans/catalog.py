@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from itemloom.functions import expressions as X
 from itemloom.functions import keys as K
 from itemloom.functions import sizes as S
 from itemloom.operators import change_log, expiry, index, mutate, ranges, read, tables, transactions
-from itemloom.sources.items import CONVERSATIONS, CUSTOMERS, DOCUMENTS, EVENTS, ORDERS, PARTS, Index, micros, seconds
+from itemloom.sources.items import CONVERSATIONS, CUSTOMERS, DOCUMENTS, EVENTS, ORDERS, PARTS, Index, ItemTable, micros, seconds
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -111,6 +110,14 @@ def query_resume_reverse(spark, d):
     return _shown(read.query(_events(spark, d), EVENTS, {"user_id": 7}, forward=False, limit=10, start={"ts": cursor.ts}))
 
 
+@query("""WITH a AS (SELECT *, row_number() OVER (ORDER BY ts) AS n, count(*) OVER () AS total FROM events WHERE user_id = 7), p AS (SELECT * FROM a WHERE n <= 15)
+SELECT event_id, least(total, 15) AS scanned, event_type = 'click' AS returned, CASE WHEN total > 15 THEN (SELECT max(epoch_us(ts)) FROM p) END AS cursor_us FROM p""")
+def query_cursor(spark, d):
+    """A page of fifteen evaluated events, where the next one begins, and which the filter returns."""
+    page = read.paged(read.query(_events(spark, d), EVENTS, {"user_id": 7}), ["ts"], 15, X.compare(F.col("event_type"), "=", "click"))
+    return page.select("event_id", "scanned", "returned", micros(F.col("cursor.ts")).alias("cursor_us"))
+
+
 @query("""SELECT o_orderkey, o_custkey, o_totalprice FROM orders
 WHERE o_custkey = 85 AND o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '2000-12-31' AND o_orderstatus = 'F'""")
 def query_filtered(spark, d):
@@ -182,6 +189,14 @@ def scan_resume(spark, d):
     return read.scan(CUSTOMERS.read(spark, d), CUSTOMERS, limit=50, start={"c_custkey": 49}).select("c_custkey", "c_name")
 
 
+@query("SELECT n_nationkey, 25::BIGINT AS scanned, 24::BIGINT AS cursor_key FROM nation")
+def scan_cursor(spark, d):
+    """A scan's page that its maximum cuts has a cursor even at the table's end."""
+    nations = ItemTable("nation", ("n_nationkey",))
+    page = read.paged(read.scan(nations.read(spark, d), nations), ["n_nationkey"], 25, cut_is_end=False)
+    return page.select("n_nationkey", "scanned", F.col("cursor.n_nationkey").cast("long").alias("cursor_key"))
+
+
 SEGMENT = "(('0x' || substr(md5({0}), 1, 8))::BIGINT * {1} // 4294967296)::BIGINT"
 
 
@@ -250,26 +265,14 @@ def global_index_all(spark, d):
     return read.query(ORDERS.read(spark, d), ORDERS, {"o_custkey": 17}, index=ORDERS.broad["by_customer"]).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
 
 
-@query("SELECT o_custkey, epoch_us(o_orderdate) AS date_us, o_orderkey FROM orders WHERE o_custkey BETWEEN 10 AND 20")
-def global_index_keys_only(spark, d):
-    keys = index.project(ORDERS.read(spark, d), ORDERS, ORDERS.broad["by_customer"], "KEYS_ONLY")
-    return keys.where(F.col("o_custkey").between(10, 20)).select("o_custkey", micros("o_orderdate").alias("date_us"), "o_orderkey")
-
-
-@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_custkey BETWEEN 10 AND 20")
-def global_index_include(spark, d):
-    by = Index("by_customer", ("o_custkey",), ("o_orderdate",), include=("o_totalprice",))
-    return index.project(ORDERS.read(spark, d), ORDERS, by, "INCLUDE").where(F.col("o_custkey").between(10, 20)).drop("o_orderdate")
-
-
 @query("SELECT o_custkey, epoch_us(o_orderdate) AS date_us, o_orderkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderdate IS NOT NULL")
-def global_index_keys_only_whole(spark, d):
+def global_index_keys_only(spark, d):
     keys = index.project(ORDERS.read(spark, d), ORDERS, ORDERS.broad["by_customer"], "KEYS_ONLY")
     return keys.select("o_custkey", micros("o_orderdate").alias("date_us"), "o_orderkey")
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_custkey IS NOT NULL AND o_orderdate IS NOT NULL")
-def global_index_include_whole(spark, d):
+def global_index_include(spark, d):
     by = Index("by_customer", ("o_custkey",), ("o_orderdate",), include=("o_totalprice",))
     return index.project(ORDERS.read(spark, d), ORDERS, by, "INCLUDE").drop("o_orderdate")
 
@@ -298,8 +301,8 @@ def global_index_tombstones(spark, d):
     return global_index_fold(spark, d).where("is_tombstone").select("user_id")
 
 
-@query(f"""WITH l AS (SELECT user_id, event_id, event_type, image, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS old FROM {LOGGED}),
-c AS (SELECT event_type, user_id, event_id, image FROM l UNION ALL SELECT old, user_id, event_id, NULL FROM l WHERE old IS NOT NULL AND old <> event_type)
+@query(f"""WITH l AS (SELECT user_id, event_id, event_type, image, lag(event_type) OVER w AS old, lag(image) OVER w AS old_image, row_number() OVER w AS i FROM {LOGGED} WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+c AS (SELECT event_type, user_id, event_id, image FROM l WHERE i = 1 OR event_type <> old OR image IS DISTINCT FROM old_image UNION ALL SELECT old, user_id, event_id, NULL FROM l WHERE old IS NOT NULL AND old <> event_type)
 SELECT event_type, user_id, arg_max(event_id, event_id) AS event_id, arg_max_null(image, event_id) AS image, arg_max_null(image, event_id) IS NULL AS is_tombstone FROM c GROUP BY event_type, user_id""")
 def global_index_key_move(spark, d):
     return index.fold(index.moves(_log(spark, d), ["user_id"], "event_type", "event_id", "image"), ["event_type", "user_id"], ["event_id"], "image")
@@ -362,6 +365,38 @@ def conditional_put(spark, d):
     return mutate.outcomes(customers, requests, ["c_custkey"], X.call("attribute_not_exists", F.col("old_c_custkey"))).select("c_custkey", "outcome", F.col("old_c_name").alias("old_name"))
 
 
+@query("""SELECT c_custkey, c_name FROM customer UNION ALL SELECT c_custkey * 2, 'new' FROM customer WHERE c_custkey * 2 NOT IN (SELECT c_custkey FROM customer)""")
+def conditional_put_state(spark, d):
+    """The items after puts of which those to taken keys are refused."""
+    customers = CUSTOMERS.read(spark, d).select("c_custkey", "c_name")
+    requests = customers.select((F.col("c_custkey") * 2).alias("c_custkey"), F.lit("new").alias("c_name"))
+    return mutate.write(customers, requests, ["c_custkey"], X.call("attribute_not_exists", F.col("old_c_custkey")))[1]
+
+
+CREDIT = "(SELECT c_custkey AS k, c_acctbal > 0 AS good FROM customer WHERE c_custkey % 2 = 0)"
+
+
+@query(f"""SELECT c_custkey, CASE WHEN good THEN 'CHECKED' ELSE c_mktsegment END AS c_mktsegment, round(CASE WHEN good THEN c_acctbal + 1 ELSE c_acctbal END, 2) AS c_acctbal
+FROM customer LEFT JOIN {CREDIT} ON k = c_custkey""")
+def conditional_update(spark, d):
+    """Customers with even keys and a positive balance are changed; a key without an item isn't put."""
+    customers = CUSTOMERS.read(spark, d).select("c_custkey", "c_mktsegment", "c_acctbal")
+    requests = customers.where("c_custkey % 2 = 0").select("c_custkey").unionByName(spark.range(1).select(F.lit(-4).cast("long").alias("c_custkey")))
+    actions = [X.Update("set", "c_mktsegment", "CHECKED"), X.Update("add", "c_acctbal", 1)]
+    changed = mutate.write(customers, requests, ["c_custkey"], X.compare(F.col("old_c_acctbal"), ">", 0), "update", actions)[1]
+    return changed.select("c_custkey", "c_mktsegment", F.round("c_acctbal", 2).alias("c_acctbal"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'Applied' ELSE 'ConditionFailed' END AS outcome, c_name AS old_name, CASE WHEN c_acctbal >= 0 THEN c_name END AS new_name
+FROM customer WHERE c_nationkey < 10 UNION ALL SELECT -4, 'ConditionFailed', NULL, NULL""")
+def conditional_delete(spark, d):
+    """Outcomes with the images before and after."""
+    customers = CUSTOMERS.read(spark, d)
+    requests = customers.where("c_nationkey < 10").select("c_custkey").unionByName(spark.range(1).select(F.lit(-4).cast("long").alias("c_custkey")))
+    shown = mutate.write(customers, requests, ["c_custkey"], X.compare(F.col("old_c_acctbal"), "<", 0), "delete")[0]
+    return shown.select("c_custkey", "outcome", F.col("old.c_name").alias("old_name"), F.col("new.c_name").alias("new_name"))
+
+
 # Change streams
 
 RECORDS = f"""(SELECT user_id, event_id, CASE WHEN old IS NULL THEN 'INSERT' WHEN image IS NULL THEN 'REMOVE' ELSE 'MODIFY' END AS event_name, old AS old_image, image AS new_image,
@@ -392,6 +427,15 @@ def stream_page(spark, d):
     return change_log.read_page(_records(spark, d), "event_id", after=500, limit=100).select("event_id", "user_id", "event_name")
 
 
+@query(f"""WITH v AS (SELECT event_id, user_id, size_bytes, row_number() OVER (ORDER BY event_id) AS n, sum(size_bytes) OVER (ORDER BY event_id)::BIGINT AS page_bytes FROM {RECORDS} WHERE event_id > 500 AND event_id > 900),
+p AS (SELECT * FROM v WHERE n <= 200 AND page_bytes <= 400)
+SELECT event_id, user_id, page_bytes, (SELECT max(event_id) FROM p) AS last_sequence, (SELECT count(*) FROM p) = (SELECT count(*) FROM v) AS exhausted FROM p""")
+def stream_get_records(spark, d):
+    """A page that is cut by its bytes; event ids stand for the seconds of creation."""
+    page = change_log.get_records(_records(spark, d), "event_id", 500, 200, F.col("event_id"), 86400 + 900, F.col("size_bytes"), budget=400)
+    return page.select("event_id", "user_id", F.col("page_bytes").cast("long").alias("page_bytes"), "last_sequence", "exhausted")
+
+
 @query(f"SELECT {SEGMENT.format('user_id::VARCHAR', 8)} AS shard, max(event_id) AS latest FROM {RECORDS} GROUP BY 1")
 def stream_tail(spark, d):
     return change_log.tail(_records(spark, d).withColumn("shard", K.segment(F.col("user_id"), 8)), ["shard"], "event_id")
@@ -463,12 +507,28 @@ def txn_condition_check(spark, d):
     return decided.select("o_orderkey", (F.col("decision") == "COMMIT").alias("applied"))
 
 
-@query("""WITH r AS (SELECT event_id, user_id AS token, event_type, floor(epoch_us(ts) / 1000000)::BIGINT AS s FROM events WHERE event_id < 3000),
-f AS (SELECT *, first_value(s) OVER w AS a, first_value(event_type) OVER w AS p FROM r WINDOW w AS (PARTITION BY token ORDER BY s, event_id))
-SELECT event_id, CASE WHEN s - a = 0 OR s - a >= 600 THEN 'Applied' WHEN event_type = p THEN 'Replayed' ELSE 'Mismatch' END AS outcome FROM f""")
-def txn_token(spark, d):
-    requests = _events(spark, d).where("event_id < 3000").select("event_id", "user_id", "event_type", seconds("ts").alias("at"))
-    return transactions.first_of_token(requests, "user_id", "at", "event_type").select("event_id", "outcome")
+def _mixed_writes(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Per transaction a put, an update, a delete and a check, all on their conditions."""
+    customers = CUSTOMERS.read(spark, d)
+    kinds = F.element_at(F.array(*(F.lit(k) for k in ("PUT", "UPDATE", "DELETE", "CHECK"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    operations = customers.select((F.floor(F.col("c_custkey") / 4)).alias("txn"), (F.col("c_custkey") % 4).alias("pos"), kinds.alias("kind"), "c_custkey")
+    operations = operations.withColumns({"c_name": F.when(F.col("kind") == "PUT", "put"), "c_mktsegment": F.when(F.col("kind") == "UPDATE", "updated")})
+    items = customers.select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    return transactions.write(items, operations, ["c_custkey"], "txn", "pos", "kind", X.compare(F.col("old_c_acctbal"), ">", -500))
+
+
+MIXED = "(SELECT *, c_custkey % 4 AS pos, c_acctbal > -500 AS good, bool_and(c_acctbal > -500) OVER (PARTITION BY c_custkey // 4) AS done FROM customer)"
+
+
+@query(f"SELECT c_custkey // 4 AS txn, pos, CASE WHEN done THEN 'COMMIT' ELSE 'ABORT' END AS decision, CASE WHEN NOT good THEN 'ConditionFailed' END AS failure, c_name AS old_name FROM {MIXED}")
+def transact_write(spark, d):
+    return _mixed_writes(spark, d)[0].select("txn", "pos", "decision", "failure", F.col("old.c_name").alias("old_name"))
+
+
+@query(f"""SELECT c_custkey, CASE WHEN done AND pos = 0 THEN 'put' ELSE c_name END AS c_name, CASE WHEN done AND pos = 0 THEN NULL WHEN done AND pos = 1 THEN 'updated' ELSE c_mktsegment END AS c_mktsegment,
+CASE WHEN done AND pos = 0 THEN NULL ELSE c_acctbal END AS c_acctbal FROM {MIXED} WHERE NOT (done AND pos = 2)""")
+def transact_write_state(spark, d):
+    return _mixed_writes(spark, d)[1]
 
 
 @query("""WITH RECURSIVE l AS MATERIALIZED (SELECT event_id, user_id AS token, event_type, floor(epoch_us(ts) / 1000000)::BIGINT AS s, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch_us(ts) / 1000000), event_id) AS i FROM events),
@@ -476,40 +536,19 @@ r AS (SELECT event_id, token, i, s AS a, event_type AS p, 'Applied' AS outcome F
 UNION ALL SELECT l.event_id, l.token, l.i, CASE WHEN s - a >= 600 THEN s ELSE a END, CASE WHEN s - a >= 600 THEN event_type ELSE p END, CASE WHEN s - a >= 600 THEN 'Applied' WHEN event_type = p THEN 'Replayed' ELSE 'Mismatch' END
 FROM r JOIN l ON l.token = r.token AND l.i = r.i + 1)
 SELECT event_id, outcome FROM r""")
-def txn_token_lives(spark, d):
+def txn_token(spark, d):
     """All requests, each life of a token judged by its own first request."""
     requests = _events(spark, d).select("event_id", "user_id", "event_type", seconds("ts").alias("at"))
     return transactions.token_lives(requests, "user_id", "at", "event_type", "event_id").select("event_id", "outcome")
 
 
-@query("""WITH RECURSIVE l AS (SELECT user_id, event_id, floor(value)::BIGINT AS amount, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE event_id < 2000),
-r AS (SELECT user_id, event_id, i, CASE WHEN event_type = 'purchase' THEN 0 ELSE amount END AS balance, event_type <> 'purchase' OR amount = 0 AS applied FROM l WHERE i = 1
-UNION ALL SELECT l.user_id, l.event_id, l.i, CASE WHEN event_type <> 'purchase' THEN balance + amount WHEN amount <= balance THEN balance - amount ELSE balance END, event_type <> 'purchase' OR amount <= balance
-FROM r JOIN l ON l.user_id = r.user_id AND l.i = r.i + 1)
-SELECT user_id, event_id, applied, balance FROM r""")
-def txn_serial(spark, d):
-    """Purchases are applied only if what earlier operations left covers them."""
-
-    def step(frame):
-        balance, rows = 0, []
-        for row in frame.itertuples(index=False):
-            spends = row.event_type == "purchase"
-            applied = not spends or row.amount <= balance
-            balance += (-row.amount if spends else row.amount) if applied else 0
-            rows.append((row.user_id, row.event_id, applied, balance))
-        return pd.DataFrame(rows, columns=["user_id", "event_id", "applied", "balance"])
-
-    operations = _events(spark, d).where("event_id < 2000").select("user_id", "event_id", "event_type", F.floor("value").cast("long").alias("amount"))
-    return transactions.serial(operations, "user_id", ["event_id"], step, "user_id long, event_id long, applied boolean, balance long")
-
-
 @query("""WITH RECURSIVE l AS MATERIALIZED (SELECT user_id, event_id, floor(value)::BIGINT AS amount, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
 r AS (SELECT user_id, event_id, i, CASE WHEN event_type = 'purchase' AND amount > 0 THEN 0 WHEN event_type = 'purchase' THEN -amount ELSE amount END AS balance, event_type <> 'purchase' OR amount <= 0 AS applied FROM l WHERE i = 1
 UNION ALL SELECT l.user_id, l.event_id, l.i, CASE WHEN event_type <> 'purchase' THEN balance + amount WHEN amount <= balance THEN balance - amount ELSE balance END, event_type <> 'purchase' OR amount <= balance
 FROM r JOIN l ON l.user_id = r.user_id AND l.i = r.i + 1)
 SELECT user_id, event_id, applied, balance FROM r""")
-def txn_serial_whole(spark, d):
-    """``txn_serial`` over all events; a user's operations pass through one by one."""
+def txn_serial(spark, d):
+    """Purchases are applied only if what earlier operations left covers them."""
 
     def step(balance, row):
         spends, balance = row["event_type"] == "purchase", balance or 0
@@ -559,17 +598,6 @@ def range_usage(spark, d):
     return ranges.route(ORDERS.read(spark, d), "o_custkey", _directory(spark)).groupBy("part").agg(F.count("*").alias("items"), F.sum(F.octet_length("o_orderpriority")).alias("bytes"))
 
 
-@query("SELECT * FROM (VALUES (1, 150::BIGINT, 200::BIGINT), (2, 200, 500), (3, 500, 600)) v(part, lower, upper)")
-def range_owners(spark, d):
-    return ranges.owners(_directory(spark), 150, 600)
-
-
-@query("SELECT * FROM (VALUES (1, -1::BIGINT, 200::BIGINT), (21, 200, 350), (22, 350, 500), (3, 500, 900), (4, 900, -1)) v(part, lower, upper)")
-def range_split(spark, d):
-    """Unbounded ends are shown as -1."""
-    return ranges.split(_directory(spark), 2, 350).select("part", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("lower", "upper")))
-
-
 @query("""SELECT n_nationkey, place, page_bytes FROM (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) AS place, (sum(octet_length(encode(n_name))) OVER (ORDER BY n_nationkey))::BIGINT AS page_bytes FROM nation)
 WHERE place = 1 OR page_bytes <= 100""")
 def directory_page(spark, d):
@@ -585,11 +613,11 @@ def key_encode_string(spark, d):
     return CUSTOMERS.read(spark, d).select("c_custkey", F.hex(F.encode("c_name", "UTF-8")).alias("raw"), F.hex(K.string_key(F.col("c_name"))).alias("encoded"))
 
 
-@query("SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS place FROM customer")
+@query("SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS place FROM customer")
 def key_encode_number_order(spark, d):
-    """The bytes of encoded numbers sort like the numbers."""
-    encoded = CUSTOMERS.read(spark, d).select("c_custkey", K.number_key(F.col("c_acctbal").cast("decimal(20,2)").cast("string")).alias("k"))
-    return encoded.select("c_custkey", F.row_number().over(Window.orderBy("k", "c_custkey")).cast("long").alias("place"))
+    """The bytes of encoded numbers sort like the numbers, within each nation."""
+    encoded = CUSTOMERS.read(spark, d).select("c_nationkey", "c_custkey", K.number_key(F.col("c_acctbal").cast("decimal(20,2)").cast("string")).alias("k"))
+    return encoded.select("c_nationkey", "c_custkey", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("k", "c_custkey")).cast("long").alias("place"))
 
 
 # Tables, tags and streams
@@ -626,18 +654,17 @@ def tags_upsert(spark, d):
     return tables.current_tags(changes)
 
 
-@query("""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 2591999 PRECEDING AND CURRENT ROW) <= 2 AS allowed
-FROM (SELECT event_id, user_id, floor(epoch_us(ts) / 1000000)::BIGINT AS s FROM events WHERE event_type = 'signup' AND event_id < 2000)""")
+@query("""WITH RECURSIVE l AS MATERIALIZED (SELECT event_id, user_id, floor(epoch_us(ts) / 1000000)::BIGINT AS s, CASE WHEN event_id % 3 = 0 THEN 'STANDARD' ELSE 'INFREQUENT' END AS class FROM events WHERE event_type = 'signup'),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) AS i FROM l),
+r AS (SELECT event_id, user_id, i, class, CASE WHEN class = 'STANDARD' THEN []::BIGINT[] ELSE [s] END AS accepted, true AS allowed FROM n WHERE i = 1
+UNION ALL SELECT n.event_id, n.user_id, n.i, CASE WHEN len(list_filter(accepted, lambda t: t > s - 2592000)) >= 2 THEN r.class ELSE n.class END,
+CASE WHEN n.class = r.class THEN accepted WHEN len(list_filter(accepted, lambda t: t > s - 2592000)) >= 2 THEN list_filter(accepted, lambda t: t > s - 2592000) ELSE list_append(list_filter(accepted, lambda t: t > s - 2592000), s) END,
+n.class = r.class OR len(list_filter(accepted, lambda t: t > s - 2592000)) < 2
+FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1)
+SELECT event_id, allowed FROM r""")
 def table_class_limit(spark, d):
-    changes = _events(spark, d).where("event_type = 'signup' AND event_id < 2000").select("event_id", F.col("user_id").alias("table_id"), seconds("ts").alias("at"))
-    return tables.class_changes(changes).select("event_id", "allowed")
-
-
-@query("""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 2591999 PRECEDING AND CURRENT ROW) <= 2 AS allowed
-FROM (SELECT event_id, user_id, floor(epoch_us(ts) / 1000000)::BIGINT AS s FROM events WHERE event_type = 'signup')""")
-def table_class_limit_whole(spark, d):
-    changes = _events(spark, d).where("event_type = 'signup'").select("event_id", F.col("user_id").alias("table_id"), seconds("ts").alias("at"))
-    return tables.class_changes(changes).select("event_id", "allowed")
+    changes = _events(spark, d).where("event_type = 'signup'").select("event_id", F.col("user_id").alias("table_id"), seconds("ts").alias("at"), F.when(F.col("event_id") % 3 == 0, "STANDARD").otherwise("INFREQUENT").alias("class"))
+    return tables.class_changes(changes, "event_id").select("event_id", "allowed")
 
 
 @query("SELECT user_id AS table_id, max(event_id) AS sampled_at, arg_max(value, event_id) AS item_count FROM events GROUP BY user_id")

@@ -10,7 +10,8 @@ classes count if a pair isn't. The machine has a weight and a short vector per f
 features' vectors is their interaction, so an insult beside a group's name can
 weigh more than both alone.
 
-Fitted on at most ``SAMPLE`` labelled rows. Null and empty texts score as a
+Fitted on at most ``SAMPLE`` labelled rows, whose terms are the only thing that
+is broadcast or comes to the driver. Null and empty texts score as a
 text without features. Without labels every score is one fixed low value.
 """
 
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,24 +115,53 @@ def fewest(bound: float, total: float, positive: float) -> int:
     return max(1, math.ceil(bound / (-2 * math.log(min(positive, total - positive) / total))))
 
 
-def paired(documents: list[np.ndarray], labels: np.ndarray, alone: np.ndarray, bound: float) -> np.ndarray:
-    """For each term the most evidence that a pair with it adds to what both terms
-    give ``alone``, or 0 if not more than ``bound``. All pairs are counted, one
-    term's at a time."""
-    size, total, positive = len(alone), float(len(labels)), float(labels.sum())
-    least, best = fewest(bound, total, positive), np.zeros(size)
-    lengths = [len(x) for x in documents]
-    flat = np.concatenate(documents) if documents else np.empty(0, np.int32)
-    order = np.argsort(flat, kind="stable")
-    rows, ends = np.repeat(np.arange(len(documents)), lengths)[order], np.searchsorted(flat[order], np.arange(size + 1))
-    for a in range(size):
-        own = rows[ends[a] : ends[a + 1]]
-        both = np.bincount(np.concatenate([documents[i] for i in own]), minlength=size)
-        hits = np.bincount(np.concatenate([flat[:0], *(documents[i] for i in own[labels[own] > 0])]), minlength=size)
-        b = np.flatnonzero(both >= least)
-        more = evidence(both[b].astype(float), hits[b].astype(float), total, positive) - np.maximum(alone[a], alone[b])
-        best[a] = max(0.0, more[more > bound].max(initial=0.0))
-    return best
+@dataclass
+class Pairs:
+    """Documents given as numbers of terms, and in how many of them pairs occur."""
+
+    flat: np.ndarray
+    offsets: np.ndarray
+    labels: np.ndarray
+    alone: np.ndarray
+
+    def __post_init__(self):
+        order = np.argsort(self.flat, kind="stable")
+        self.rows = np.repeat(np.arange(len(self.offsets) - 1, dtype=np.int32), np.diff(self.offsets))[order]
+        self.ends = np.searchsorted(self.flat[order], np.arange(len(self.alone) + 1))
+
+    def best(self, terms: np.ndarray, bound: float) -> np.ndarray:
+        """For each of ``terms`` the most evidence that a pair with it adds to what
+        both terms give ``alone``, or 0 if not more than ``bound``. All pairs are
+        counted, one term's at a time."""
+        size, total, positive = len(self.alone), float(len(self.labels)), float(self.labels.sum())
+        least, out = fewest(bound, total, positive), np.zeros(len(terms))
+        texts = [self.flat[i:j] for i, j in zip(self.offsets[:-1], self.offsets[1:], strict=True)]
+        for place, a in enumerate(terms.tolist()):
+            own = self.rows[self.ends[a] : self.ends[a + 1]]
+            both = np.bincount(np.concatenate([self.flat[:0], *(texts[i] for i in own)]), minlength=size)
+            hits = np.bincount(np.concatenate([self.flat[:0], *(texts[i] for i in own[self.labels[own] > 0])]), minlength=size)
+            b = np.flatnonzero(both >= least)
+            more = evidence(both[b].astype(float), hits[b].astype(float), total, positive) - np.maximum(self.alone[a], self.alone[b])
+            out[place] = max(0.0, more[more > bound].max(initial=0.0))
+        return out
+
+
+def paired(spark: SparkSession, pairs: Pairs, bound: float) -> np.ndarray:
+    """``Pairs.best`` of all terms: each task gets the sample's terms and takes a
+    range of them."""
+    shared = spark.sparkContext.broadcast(pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = batch.column("id").to_numpy()
+            best = shared.value.best(terms, bound)
+            yield pa.RecordBatch.from_pydict({"id": terms[best > 0], "best": best[best > 0]})
+
+    out = np.zeros(len(pairs.alone))
+    parts = max(1, min(len(out), 4 * spark.sparkContext.defaultParallelism))
+    found = spark.range(0, len(out), 1, parts).mapInArrow(run, "id long, best double").toArrow()
+    out[found.column("id").to_numpy()] = found.column("best").to_numpy()
+    return out
 
 
 def numbered(known: np.ndarray, values: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -176,7 +206,9 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", usable: C
     lists = few.column("terms").combine_chunks()
     labels, values, offsets = few.column("label").to_numpy(), lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
     number = np.flatnonzero(wide)
-    together = paired(numbered(terms[number], values, offsets), labels, alone[number], 2 * bound)
+    known = numbered(terms[number], values, offsets)
+    pairs = Pairs(np.concatenate([np.empty(0, np.int32), *known]), np.concatenate([[0], np.cumsum([len(x) for x in known])]), labels, alone[number])
+    together = paired(rows.sparkSession, pairs, 2 * bound)
     strength = np.where(alone > bound, alone, 0.0)
     strength[number] = np.maximum(strength[number], together)
     order = np.lexsort((terms, -strength))[:FEATURES]

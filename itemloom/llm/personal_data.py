@@ -7,7 +7,7 @@ around it. Expectation-maximisation over the counts of vote patterns, a table of
 at most a few hundred rows, estimates how reliable each labeler is and how
 likely each pattern is right. A naive Bayes classifier over the spans' features
 is trained on these likelihoods and decides about the candidates; base spans
-stay whatever it says, and candidates that overlap one are dropped.
+stay whatever it says, and looser patterns are sought outside of them only.
 
 Offsets are code points, ends exclusive. The patterns never scan a run of signs
 twice, so very long texts cost in proportion. Null and empty texts have no
@@ -41,10 +41,12 @@ BASE = {
 }
 #: Looser forms: an address in words, IPv6, an unprefixed number.
 LOOSE = {
-    EMAIL: r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,64}+(?: ?(?:\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,64}+)++",
+    EMAIL: r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[(\[{<]at[)\]}>] ?[A-Za-z0-9-]{1,64}+(?: ?[(\[{<]dot[)\]}>] ?[A-Za-z0-9-]{1,64}+)++",
     IP: r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}+:){7}+[0-9A-Fa-f]{1,4}+(?![0-9A-Fa-f:])",
     PHONE: r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])",
 }
+#: What an address in words has at least.
+_WORDED = r"(?i)[(\[{<]dot[)\]}>]"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 
 #: Words that speak for a kind when they stand shortly before a span.
@@ -59,28 +61,56 @@ AGAINST = "version|release|build|isbn|order|serial|invoice|section|chapter|figur
 #: Gazetteers as patterns over the value: common top-level domains, address
 #: blocks in use, card issuers' first digits, calling codes.
 LISTED = {
-    EMAIL: r"(?i)(?:\.|dot[)\]] ?)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|us|eu|ch|at|it|nl)$",
+    EMAIL: r"(?i)(?:\.|dot[)\]}>] ?)(?:com|org|net|edu|gov|mil|int|info|biz|name|io|ai|app|dev|[a-z]{2})$",
     IP: r"^(?!0+\.|127\.|22[4-9]\.|2[3-5][0-9]\.).",
     CARD: r"^(?:4|5[1-5]|2[2-7]|3[47]|36|38|6011|65|35)",
     PHONE: r"^(?:\+(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])|\(?[2-9])",
 }
 CONTEXT = 30
 
-_SPAN = "struct<start:int,end:int,value:string>"
+#: Elements that are summed up at once.
+_BLOCK = 256
+
+
+def _sums(steps: Column) -> Column:
+    """Running sums of an array, in blocks: an array grown element by element is
+    copied each time, so only short ones are."""
+
+    def run(part: Column, start: Column) -> Column:
+        def step(state: Column, x: Column) -> Column:
+            end = state["at"] + x
+            return F.struct(end.alias("at"), F.concat(state["out"], F.array(end)).alias("out"))
+
+        return F.aggregate(part, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda state: state["out"])
+
+    cuts = F.when(F.size(steps) > 0, F.sequence(F.lit(1), F.size(steps), F.lit(_BLOCK))).otherwise(F.array().cast("array<int>"))
+    blocks = F.transform(cuts, lambda i: F.slice(steps, i, _BLOCK))
+    totals = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda t, y: t + y))
+    starts = F.concat(F.array(F.lit(0)), run(totals, F.lit(0)))
+    return F.flatten(F.zip_with(blocks, starts, lambda x, start: run(F.coalesce(x, F.array().cast("array<int>")), start)))
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value) of a pattern's matches, in code points."""
-    # The text between matches; its last piece has no match beside it.
-    both = F.arrays_zip(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
+    """Array of (start, end, value, before, edge) of a pattern's matches, in code
+    points, with the text before each, back to its second neighbour at most, and
+    the character behind it."""
+    between, value = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    blank = F.array(F.lit(""))
+    # Whatever stands beside a match is put beside it here: no array is read within the lambda.
+    both = F.arrays_zip(
+        value.alias("value"), between.alias("between"), _sums(F.zip_with(between, value, lambda b, v: F.char_length(b) + F.coalesce(F.char_length(v), F.lit(0)))).alias("end"),
+        F.concat(blank, between).alias("between_0"), F.concat(blank, value).alias("value_0"), F.slice(between, 2, 1 << 30).alias("between_2"), F.slice(value, 2, 1 << 30).alias("value_2"),
+    )
     found = F.filter(both, lambda x: x["value"].isNotNull())
+    before = lambda x: F.right(F.concat(F.right(x["between_0"], F.lit(CONTEXT)), x["value_0"], x["between"]), F.lit(CONTEXT))
+    edge = lambda x: F.left(F.concat(x["between_2"], F.coalesce(x["value_2"], F.lit(""))), F.lit(1))
+    return F.transform(found, lambda x: F.struct((x["end"] - F.char_length(x["value"])).alias("start"), x["end"].alias("end"), x["value"].alias("value"), before(x).alias("before"), edge(x).alias("edge")))
 
-    def place(state: Column, x: Column) -> Column:
-        start = state["at"] + F.char_length(x["between"])
-        end = start + F.char_length(x["value"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
 
-    return F.aggregate(found, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out")), place, lambda state: state["out"])
+def _blanked(text: Column, pattern: str, kind: int) -> Column:
+    """The text with as many blanks in the place of each valid match."""
+    pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda b, v: F.concat(b, F.when(v.isNull(), "").when(_valid(kind, v), F.repeat(F.lit("\0"), F.char_length(v))).otherwise(v)))
+    return F.array_join(pieces, "")
 
 
 def _digits(value: Column) -> Column:
@@ -112,14 +142,13 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(no, -1).when(yes, 1).otherwise(0)
 
 
-def _described(text: Column, spans: Column, kind: int, base: Callable[[Column], Column]) -> Column:
+def _described(spans: Column, kind: int, base: Callable[[Column], Column]) -> Column:
     """The spans with the labelers' votes and the classifier's features."""
 
     def one(s: Column) -> Column:
         value = s["value"]
-        before = F.lower(F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT))))
+        before = F.lower(s["before"])
         against = before.rlike(rf"(?:{AGAINST})[^.!?\n]{{0,12}}$")
-        edge = F.substring(text, s["end"] + 1, F.lit(1))
         is_base = base(value)
         cue = before.rlike(CUES[kind])
         listed = value.rlike(LISTED[kind])
@@ -127,7 +156,7 @@ def _described(text: Column, spans: Column, kind: int, base: Callable[[Column],
         marks = F.when(value.rlike("[()]"), "brackets").when(value.rlike("[ -]"), "spaced").otherwise("plain")
         return F.struct(
             F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), is_base.alias("base"),
-            _vote(is_base, ~is_base & (F.lit(kind == CARD) | edge.rlike("[A-Za-z0-9]"))).alias("form"), _vote(listed, ~listed).alias("listed"), _vote(cue, against).alias("context"),
+            _vote(is_base, ~is_base & (F.lit(kind == CARD) | s["edge"].rlike("[A-Za-z0-9]"))).alias("form"), _vote(listed, ~listed).alias("listed"), _vote(cue, against).alias("context"),
             F.concat_ws(",", F.concat(F.lit("length="), length), F.concat(F.lit("marks="), marks), F.concat(F.lit("base="), is_base.cast("string")), F.concat(F.lit("listed="), listed.cast("string")), F.concat(F.lit("cue="), cue.cast("string")), F.concat(F.lit("against="), against.cast("string"))).alias("features"),
         )
 
@@ -140,17 +169,22 @@ def find_spans(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     source = documents.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     body = F.col("body")
     number = body.rlike("[0-9]")
+    # Looser forms are sought outside base spans only.
+    free = body
+    for kind, hint in ((EMAIL, body.contains("@")), (IP, number), (PHONE, body.contains("+")), (CARD, number)):
+        free = F.when(hint, _blanked(free, BASE[kind], kind)).otherwise(free)
+    source = source.withColumn("free", F.when(number | body.contains("@") | body.rlike(_WORDED), free))
     parts = []
 
     def valid(kind: int) -> Column:
         return F.filter(matches(body, BASE[kind]), lambda s: _valid(kind, s["value"]))
 
     for kind, hint in ((EMAIL, body.contains("@")), (IP, number), (PHONE, body.contains("+"))):
-        parts.append(F.when(hint, _described(body, valid(kind), kind, lambda value: F.lit(True))))
+        parts.append(F.when(hint, _described(valid(kind), kind, lambda value: F.lit(True))))
     # Runs of digits that fail the check sum stay as candidates.
-    parts.append(F.when(number, _described(body, matches(body, BASE[CARD]), CARD, lambda value: _valid(CARD, value))))
-    for kind, hint in ((EMAIL, body.rlike(r"(?i)[(\[]dot[)\]]")), (IP, body.contains(":") & number), (PHONE, number)):
-        parts.append(F.when(hint, _described(body, matches(body, LOOSE[kind]), kind, lambda value: F.lit(False))))
+    parts.append(F.when(number, _described(matches(body, BASE[CARD]), CARD, lambda value: _valid(CARD, value))))
+    for kind, hint in ((EMAIL, body.rlike(_WORDED)), (IP, body.contains(":") & number), (PHONE, number)):
+        parts.append(F.when(hint, _described(matches(F.col("free"), LOOSE[kind]), kind, lambda value: F.lit(False))))
     spans = F.concat(*(F.coalesce(p, F.array()) for p in parts))
     return source.select(F.col("key").alias(key), "text_hash", F.explode(F.concat(F.array(F.lit(None)), spans)).alias("span"))
 
@@ -225,8 +259,7 @@ def collect_spans(decided: DataFrame, key: str = "doc_id", least: float = 0.5) -
         F.array_sort(F.collect_set(F.when(F.col("base"), one))).alias("base"),
         F.collect_set(F.when(~F.col("base") & (F.col("likely") > least), one)).alias("more"),
     )
-    free = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return grouped.select(key, "text_hash", "base", F.array_sort(F.concat("base", free)).alias("spans"), F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
+    return grouped.select(key, "text_hash", "base", F.array_sort(F.concat("base", "more")).alias("spans"), F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
 
 
 def of_kind(kind: int) -> Callable[[Column], Column]:

@@ -47,7 +47,8 @@ def _fingerprinted(df: DataFrame, short: list[int]) -> DataFrame:
     n = F.size("words")
     # Arrays are read by place within the lambdas: slices would copy all of them each time.
     df = df.select("*", n.alias("n_words"), F.when(n >= SPAN, F.transform("words", lambda w: F.xxhash64(w))).alias("hashes"))
-    begins = F.sequence(F.lit(0), F.col("n_words") - GRAM)
+    longest = F.when(F.col("n_words") >= 1 << PLACE_BITS, F.raise_error(F.lit(f"a text has {1 << PLACE_BITS} words or more")).cast("int")).otherwise(F.col("n_words"))
+    begins = F.sequence(F.lit(0), longest - GRAM)
     grams = F.when(F.col("hashes").isNotNull(), F.transform(begins, lambda i: F.xxhash64(*(F.get("hashes", i + j) for j in range(GRAM)))))
     df = df.select("*", grams.alias("grams")).drop("hashes")
     df = df.select("*", F.transform("grams", lambda g, i: g.bitwiseAND(F.lit(-1 << PLACE_BITS)).bitwiseOR(i.cast("long"))).alias("marked"))
@@ -95,15 +96,18 @@ def find_hits(documents: DataFrame, items: DataFrame, key: str = "doc_id", text:
     spark = documents.sparkSession
     mark = spark.range(1).select(F.lit(None).cast(prints.schema["item"].dataType).alias("item"), F.lit(0).alias("length"), F.lit(0).cast("long").alias("hash"), F.array().cast("array<string>").alias("theirs"))
     small = prints.count() <= BROADCAST
-    prints = prints.unionByName(mark)
-
     source = documents.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("body"))
     placed = _fingerprinted(source, short).withColumn("place", F.explode(F.concat("places", F.array(F.lit(-16))))).drop("places")
     place, length = F.floor(F.col("place") / 16).cast("int"), F.pmod("place", F.lit(16)).cast("int")
     placed = placed.select("key", "text_hash", "n_words", "words", "grams", place.alias("place"), length.alias("length"))
     mine = F.when(F.col("length") == SPAN, _context("words", F.col("place"))).when(F.col("length") > 0, F.slice("words", F.col("place") + 1, F.col("length")))
     placed = placed.select("key", "text_hash", "n_words", "place", "length", _hash(F.col("place"), F.col("length"), short).alias("hash"), mine.alias("mine"))
-    met = placed.join(F.broadcast(prints) if small else prints, ["length", "hash"])
+    if small:
+        met = placed.join(F.broadcast(prints.unionByName(mark)), ["length", "hash"])
+    else:
+        # The rows that stand for whole texts meet nothing, and are spread by the texts' hashes.
+        spread = F.when(F.col("length") == 0, F.xxhash64("key", "text_hash")).otherwise(F.col("hash"))
+        met = placed.withColumn("hash", spread).join(prints, ["length", "hash"], "left").where("length = 0 OR item IS NOT NULL OR theirs IS NOT NULL")
 
     def reach(steps: list[int]) -> Column:
         """How many words in a row are equal, from the gram outwards."""

@@ -74,24 +74,39 @@ class _Words:
         self.cores: dict[str, bytes] = {}
         self.shown = dict(enumerate(byte_characters()))
         self.points = {p: self.ids(p).tobytes() for p in ("", ".", ",")}
+        self.plain = self.shortcut_holds()
         #: A character with one id, which stands between new words when they are encoded together.
         self.mark, self.mark_id = next((c, ids[0]) for c in "™®©♥★§" if len(ids := self.ids(c)) == 1)
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
+    def shortcut_holds(self) -> bool:
+        """Whether words may be encoded apart (an error if not) and ``PLAIN`` ones by
+        their letters alone, tried on generated words of all these letters."""
+        letters = [chr(c) for c in range(0x41, 0x100) if PLAIN(chr(c))]
+        words = letters + ["".join(letters[(7 * i + j * j) % len(letters)] for j in range(2 + i % 9)) for i in range(300)]
+        words = [w + point for w in words for point in ("", ".", ",")]
+        mixed = [*words[:60], "a-b", "1.5", "™x", "日本", "it's"]
+        if self.ids(" \t".join(mixed)).tobytes() != b"".join(self.ids(w).tobytes() for w in mixed):
+            raise ValueError("the tokenizer's words depend on what stands beside them")
+        return all(self.letters_ids(*PLAIN(w).groups()) == self.ids(w).tobytes() for w in words)
+
+    def letters_ids(self, core: str, point: str) -> bytes:
+        core = core.lower()
+        if (ids := self.cores.get(core)) is None:
+            shown = core if core.isascii() else core.encode().decode("latin-1").translate(self.shown)
+            ids = self.cores[core] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(shown)])
+        return ids + self.points[point]
+
     def learn(self, words: set[bytes]) -> None:
         hard = []
         for word in words:
-            match = PLAIN(text := word.decode())
+            match = PLAIN(text := word.decode()) if self.plain else None
             if match is None:
                 hard.append((word, text))
-                continue
-            core, point = match.groups()
-            if (ids := self.cores.get(core := core.lower())) is None:
-                shown = core if core.isascii() else core.encode().decode("latin-1").translate(self.shown)
-                ids = self.cores[core] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(shown)])
-            self.known[word] = ids + self.points[point]
+            else:
+                self.known[word] = self.letters_ids(*match.groups())
         together = [(w, t) for w, t in hard if self.mark not in t]
         for i in range(0, len(together), 1000):
             some = together[i : i + 1000]
@@ -123,7 +138,7 @@ def write_ids(df: DataFrame, folder: str, tokenizer: str, end_id: int, key: str
     """Encode every text, add ``end_id`` to each document and write the file set."""
     spark = df.sparkSession
     source = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    ordered = source.repartitionByRange(shuffle_width(spark), "key").sortWithinPartitions("key", "body")
+    ordered = source.repartitionByRange(shuffle_width(spark), "key", F.xxhash64("body")).sortWithinPartitions("key", F.xxhash64("body"), "body")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

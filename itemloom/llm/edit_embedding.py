@@ -41,6 +41,8 @@ PERIOD = 4096
 CLASSES = 256
 #: Bands of sampled ticks, of which candidates share one.
 BANDS, PER_BAND = 16, 6
+#: The likeness of near documents.
+LEAST_LIKE = 0.8
 
 
 @cache
@@ -153,7 +155,7 @@ def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text")
     return source.mapInArrow(run, f"key {source.schema['key'].dataType.simpleString()}, n_chars long, fingerprint string").withColumnRenamed("key", key)
 
 
-def near_documents(prints: DataFrame, key: str = "doc_id", least: float = 0.8) -> DataFrame:
+def near_documents(prints: DataFrame, key: str = "doc_id", least: float = LEAST_LIKE) -> DataFrame:
     """(key, component) of (key, fingerprint): documents whose fingerprints agree
     in all ticks of a band are candidates, and linked if they are as like as
     ``least``. Equal fingerprints are one class; see ``connect`` for large bands."""
@@ -187,11 +189,13 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-EDITED = "key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+COMPARED = ("edited_sha256", "edited_fingerprint", "near_edited", "near_next", "bands_edited", "bands_next")
+EDITED = "key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, bands_edited long, bands_next long"
 
 
 def _compared(text: str, own: tuple[np.ndarray, np.ndarray, str], following: str, following_print: str) -> tuple:
-    """Digest and fingerprint of the edited text, and both likenesses."""
+    """Digest and fingerprint of the edited text, and for this and the following text
+    the likeness and the number of shared bands, of which candidates have one."""
     points, left, mine = own
     other = edited(text, following)
     kept = len(text) - len(text) // 2
@@ -199,7 +203,8 @@ def _compared(text: str, own: tuple[np.ndarray, np.ndarray, str], following: str
     # The walk over what is kept is the same.
     tail = walk(_classes(rest), int(left[kept - 1]) if kept else 0)
     theirs = fingerprint(np.concatenate([points[:kept], rest]), np.concatenate([left[:kept], tail]))
-    return hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), theirs, likeness(mine, theirs), likeness(mine, following_print)
+    bands = [set(band_signs(x, LEAST_LIKE)) for x in (mine, theirs, following_print)]
+    return hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), theirs, likeness(mine, theirs), likeness(mine, following_print), len(bands[0] & bands[1]), len(bands[0] & bands[2])
 
 
 def _walked(text: str) -> tuple[np.ndarray, np.ndarray, str]:
@@ -215,18 +220,18 @@ def compare_edits(documents: DataFrame, key: str = "doc_id", text: str = "text")
 
     Rows are sorted over ranges of keys. Each range pairs its rows; its last one
     meets the next range's first one afterwards, in a table of a row per range.
-    Equal keys are ordered by text.
+    Equal keys are ordered by their texts' hashes.
     """
     source = documents.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    order = F.col("key").desc(), F.col("body").desc()
-    ordered = source.repartitionByRange(shuffle_width(documents.sparkSession), order[0]).sortWithinPartitions(*order)
-    fields = pa.schema([("key", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("part", pa.int32()), ("head", pa.string()), ("tail", pa.string())])
+    order = F.col("key").desc(), F.xxhash64("body").desc(), F.col("body").desc()
+    ordered = source.repartitionByRange(shuffle_width(documents.sparkSession), *order[:2]).sortWithinPartitions(*order)
+    fields = pa.schema([("key", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("bands_edited", pa.int64()), ("bands_next", pa.int64()), ("part", pa.int32()), ("head", pa.string()), ("tail", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, head = TaskContext.get().partitionId(), None, None
 
         def row(key: int, text: str, own: tuple, compared: tuple, tail: str | None) -> dict:
-            return {"key": key, "n_chars": len(text), "fingerprint": own[2], "part": part, "head": head, "tail": tail} | dict(zip(("edited_sha256", "edited_fingerprint", "near_edited", "near_next"), compared, strict=True))
+            return {"key": key, "n_chars": len(text), "fingerprint": own[2], "part": part, "head": head, "tail": tail} | dict(zip(COMPARED, compared, strict=True))
 
         for batch in slices(batches, "body", 4_000_000):
             rows = []
@@ -240,7 +245,7 @@ def compare_edits(documents: DataFrame, key: str = "doc_id", text: str = "text")
                 held = k, body, own
             yield pa.RecordBatch.from_pylist(rows, fields)
         if held is not None:
-            yield pa.RecordBatch.from_pylist([row(*held, (None,) * 4, held[1])], fields)
+            yield pa.RecordBatch.from_pylist([row(*held, (None,) * len(COMPARED), held[1])], fields)
 
     done = settle(ordered.mapInArrow(run, EDITED + ", part int, head string, tail string"), "edits")
     # A row for each range of keys.
@@ -254,8 +259,8 @@ def compare_edits(documents: DataFrame, key: str = "doc_id", text: str = "text")
             rows = []
             for x in batch.to_pylist():
                 own = _walked(x["tail"])
-                digest, theirs, near, near_next = _compared(x["tail"], own, x["body"], x["body_print"])
-                rows.append({"key": x["key"], "n_chars": len(x["tail"]), "edited_sha256": digest, "fingerprint": own[2], "edited_fingerprint": theirs, "near_edited": near, "near_next": near_next})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([*fields][:7]))
+                compared = _compared(x["tail"], own, x["body"], x["body_print"])
+                rows.append({"key": x["key"], "n_chars": len(x["tail"]), "fingerprint": own[2]} | dict(zip(COMPARED, compared, strict=True)))
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([*fields][:-3]))
 
     return done.where("tail IS NULL").drop("part", "head", "tail").unionByName(tails.select("key", "tail", "body", "body_print").mapInArrow(meet, EDITED)).withColumnRenamed("key", key)

@@ -4,7 +4,7 @@ A line is the set of its words (A-Z lowered, split at ASCII white space). Words
 are ordered by rarity, from counts over all documents in a table of fixed size;
 any order is right, a good one keeps candidates few. Lines that are similar
 enough share one of their first words, so each line is signed by these. Rows of
-a sign are sorted by range, and its lines are compared: lengths, the words'
+a sign come together, and its lines are compared: lengths, the words'
 places and 64 parity bits of the sets leave few pairs. Of each line's, the
 ``FEW`` earliest are verified on the sets, the rest only where none matches. A line goes if it matches one that
 begins earlier (smaller key, or same key and smaller line number), whatever
@@ -12,7 +12,7 @@ becomes of that one; so one match is enough.
 
 What this leaves open is settled by the sets: lines with more than ``MANY``
 candidates that weren't removed, lines of signs with more than ``RUN`` lines, and
-those at the ends of a range of rows. Such lines, the probes, meet all earlier
+those of words so frequent that their rows are dealt to many tasks. Such lines, the probes, meet all earlier
 ones of the sign. Where a sign is crowded it is first joined with each other one
 of a line's first words, of which similar lines share as many as are taken, up
 to ``DEPTH`` words. So no match is lost, and no group is expanded into pairs.
@@ -28,10 +28,11 @@ name are kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -45,18 +46,22 @@ FEW = 4
 #: Candidates of a row up to which all are noted at once.
 MANY = 64
 #: The most lines of a sign that are all compared with each other.
-RUN = 1024
+RUN = 1 << 14
 #: Neighbours that a line of a longer run is compared with.
 NEAR = 64
 #: Words of a sign, at most.
 DEPTH = 4
 #: Lines of more words have ``MORE`` times 64 further bits (a power of two less one).
 LONG, MORE = 64, 3
+#: A word is frequent if it makes up this share of what a task gets on average.
+FREQUENT = 0.25
+#: And if it is among so many words, at least.
+LEAST = 1 << 12
 #: Rows that are compared at once; a longer run is handled in pieces.
 CHUNK = 1 << 18
 PLACE = (1 << 32) - 1
 PARITIES = [f"parity{i}" for i in range(1 + MORE)]
-COLUMNS = ["sign", "info", "class", "key", "line", *PARITIES]
+COLUMNS = ["sign", "info", "class", "key", "line", *PARITIES, "spread"]
 
 
 def least_common(n, share: int, of: int):
@@ -131,9 +136,10 @@ class _Lines:
         return line, place[some], np.where(alone[line], mixed(~classes[line]), self.hashes[some])
 
 
-def _rarity(source: DataFrame) -> np.ndarray:
+def _rarity(source: DataFrame) -> tuple[np.ndarray, int]:
     """Per cell the logarithm of its words' count in all documents, as a small
-    number; the cells' counts are summed by Spark, in blocks of ``BLOCK``."""
+    number, and the least number of frequent words; the cells' counts are summed by
+    Spark, in blocks of ``BLOCK``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.int64)
@@ -153,20 +159,22 @@ def _rarity(source: DataFrame) -> np.ndarray:
             for block, cells, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "cells", "counts")), strict=True):
                 sums.setdefault(block, np.zeros(BLOCK, np.int64))[np.frombuffer(cells, np.uint16)] += np.frombuffer(counts, np.uint32)
         ranks = [np.minimum(8 * np.log2(x + 1), 255).astype(np.uint8).tobytes() for x in sums.values()]
-        yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int64()), "ranks": pa.array(ranks, pa.binary())})
+        yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int64()), "ranks": pa.array(ranks, pa.binary()), "words": pa.array([int(x.sum()) for x in sums.values()], pa.int64())})
 
     parts = source.select("body").mapInArrow(run, "block long, cells binary, counts binary").repartition("block")
-    summed = settle(parts.mapInArrow(total, "block long, ranks binary"), "rarity")
-    out = np.zeros((CELLS // BLOCK, BLOCK), np.uint8)
+    summed = settle(parts.mapInArrow(total, "block long, ranks binary, words long"), "rarity")
+    out, words = np.zeros((CELLS // BLOCK, BLOCK), np.uint8), 0
     # A byte for each cell in all.
     for row in summed.toLocalIterator():
         out[row.block] = np.frombuffer(bytes(row.ranks), np.uint8)
+        words += row.words
     discard(summed)
-    return out.reshape(-1)
+    return out.reshape(-1), int(8 * np.log2(FREQUENT * words / shuffle_width(source.sparkSession) + LEAST))
 
 
-def _signed(source: DataFrame, rarity: np.ndarray, share: int, of: int) -> DataFrame:
-    """(sign, info: size and place, class, key, line, parities) of the lines. Of equal
+def _signed(source: DataFrame, rarity: np.ndarray, frequent: int, share: int, of: int) -> DataFrame:
+    """(sign, info: size and place, class, key, line, parities, spread) of the lines.
+    Rows with a ``spread`` other than 0, those of frequent words, are dealt by it. Of equal
     lines of a block only the first has all signs, the others the one at place 0."""
     shared = source.sparkSession.sparkContext.broadcast(rarity)
 
@@ -182,9 +190,12 @@ def _signed(source: DataFrame, rarity: np.ndarray, share: int, of: int) -> DataF
             line, place, sign = own.signs(classes, share, of)
             used = ~later[line] | (place == 0)
             line, place, sign = line[used], place[used], sign[used]
+            hot = (shared.value[_cells(sign)] >= frequent) & ~only_equal(own.sizes[line], share, of)
+            hot |= only_equal(own.sizes[line], share, of) & (shared.value[_cells(own.hashes[own.starts[line]])] >= frequent)
+            spread = np.where(hot, mixed(classes[line] + key[line].astype(np.uint64)) | np.uint64(1), np.uint64(0)).view(np.int64)
             yield pa.RecordBatch.from_pydict({
                 "sign": sign.view(np.int64), "info": (own.sizes[line] << 32) | place, "class": classes[line].view(np.int64), "key": key[line], "line": number[line],
-            } | {c: parity[i, line].view(np.int64) for i, c in enumerate(PARITIES)})
+            } | {c: parity[i, line].view(np.int64) for i, c in enumerate(PARITIES)} | {"spread": spread})
 
     return source.mapInArrow(run, ", ".join(f"{c} long" for c in COLUMNS))
 
@@ -233,7 +244,7 @@ def _compared(columns: list[np.ndarray], cut: np.ndarray, share: int, of: int) -
     rows that may have still more; the rows of open signs, and whether they may match
     others. Rows are given by number; signs that are ``cut`` have rows elsewhere, too."""
     sign, info, name, key, line = columns[:5]
-    n, place, parity = info >> 32, info & PLACE, np.stack(columns[5:]).view(np.uint64)
+    n, place, parity = info >> 32, info & PLACE, np.stack(columns[5:-1]).view(np.uint64)
     again = np.zeros(len(sign), bool)
     again[1:] = (sign[1:] == sign[:-1]) & (name[1:] == name[:-1])
     whole = np.maximum.accumulate(np.where(again, 0, np.arange(len(sign))))
@@ -309,8 +320,7 @@ COPY, PAIR, FURTHER, MARK, TARGET, PROBE = range(6)
 
 def _met(rows: DataFrame, share: int, of: int) -> DataFrame:
     """What comes of comparing the lines of each sign, by kind."""
-    order = ("sign", "info", "class", "key", "line")
-    ordered = rows.repartitionByRange(shuffle_width(rows.sparkSession), *order).sortWithinPartitions(*order)
+    ordered = rows.repartition(shuffle_width(rows.sparkSession), "sign", "spread").sortWithinPartitions("sign", "info", "class", "key", "line")
 
     def told(columns: list[np.ndarray], cut: np.ndarray) -> pa.RecordBatch:
         copies, (earlier, later), (earlier_too, later_too), marks, kept, probes = _compared(columns, cut, share, of)
@@ -325,7 +335,7 @@ def _met(rows: DataFrame, share: int, of: int) -> DataFrame:
         return pa.RecordBatch.from_pydict({
             "kind": kind, "key": key[own], "line": line[own], "a_key": pa.array(key[other], mask=~paired), "a_line": pa.array(line[other], mask=~paired),
             "sign": pa.array(sign[own], mask=~signed), "class": pa.array(name[own], mask=~open_), "n": pa.array(info[own] >> 32, mask=~open_),
-        } | {c: pa.array(x[own], mask=~open_) for c, x in zip(PARITIES, columns[5:], strict=True)})
+        } | {c: pa.array(x[own], mask=~open_) for c, x in zip(PARITIES, columns[5:-1], strict=True)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -335,17 +345,14 @@ def _met(rows: DataFrame, share: int, of: int) -> DataFrame:
         def pieces(last: bool) -> Iterator[pa.RecordBatch]:
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
             sign = columns[0]
-            if not split:
-                split.append(int(sign[0]))  # the rows before may lie in another range
             upto = len(sign) if last else int(np.flatnonzero(sign == sign[-1])[0])
             if not upto and len(sign) >= CHUNK:
                 split.append(int(sign[0]))
                 upto = len(sign)
             held.clear()
             if upto:
-                cut = np.isin(sign[:upto], split)
-                if last:
-                    cut |= sign[:upto] == sign[-1]
+                # Rows of frequent words and of runs in pieces have others elsewhere.
+                cut = np.isin(sign[:upto], split) | (columns[-1][:upto] != 0)
                 yield told([c[:upto] for c in columns], cut)
             if upto < len(sign):
                 held.append([c[upto:] for c in columns])
@@ -361,11 +368,12 @@ def _met(rows: DataFrame, share: int, of: int) -> DataFrame:
     return ordered.mapInArrow(run, _MET)
 
 
-def _sets(source: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets(source: DataFrame, wanted: DataFrame, unique: bool) -> DataFrame:
     """(key, line, items) of the ``wanted`` lines (key, line)."""
     twin = F.shiftright("line", 32)
     lines = wanted.groupBy("key", twin.alias("twin_at")).agg(F.sort_array(F.collect_set("line")).alias("lines"))
-    rows = source.withColumn("twin_at", F.shiftright("twin", 32)).join(lines, ["key", "twin_at"]).dropDuplicates(["key", "twin_at"]).select("key", "twin", "body", "lines")
+    rows = source.withColumn("twin_at", F.shiftright("twin", 32)).join(lines.hint("shuffle_hash"), ["key", "twin_at"])
+    rows = (rows if unique else rows.dropDuplicates(["key", "twin_at"])).select("key", "twin", "body", "lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, words in blocks(batches, lowered=True):
@@ -430,7 +438,7 @@ def _settled_by_sets(open_: DataFrame, probes: DataFrame, source: DataFrame, set
     the ``open_`` rows of the same sign."""
     line = ["key", "line"]
     rows = open_.join(probes.select("sign").distinct(), "sign", "left_semi").join(probes.withColumn("probe", F.lit(True)), [*line, "sign"], "left")
-    rows = rows.select(*line, "n", PARITIES[0], F.coalesce("probe", F.lit(False)).alias("probe"), F.array("sign").alias("words")).distinct()
+    rows = rows.select(*line, "n", *PARITIES, F.coalesce("probe", F.lit(False)).alias("probe"), F.array("sign").alias("words")).distinct()
     found, spent = None, []
     for depth in range(1, DEPTH + 1):
         rows = settle(rows, "open")
@@ -438,33 +446,37 @@ def _settled_by_sets(open_: DataFrame, probes: DataFrame, source: DataFrame, set
         groups = rows.groupBy("words").agg(F.count("*").alias("rows"), F.max("probe").alias("probed")).where("rows > 1 AND probed")
         rows = rows.join(groups, "words")
         small = rows if depth == DEPTH else rows.where(F.col("rows") <= RUN)
-        other = small.select("words", *(F.col(c).alias(f"a_{c}") for c in ("key", "line", "n", PARITIES[0])))
-        fits = (of * F.least("n", "a_n") >= share * F.greatest("n", "a_n")) & (F.bit_count(F.col(PARITIES[0]).bitwiseXOR(F.col(f"a_{PARITIES[0]}"))) * (of + share) <= (of - share) * (F.col("n") + F.col("a_n")))
+        other = small.select("words", *(F.col(c).alias(f"a_{c}") for c in ("key", "line", "n", *PARITIES)))
+        first, *more = (F.col(c).bitwiseXOR(F.col(f"a_{c}")) for c in PARITIES)
+        least = sum((F.bit_count(x) for x in more), F.bit_count(reduce(Column.bitwiseXOR, more, first)))
+        least = F.when((F.col("n") > LONG) & (F.col("a_n") > LONG), least).otherwise(F.bit_count(first))
+        fits = (of * F.least("n", "a_n") >= share * F.greatest("n", "a_n")) & (least * (of + share) <= (of - share) * (F.col("n") + F.col("a_n")))
         earlier = (F.col("a_key") < F.col("key")) | ((F.col("a_key") == F.col("key")) & (F.col("a_line") < F.col("line")))
         met = _matching(small.where("probe").join(other, "words").where(earlier & fits), sets, share, of)
         found = met if found is None else found.unionByName(met)
         rows = rows.where(F.col("rows") > RUN)
         if depth == DEPTH or rows.isEmpty():
             break
-        rows = _deeper(rows.select(*line, "n", PARITIES[0], "probe", "words"), sets, rarity, share, of)
+        rows = _deeper(rows.select(*line, "n", *PARITIES, "probe", "words"), sets, rarity, share, of)
     out = settle(found.distinct(), "removed")
     discard(*spent)
     return out
 
 
-def removed_lines(source: DataFrame, share: int = 80, of: int = 100) -> DataFrame:
+def removed_lines(source: DataFrame, share: int = 80, of: int = 100, unique: bool = False) -> DataFrame:
     """(key, line): the lines of ``source`` (key, twin, body) that match an earlier
-    one; ``line`` counts from the document's ``twin``."""
+    one; ``line`` counts from the document's ``twin``. ``unique`` says that no key is
+    repeated."""
     line = ["key", "line"]
-    rarity = _rarity(source)
-    met = settle(_met(_signed(source, rarity, share, of), share, of), "pairs")
+    rarity, frequent = _rarity(source)
+    met = settle(_met(_signed(source, rarity, frequent, share, of), share, of), "pairs")
     copies, open_ = met.where(F.col("kind") == COPY).select(*line), met.where(F.col("kind") >= TARGET)
-    # Equal lines of different ranges.
+    # Equal lines of frequent words.
     first = open_.groupBy("class").agg(F.min(F.struct(*line)).alias("first"), F.max(F.struct(*line)).alias("last")).where("first < last").select("class", "first")
     copies = copies.unionByName(open_.join(first, "class").where(F.struct(*line) > F.col("first")).select(*line))
     pairs = [met.where(F.col("kind") == kind).select(*line, "a_key", "a_line") for kind in (PAIR, FURTHER)]
     ends = [pairs[0].select(*line), *(p.select(F.col("a_key").alias("key"), F.col("a_line").alias("line")) for p in pairs), open_.select(*line)]
-    sets = settle(_sets(source, ends[0].unionByName(ends[1]).unionByName(ends[2]).unionByName(ends[3]).distinct()), "items")
+    sets = settle(_sets(source, ends[0].unionByName(ends[1]).unionByName(ends[2]).unionByName(ends[3]).distinct(), unique), "items")
     # Most lines match the earliest candidate; only of the others all are compared.
     best = pairs[0].groupBy(*line).agg(F.min(F.struct("a_key", "a_line")).alias("a")).select(*line, "a.a_key", "a.a_line")
     gone = settle(copies.unionByName(_matching(best, sets, share, of)).distinct(), "removed")
@@ -475,11 +487,11 @@ def removed_lines(source: DataFrame, share: int = 80, of: int = 100) -> DataFram
 
     probes = settle(met.where(F.col("kind").isin(MARK, PROBE)).select(*line, "sign").join(gone, line, "left_anti"), "probes")
     marks = settle(met.where(F.col("kind") == MARK).select(*line, "sign").join(gone, line, "left_anti").select("sign").distinct(), "marks")
-    open_ = open_.select(*line, "sign", "n", PARITIES[0])
+    open_ = open_.select(*line, "sign", "n", *PARITIES)
     if not marks.isEmpty():
         # The rows of these signs once more.
-        again = settle(_signed(source, rarity, share, of).join(marks, "sign", "left_semi").select(*line, "sign", F.shiftright("info", 32).alias("n"), PARITIES[0]), "open")
-        last, sets = sets, settle(_sets(source, again.select(*line).distinct().join(sets.select(*line), line, "left_anti")).unionByName(sets), "items")
+        again = settle(_signed(source, rarity, frequent, share, of).join(marks, "sign", "left_semi").select(*line, "sign", F.shiftright("info", 32).alias("n"), *PARITIES).distinct(), "open")
+        last, sets = sets, settle(_sets(source, again.select(*line).distinct().join(sets.select(*line), line, "left_anti"), unique).unionByName(sets), "items")
         discard(last)
         open_ = open_.unionByName(again)
     if not probes.isEmpty():
@@ -493,8 +505,8 @@ def removed_lines(source: DataFrame, share: int = 80, of: int = 100) -> DataFram
 def deduplicate(documents: DataFrame, key: str = "doc_id", text: str = "text", share: int = 80, of: int = 100) -> DataFrame:
     """``documents`` with the later matches removed from ``text``, and n_lines and
     n_removed (both of lines with words) added."""
-    own = told_apart(documents, key, text)
-    gone = removed_lines(own.select("key", "twin", "body").where("key IS NOT NULL"), share, of)
+    own, unique = told_apart(documents, key, text)
+    gone = removed_lines(own.select("key", "twin", "body").where("key IS NOT NULL"), share, of, unique)
     per_text = gone.groupBy("key", F.shiftright("line", 32).alias("twin_at")).agg(F.collect_list(F.col("line").bitwiseAND(F.lit(PLACE))).alias("gone"))
     rows = own.withColumn("twin_at", F.shiftright("twin", 32)).join(per_text.hint("shuffle_hash"), ["key", "twin_at"], "left").select("row", "body", "gone")
     names = documents.columns

@@ -83,20 +83,20 @@ def slices(batches: Iterator[pa.RecordBatch], weigh: str, most: int = 16_000_000
         yield from (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
 
 
-def told_apart(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row: all columns, key long, body: the text or "", twin) of the documents.
+def told_apart(documents: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, bool]:
+    """(row: all columns, key long, body: the text or "", twin) of the documents,
+    and whether no key is repeated.
 
     ``twin`` is 0, or 31 bits of the text's hash above 32 zero bits where the key
-    is null or has several texts, so (key, twin) names a text.
+    is null or repeated, so (key, twin) names a text.
     """
     rows = documents.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     apart = F.shiftleft(F.shiftrightunsigned(F.xxhash64("body"), 33), 32)
-    texts = rows.where("key IS NOT NULL").groupBy("key").agg(F.min(F.xxhash64("body")).alias("low"), F.max(F.xxhash64("body")).alias("top"))
-    several = settle(texts.where("low <> top").select("key", F.lit(True).alias("several")), "several")
-    if several.isEmpty():
-        return rows.withColumn("twin", F.when(F.col("key").isNull(), apart).otherwise(F.lit(0).cast("long")))
-    twin = F.when(F.col("several") | F.col("key").isNull(), apart).otherwise(F.lit(0).cast("long"))
-    return rows.join(several, "key", "left").withColumn("twin", twin).drop("several")
+    repeated = settle(rows.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("repeated")), "repeated")
+    if repeated.isEmpty():
+        return rows.withColumn("twin", F.when(F.col("key").isNull(), apart).otherwise(F.lit(0).cast("long"))), True
+    twin = F.when(F.col("repeated") | F.col("key").isNull(), apart).otherwise(F.lit(0).cast("long"))
+    return rows.join(repeated, "key", "left").withColumn("twin", twin).drop("repeated"), False
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, usable: Column, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -108,7 +108,7 @@ def test_line_dedup_with_columns_of_its_names(spark, clash):
 @pytest.mark.parametrize("run, few, many, chunk", [(1024, 4, 64, 1 << 18), (2, 1, 64, 8), (64, 1, 1, 1 << 18)])
 def test_line_dedup_keeps_first_lines(spark, docs, monkeypatch, run, few, many, chunk):
     """Also with runs cut in pieces, few neighbours and several words in a sign."""
-    for name, value in (("RUN", run), ("FEW", few), ("MANY", many), ("CHUNK", chunk), ("NEAR", min(run, 64))):
+    for name, value in (("RUN", run), ("LEAST", min(run, 64)), ("FEW", few), ("MANY", many), ("CHUNK", chunk), ("NEAR", min(run, 64))):
         monkeypatch.setattr(line_dedup, name, value)
     lines, first = {}, {}
     for i, t in mixed_texts():

@@ -72,39 +72,54 @@ CONTEXT = 30
 _BLOCK = 256
 
 
-def _sums(steps: Column) -> Column:
-    """Running sums of an array, in blocks: an array grown element by element is
-    copied each time, so only short ones are."""
-
-    def run(part: Column, start: Column) -> Column:
-        def step(state: Column, x: Column) -> Column:
-            end = state["at"] + x
-            return F.struct(end.alias("at"), F.concat(state["out"], F.array(end)).alias("out"))
+def _running(part: Column, start: Column) -> Column:
+    """Running sums of an array of a few hundred elements at most: an array grown
+    element by element is copied each time."""
+
+    def step(state: Column, x: Column) -> Column:
+        end = state["at"] + x
+        return F.struct(end.alias("at"), F.concat(state["out"], F.array(end)).alias("out"))
+
+    return F.aggregate(part, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda state: state["out"])
+
+
+def with_matches(df: DataFrame, sought: dict[str, tuple[Column, str, Column]]) -> DataFrame:
+    """For each name and (text, pattern, hint) an array of (start, end, value,
+    before, edge) of the pattern's matches, in code points, with the text before
+    each, back to its second neighbour at most, and the character behind it; null
+    where the hint is false. Each step is a column of its own, so that no lambda
+    makes an array again for each element."""
+    split = {f"{n}_b": F.when(hint, F.split(text, pattern, -1)) for n, (text, pattern, hint) in sought.items()}
+    df = df.withColumns(split | {f"{n}_v": F.when(hint, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))) for n, (text, pattern, hint) in sought.items()})
+    df = df.withColumns({f"{n}_s": F.zip_with(f"{n}_b", f"{n}_v", lambda b, v: F.char_length(b) + F.coalesce(F.char_length(v), F.lit(0))) for n in sought})
+
+    def cut(n: str) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(f"{n}_s"), F.lit(_BLOCK)), lambda i: F.slice(f"{n}_s", i, F.lit(_BLOCK)))
+
+    df = df.withColumns({f"{n}_k": F.when(F.col(f"{n}_s").isNotNull(), cut(n)) for n in sought})
+    df = df.withColumns({f"{n}_t": F.transform(f"{n}_k", lambda x: F.aggregate(x, F.lit(0), lambda t, y: t + y)) for n in sought})
+    # The last block's end begins no block.
+    df = df.withColumns({f"{n}_t": F.concat(F.array(F.lit(0)), F.slice(_running(F.col(f"{n}_t"), F.lit(0)), F.lit(1), F.size(f"{n}_t") - 1)) for n in sought})
+    df = df.withColumns({f"{n}_e": F.flatten(F.zip_with(f"{n}_k", f"{n}_t", _running)) for n in sought})
+    blank = F.array(F.lit(""))
 
-        return F.aggregate(part, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda state: state["out"])
+    def spans(n: str) -> Column:
+        between, value = F.col(f"{n}_b"), F.col(f"{n}_v")
+        # Whatever stands beside a match is put beside it here.
+        both = F.arrays_zip(
+            value.alias("value"), between.alias("between"), F.col(f"{n}_e").alias("end"), F.concat(blank, between).alias("between_0"),
+            F.concat(blank, value).alias("value_0"), F.slice(between, 2, 1 << 30).alias("between_2"), F.slice(value, 2, 1 << 30).alias("value_2"),
+        )
 
-    cuts = F.when(F.size(steps) > 0, F.sequence(F.lit(1), F.size(steps), F.lit(_BLOCK))).otherwise(F.array().cast("array<int>"))
-    blocks = F.transform(cuts, lambda i: F.slice(steps, i, _BLOCK))
-    totals = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda t, y: t + y))
-    starts = F.concat(F.array(F.lit(0)), run(totals, F.lit(0)))
-    return F.flatten(F.zip_with(blocks, starts, lambda x, start: run(F.coalesce(x, F.array().cast("array<int>")), start)))
+        def one(x: Column) -> Column:
+            before = F.right(F.concat(F.right(x["between_0"], F.lit(CONTEXT)), x["value_0"], x["between"]), F.lit(CONTEXT))
+            edge = F.left(F.concat(x["between_2"], F.coalesce(x["value_2"], F.lit(""))), F.lit(1))
+            return F.struct((x["end"] - F.char_length(x["value"])).alias("start"), x["end"].alias("end"), x["value"].alias("value"), before.alias("before"), edge.alias("edge"))
 
+        return F.transform(F.filter(both, lambda x: x["value"].isNotNull()), one)
 
-def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value, before, edge) of a pattern's matches, in code
-    points, with the text before each, back to its second neighbour at most, and
-    the character behind it."""
-    between, value = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    blank = F.array(F.lit(""))
-    # Whatever stands beside a match is put beside it here: no array is read within the lambda.
-    both = F.arrays_zip(
-        value.alias("value"), between.alias("between"), _sums(F.zip_with(between, value, lambda b, v: F.char_length(b) + F.coalesce(F.char_length(v), F.lit(0)))).alias("end"),
-        F.concat(blank, between).alias("between_0"), F.concat(blank, value).alias("value_0"), F.slice(between, 2, 1 << 30).alias("between_2"), F.slice(value, 2, 1 << 30).alias("value_2"),
-    )
-    found = F.filter(both, lambda x: x["value"].isNotNull())
-    before = lambda x: F.right(F.concat(F.right(x["between_0"], F.lit(CONTEXT)), x["value_0"], x["between"]), F.lit(CONTEXT))
-    edge = lambda x: F.left(F.concat(x["between_2"], F.coalesce(x["value_2"], F.lit(""))), F.lit(1))
-    return F.transform(found, lambda x: F.struct((x["end"] - F.char_length(x["value"])).alias("start"), x["end"].alias("end"), x["value"].alias("value"), before(x).alias("before"), edge(x).alias("edge")))
+    df = df.withColumns({n: spans(n) for n in sought})
+    return df.drop(*(f"{n}_{part}" for n in sought for part in "bvskte"))
 
 
 def _blanked(text: Column, pattern: str, kind: int) -> Column:
@@ -169,22 +184,22 @@ def find_spans(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     source = documents.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     body = F.col("body")
     number = body.rlike("[0-9]")
+    hints = {EMAIL: body.contains("@"), IP: number, CARD: number, PHONE: body.contains("+")}
+    source = with_matches(source, {f"base_{kind}": (body, BASE[kind], hint) for kind, hint in hints.items()})
     # Looser forms are sought outside base spans only.
-    free = body
-    for kind, hint in ((EMAIL, body.contains("@")), (IP, number), (PHONE, body.contains("+")), (CARD, number)):
-        free = F.when(hint, _blanked(free, BASE[kind], kind)).otherwise(free)
-    source = source.withColumn("free", F.when(number | body.contains("@") | body.rlike(_WORDED), free))
-    parts = []
+    source = source.withColumn("free", F.when(number | body.rlike(_WORDED), body))
+    for kind, hint in hints.items():
+        source = source.withColumn("free", F.when(hint, _blanked(F.col("free"), BASE[kind], kind)).otherwise(F.col("free")))
+    hints = {EMAIL: body.rlike(_WORDED), IP: body.contains(":") & number, PHONE: number}
+    source = with_matches(source, {f"loose_{kind}": (F.col("free"), LOOSE[kind], hint) for kind, hint in hints.items()})
 
     def valid(kind: int) -> Column:
-        return F.filter(matches(body, BASE[kind]), lambda s: _valid(kind, s["value"]))
+        return F.filter(f"base_{kind}", lambda s: _valid(kind, s["value"]))
 
-    for kind, hint in ((EMAIL, body.contains("@")), (IP, number), (PHONE, body.contains("+"))):
-        parts.append(F.when(hint, _described(valid(kind), kind, lambda value: F.lit(True))))
+    parts = [_described(valid(kind), kind, lambda value: F.lit(True)) for kind in (EMAIL, IP, PHONE)]
     # Runs of digits that fail the check sum stay as candidates.
-    parts.append(F.when(number, _described(matches(body, BASE[CARD]), CARD, lambda value: _valid(CARD, value))))
-    for kind, hint in ((EMAIL, body.rlike(_WORDED)), (IP, body.contains(":") & number), (PHONE, number)):
-        parts.append(F.when(hint, _described(matches(F.col("free"), LOOSE[kind]), kind, lambda value: F.lit(False))))
+    parts.append(_described(F.col(f"base_{CARD}"), CARD, lambda value: _valid(CARD, value)))
+    parts += [_described(F.col(f"loose_{kind}"), kind, lambda value: F.lit(False)) for kind in hints]
     spans = F.concat(*(F.coalesce(p, F.array()) for p in parts))
     return source.select(F.col("key").alias(key), "text_hash", F.explode(F.concat(F.array(F.lit(None)), spans)).alias("span"))
 

@@ -235,3 +235,22 @@ def test_rows_without_a_key(spark, bpe):
     assert [r.start for r in plane_files.read_ids(spark, folder).orderBy("start").collect()][0] == 0
     assert sorted(r.n_hit for r in decontamination.report(decontamination.find_hits(rows, items)).collect()) == [0, 0, 3]
     assert personal_data.find(rows).count() == 3
+
+
+def test_personal_data_adds_spans_of_looser_forms(spark):
+    """One text per kind; what overlaps a base span is never added."""
+    rows = [
+        (1, "phone (304) 555-1234 or call 212-555-9876 now"), (2, "mail me: john (at) example (dot) com please"), (3, "host 2001:0db8:85a3:0000:0000:8a2e:0370:7334 up"),
+        (4, "x +1 (304) 555-1234 y a@b.com"), (5, "é😀 a@b.co 10.1.2.3"), (6, None), (7, ""),
+    ]
+    found = personal_data.find(table(spark, rows)).select("doc_id", personal_data.written("base").alias("base"), personal_data.written("spans").alias("spans")).collect()
+    found = {r.doc_id: (r.base, r.spans) for r in found}
+    assert found[1] == ("", "phone:6:20,phone:29:41") and found[2] == ("", "email:9:36") and found[3] == ("", "ip:5:44")
+    assert found[4][0] == found[4][1] == "phone:2:19,email:22:29"
+    assert found[5] == ("email:3:9,ip:10:18",) * 2 and found[6] == found[7] == ("", "")
+
+
+def test_personal_data_in_a_text_of_many_spans(spark):
+    text = " ".join(f"a{i}@b.com" for i in range(5000))
+    found = personal_data.find(table(spark, [(1, text)])).select("base").first().base
+    assert [(s.start, s.end) for s in found] == [m.span() for m in re.finditer(r"\S+", text)]

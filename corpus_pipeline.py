@@ -1,7 +1,9 @@
 """A corpus pipeline: each stage is one operator over what its predecessor kept.
 
 Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last
-return the columns of ``documents``. Null texts count as empty throughout.
+return the columns of ``documents``, without any others that the table has. In all
+of them null texts count as empty, a row without a doc_id is a document of its own,
+equal rows are treated alike, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemloom.llm import byte_bpe, decontamination, line_dedup, part_enum, toxicity
-from itemloom.llm.shared import settle
+from itemloom.llm.shared import discard, settle
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -20,7 +22,8 @@ TOXIC = 0.5
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine, fitted on this table's labelled
-    documents, doesn't reject."""
+    documents, doesn't reject. Without labels, or with labels of one class only,
+    all have one score, which rejects none unless all are labelled toxic."""
     machine = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scores = toxicity.score(docs.select(*COLUMNS), machine, more=COLUMNS[1:])
     return scores.where(F.col("score") < TOXIC).select(*COLUMNS)
@@ -42,14 +45,15 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item. Items without text have
+    none, and a document shorter than a window can only hold a short item."""
     hits = decontamination.find_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     dirty = hits.where("first IS NOT NULL").select(F.col("doc_id").alias("dirty_id"), "text_hash").distinct()
     return docs.join(dirty, (F.xxhash64("text") == F.col("text_hash")) & F.col("doc_id").eqNullSafe(F.col("dirty_id")), "left_anti").select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the documents, as count and digests."""
+    """Token ids of the documents, as count and digests; one row for each row."""
     import public_tokenizers
 
     bpe = byte_bpe.ByteBpe.from_file(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -72,5 +76,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        last, docs = docs, settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,10 +6,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from itemloom.llm import byte_bpe, decontamination, neighbour_quality, personal_data, plane_files, toxicity
+from itemloom.llm import byte_bpe, decontamination, neighbour_quality, personal_data, plane_files, toxicity, words
 from itemloom.llm.shared import keep_shared, scratch_path
 from tests.llm.conftest import FOLDER, mixed_texts, table
 
@@ -78,7 +79,10 @@ def brute_hits(text, items):
     return len(words), len(hit), sorted(found)
 
 
-def test_decontamination_extends_hits(spark):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_decontamination_extends_hits(spark, monkeypatch, most):
+    """Also where item fingerprints are joined by shuffle."""
+    monkeypatch.setattr(decontamination, "BROADCAST", most)
     texts = dict(mixed_texts())
     long = texts[30].split()
     items = [(1, " ".join(long[3:16])), (2, " ".join(long[20:30]).upper()), (3, "One TWO"), (4, None), (5, ""), (6, "日本"), (7, " ".join(long[:9])), (8, texts[39]), (9, "same " * 12)]
@@ -254,3 +258,56 @@ def test_personal_data_in_a_text_of_many_spans(spark):
     text = " ".join(f"a{i}@b.com" for i in range(5000))
     found = personal_data.find(table(spark, [(1, text)])).select("base").first().base
     assert [(s.start, s.end) for s in found] == [m.span() for m in re.finditer(r"\S+", text)]
+
+
+def test_scores_are_a_plain_vote_of_all_neighbours():
+    """Cosines with every voter one by one, the nearest weighted by their squares."""
+    r = np.random.default_rng(2)
+    voters = neighbour_quality.Voters(r.normal(size=(20, 5)).astype(np.float32), neighbour_quality._unit(r.normal(size=(70, 5)).astype(np.float32)), r.integers(0, 2, 70).astype(float))
+    terms = r.random((9, 20)).astype(np.float32)
+    for row, score in zip(terms, voters.scores(terms), strict=True):
+        own = row @ voters.space
+        near = sorted(((float(own @ v) / float(np.linalg.norm(own)), y) for v, y in zip(voters.vectors, voters.labels, strict=True)), reverse=True)[: neighbour_quality.NEIGHBOURS]
+        weights = [max(0.0, c) ** 2 for c, _ in near]
+        want = (sum(w * y for w, (_, y) in zip(weights, near, strict=True)) + 0.01 * voters.labels.mean()) / (sum(weights) + 0.01)
+        assert abs(score - want) < 1e-4
+
+
+def test_logits_are_a_plain_sum_over_pairs():
+    r = np.random.default_rng(3)
+    machine = toxicity.Machine(np.arange(12), 0.3, r.normal(size=12), r.normal(size=(12, 4)))
+    texts = [[], [4], [1, 5, 7], [0, 2, 3, 11]]
+    found = machine.logits(np.array([x for t in texts for x in t], np.int64), np.cumsum([len(t) for t in texts]))
+    for t, logit in zip(texts, found, strict=True):
+        pairs = sum(float(machine.vectors[a] @ machine.vectors[b]) for n, a in enumerate(t) for b in t[:n])
+        assert abs(logit - (0.3 + sum(machine.weights[a] for a in t) + pairs)) < 1e-9
+
+
+def test_pairs_of_terms_are_all_counted(spark):
+    r = np.random.default_rng(4)
+    texts = [np.unique(r.integers(0, 9, 4)).astype(np.int32) for _ in range(200)]
+    labels = np.array([float(2 in t and 5 in t) for t in texts])
+    counts = lambda rows: (float(len(rows)), float(sum(labels[i] for i in rows)))
+    strength = lambda rows: toxicity.evidence(*(np.array([x]) for x in counts(rows)), 200.0, labels.sum())[0]
+    alone = np.array([strength([i for i, t in enumerate(texts) if a in t]) for a in range(9)])
+    bound = 12.0
+    want = [max([0.0, *(x for b in range(9) if (x := strength([i for i, t in enumerate(texts) if a in t and b in t]) - max(alone[a], alone[b])) > bound)]) for a in range(9)]
+    pairs = toxicity.Pairs(np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]), labels, alone)
+    assert np.allclose(toxicity.paired(spark, pairs, bound), want) and want[2] > 0 < want[5]
+
+
+def test_words_of_a_block_of_texts():
+    texts = ["", " a\tB\n\nc ", "one", "é日 x\r\n", "\n", "tail\nend"]
+    batch = pa.RecordBatch.from_pydict({"body": texts})
+    for most in (1, 1 << 20):
+        parts = [w for _, w in words.blocks(iter([batch.slice(1), batch.slice(0, 1)]), most=most)]
+        assert sum(len(w.texts) - 1 for w in parts) == len(texts)
+    (_, own), = words.blocks(iter([batch]), lowered=True)
+    split = [t.encode().split() for t in texts]
+    assert np.diff(own.texts).tolist() == [len(x) for x in split]
+    assert [bytes(own.data[i:j]) for i, j in zip(own.start, own.ends(), strict=True)] == [w for t in split for w in t]
+    assert own.lines()[0].tolist() == np.cumsum([0, *(t.count("\n") + 1 for t in texts)]).tolist()
+    names = {}
+    for h, w in zip(own.hashes.tolist(), (w.lower() for t in split for w in t), strict=True):
+        assert names.setdefault(w, h) == h
+    assert len(set(names.values())) == len(names)

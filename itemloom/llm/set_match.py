@@ -31,6 +31,10 @@ def matched(pairs: DataFrame, sets: DataFrame, share: int, of: int) -> DataFrame
     return rows.mapInArrow(run, "a long, b long")
 
 
+#: Nodes of a star of which its consensus is made.
+GIVING = 64
+
+
 class Stars:
     """Pairs of nodes with a common reference that may be similar enough, without
     comparing all of them.
@@ -52,10 +56,13 @@ class Stars:
         left = sets.select(F.col("key").alias("reference"), F.col("items").alias("mine"))
         right = sets.select(F.col("key").alias("node"), F.col("items").alias("theirs"))
         apart = settle(self._apart(stars.join(left, "reference").join(right, "node").select("reference", "node", F.size("theirs").cast("long").alias("n"), "mine", "theirs")), "apart")
+        # Any set will do for a consensus, so some nodes of a star give it: about ``GIVING``.
         members = apart.groupBy("reference").agg(F.count("*").alias("members"))
-        held = apart.select("reference", F.explode("theirs").alias("item")).groupBy("reference", "item").agg(F.count("*").alias("held"))
+        giving = apart.join(members, "reference").where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) * F.col("members") < GIVING << 20)
+        counts = giving.groupBy("reference").agg(F.count("*").alias("giving"))
+        held = giving.select("reference", F.explode("theirs").alias("item")).groupBy("reference", "item").agg(F.count("*").alias("held"))
         # At most twice as many as a node differs in.
-        common = held.join(members, "reference").where(2 * F.col("held") > F.col("members")).groupBy("reference").agg(F.collect_list("item").alias("mine"))
+        common = held.join(counts, "reference").where(2 * F.col("held") > F.col("giving")).groupBy("reference").agg(F.collect_list("item").alias("mine"))
         rows = self._apart(apart.join(common, "reference", "left"))
         self.rows = settle(rows.withColumn("excess", F.size("theirs") * (of + share) - F.col("n") * (of - share)), "apart")
         discard(apart)
@@ -93,8 +100,10 @@ class Stars:
         ranked = items.join(shared, ["reference", "item"]).withColumn("place", F.row_number().over(order) + F.col("size") - F.count("*").over(own))
         # The excess is in units of 1 / (of + share).
         reach = lambda excess: F.col("size") - F.greatest(F.ceil(excess / (2 * (self.of + self.share))), F.lit(1)) + 1
-        few = ranked.where(F.col("place") <= reach(2 * F.col("excess"))).select("reference", "item", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("excess").alias("a_excess"), F.col("component").alias("a_component"))
-        more = ranked.where(F.col("place") <= reach(F.col("excess") + F.col("least"))).select(F.col("reference").alias("r"), F.col("item").alias("i"), F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("excess").alias("b_excess"), F.col("component").alias("b_component"))
+        few = ranked.where(F.col("place") <= reach(2 * F.col("excess"))).select("reference", "item", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("excess").alias("a_excess"), F.col("component").alias("a_component"), (F.col("size") - F.col("place") + 1).alias("a_left"))
+        more = ranked.where(F.col("place") <= reach(F.col("excess") + F.col("least"))).select(F.col("reference").alias("r"), F.col("item").alias("i"), F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("excess").alias("b_excess"), F.col("component").alias("b_component"), (F.col("size") - F.col("place") + 1).alias("b_left"))
         fits = (self.of * F.least("a_n", "b_n") >= self.share * F.greatest("a_n", "b_n")) & (F.col("a_component") != F.col("b_component")) & (F.col("a_excess") + F.col("b_excess") > 0)
+        # Of the first common difference both have as many others left as they share.
+        fits = fits & (F.least("a_left", "b_left") * (2 * (self.of + self.share)) >= F.col("a_excess") + F.col("b_excess"))
         met = few.join(more, (F.col("reference") == F.col("r")) & (F.col("item") == F.col("i")) & (F.struct("a_excess", "a") < F.struct("b_excess", "b")) & fits)
         return met.select("a", "b").distinct()

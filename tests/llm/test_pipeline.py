@@ -2,6 +2,9 @@
 
 import hashlib
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from itemloom.llm import toxicity
 from tests.llm.conftest import FOLDER, table
@@ -57,3 +60,28 @@ def test_benchmark_rows_without_an_id_count(spark, tmp_path):
     spark.createDataFrame([(None, item), (3, "other words of an item that no document holds here at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     rows = table(spark, [(1, f"before {item} after"), (2, "clean words"), (4, None)])
     assert sorted(r.doc_id for r in corpus_pipeline.drop_contaminated(spark, rows, str(tmp_path)).collect()) == [2, 4]
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """Labels of one class only, and items of which one has no text."""
+    place = tmp_path_factory.mktemp("tables")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{place}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, "an item that no text here holds at all, or so")], "item_id long, text string").write.parquet(f"{place}/benchmark.parquet")
+    return str(place)
+
+
+ROWS = [(1, "one two three four five six"), (1, "one two three four five six"), (2, None), (3, ""), (None, "a b c"), (None, None), (4, "x " * 3000 + "\ny")]
+
+
+@pytest.mark.parametrize("at", range(4))
+def test_stages_keep_clean_rows(spark, folder, at):
+    """Nulls, empty and long texts, repeated rows and columns of clashing names; an
+    empty table stays one."""
+    stage = corpus_pipeline.STAGES[at][1]
+    rows = table(spark, ROWS).withColumns({c: F.lit("mine") for c in ("key", "line", "label", "score", "item", "sign", "node", "n", "row", "twin")})
+    found = stage(spark, rows, folder)
+    assert found.columns == corpus_pipeline.COLUMNS
+    order = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
+    assert [(r.doc_id, r.text) for r in sorted(found.collect(), key=order)] == sorted(ROWS, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    assert stage(spark, rows.limit(0), folder).collect() == []

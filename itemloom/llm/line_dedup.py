@@ -51,6 +51,8 @@ RUN = 1 << 14
 NEAR = 64
 #: Words of a sign, at most.
 DEPTH = 4
+#: The most lines that are broadcast.
+BROADCAST = 100_000
 #: Lines of more words have ``MORE`` times 64 further bits (a power of two less one).
 LONG, MORE = 64, 3
 #: A word is frequent if it makes up this share of what a task gets on average.
@@ -368,11 +370,12 @@ def _met(rows: DataFrame, share: int, of: int) -> DataFrame:
     return ordered.mapInArrow(run, _MET)
 
 
-def _sets(source: DataFrame, wanted: DataFrame, unique: bool) -> DataFrame:
-    """(key, line, items) of the ``wanted`` lines (key, line)."""
+def _sets(source: DataFrame, wanted: DataFrame, unique: bool, few: bool = False) -> DataFrame:
+    """(key, line, items) of the ``wanted`` lines (key, line), which are broadcast if
+    they are ``few``."""
     twin = F.shiftright("line", 32)
     lines = wanted.groupBy("key", twin.alias("twin_at")).agg(F.sort_array(F.collect_set("line")).alias("lines"))
-    rows = source.withColumn("twin_at", F.shiftright("twin", 32)).join(lines.hint("shuffle_hash"), ["key", "twin_at"])
+    rows = source.withColumn("twin_at", F.shiftright("twin", 32)).join(lines.hint("broadcast" if few else "shuffle_hash"), ["key", "twin_at"])
     rows = (rows if unique else rows.dropDuplicates(["key", "twin_at"])).select("key", "twin", "body", "lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -491,8 +494,9 @@ def removed_lines(source: DataFrame, share: int = 80, of: int = 100, unique: boo
     if not marks.isEmpty():
         # The rows of these signs once more.
         again = settle(_signed(source, rarity, frequent, share, of).join(marks, "sign", "left_semi").select(*line, "sign", F.shiftright("info", 32).alias("n"), *PARITIES).distinct(), "open")
-        last, sets = sets, settle(_sets(source, again.select(*line).distinct().join(sets.select(*line), line, "left_anti"), unique).unionByName(sets), "items")
-        discard(last)
+        wanted = settle(again.select(*line).distinct().join(sets.select(*line), line, "left_anti"), "wanted")
+        last, sets = sets, settle(_sets(source, wanted, unique, few=wanted.count() <= BROADCAST).unionByName(sets), "items")
+        discard(last, wanted)
         open_ = open_.unionByName(again)
     if not probes.isEmpty():
         late = _settled_by_sets(open_, probes, source, sets, rarity, share, of)
@@ -508,17 +512,17 @@ def deduplicate(documents: DataFrame, key: str = "doc_id", text: str = "text", s
     own, unique = told_apart(documents, key, text)
     gone = removed_lines(own.select("key", "twin", "body").where("key IS NOT NULL"), share, of, unique)
     per_text = gone.groupBy("key", F.shiftright("line", 32).alias("twin_at")).agg(F.collect_list(F.col("line").bitwiseAND(F.lit(PLACE))).alias("gone"))
-    rows = own.withColumn("twin_at", F.shiftright("twin", 32)).join(per_text.hint("shuffle_hash"), ["key", "twin_at"], "left").select("row", "body", "gone")
+    rows = own.withColumn("twin_at", F.shiftright("twin", 32)).join(per_text.hint("shuffle_hash"), ["key", "twin_at"], "left").select("row", "gone")
     names = documents.columns
     changed = names.index(text)
     passed = [i for i, c in enumerate(names) if c not in ("n_lines", "n_removed")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(iter([whole]), "body", 8_000_000):
+            for batch in slices(iter([whole]), "row", 16_000_000):
                 texts, lines, removed = [], [], []
-                for had, body, gone in zip(batch.column("row").field(changed).to_pylist(), batch.column("body").to_pylist(), batch.column("gone").to_pylist(), strict=True):
-                    own_lines = body.encode("utf-8", "surrogatepass").split(b"\n")
+                for had, gone in zip(batch.column("row").field(changed).to_pylist(), batch.column("gone").to_pylist(), strict=True):
+                    own_lines = (had or "").encode("utf-8", "surrogatepass").split(b"\n")
                     lines.append(sum(1 for x in own_lines if x.split(None, 1)))
                     removed.append(len(gone or ()))
                     if gone:

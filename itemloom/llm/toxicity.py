@@ -10,8 +10,8 @@ classes count if a pair isn't. The machine has a weight and a short vector per f
 features' vectors is their interaction, so an insult beside a group's name can
 weigh more than both alone.
 
-Fitted on at most ``SAMPLE`` labelled rows, whose terms are the only thing that
-is broadcast or comes to the driver. Null and empty texts score as a
+Fitted on at most ``SAMPLE`` labelled rows. Their features alone come to the
+driver, beside the counts of terms; pairs are counted in tasks (``together``). Null and empty texts score as a
 text without features. Without labels every score is one fixed low value.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from itemloom.llm.shared import labelled_sample, settle, slices
+from itemloom.llm.shared import discard, labelled_sample, settle, slices
 
 #: The most labelled rows to fit on, and the most features to keep.
 SAMPLE = 20_000
@@ -117,65 +117,99 @@ def fewest(bound: float, total: float, positive: float) -> int:
 
 @dataclass
 class Pairs:
-    """Documents given as numbers of terms, and in how many of them pairs occur."""
+    """Documents given as numbers of terms, and the evidence of each term ``alone``."""
 
     flat: np.ndarray
     offsets: np.ndarray
     labels: np.ndarray
     alone: np.ndarray
 
-    def __post_init__(self):
-        order = np.argsort(self.flat, kind="stable")
-        self.rows = np.repeat(np.arange(len(self.offsets) - 1, dtype=np.int32), np.diff(self.offsets))[order]
-        self.ends = np.searchsorted(self.flat[order], np.arange(len(self.alone) + 1))
-
-    def best(self, terms: np.ndarray, bound: float) -> np.ndarray:
-        """For each of ``terms`` the most evidence that a pair with it adds to what
-        both terms give ``alone``, or 0 if not more than ``bound``. All pairs are
-        counted, one term's at a time."""
-        size, total, positive = len(self.alone), float(len(self.labels)), float(self.labels.sum())
-        least, out = fewest(bound, total, positive), np.zeros(len(terms))
-        texts = [self.flat[i:j] for i, j in zip(self.offsets[:-1], self.offsets[1:], strict=True)]
-        for place, a in enumerate(terms.tolist()):
-            own = self.rows[self.ends[a] : self.ends[a + 1]]
-            both = np.bincount(np.concatenate([self.flat[:0], *(texts[i] for i in own)]), minlength=size)
-            hits = np.bincount(np.concatenate([self.flat[:0], *(texts[i] for i in own[self.labels[own] > 0])]), minlength=size)
-            b = np.flatnonzero(both >= least)
-            more = evidence(both[b].astype(float), hits[b].astype(float), total, positive) - np.maximum(self.alone[a], self.alone[b])
-            out[place] = max(0.0, more[more > bound].max(initial=0.0))
-        return out
-
 
 def paired(spark: SparkSession, pairs: Pairs, bound: float) -> np.ndarray:
-    """``Pairs.best`` of all terms: each task gets the sample's terms and takes a
-    range of them."""
-    shared = spark.sparkContext.broadcast(pairs)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            terms = batch.column("id").to_numpy()
-            best = shared.value.best(terms, bound)
-            yield pa.RecordBatch.from_pydict({"id": terms[best > 0], "best": best[best > 0]})
-
-    out = np.zeros(len(pairs.alone))
-    parts = max(1, min(len(out), 4 * spark.sparkContext.defaultParallelism))
-    found = spark.range(0, len(out), 1, parts).mapInArrow(run, "id long, best double").toArrow()
-    out[found.column("id").to_numpy()] = found.column("best").to_numpy()
+    """``together`` of documents that the caller holds."""
+    texts = [pairs.flat[i:j].tolist() for i, j in zip(pairs.offsets[:-1], pairs.offsets[1:], strict=True)]
+    rows = spark.createDataFrame([(float(label), text) for label, text in zip(pairs.labels, texts, strict=True)], "label double, terms array<int>")
+    return together(rows, np.arange(len(pairs.alone)), pairs.alone, bound, len(texts), float(pairs.labels.sum()))
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    return zlib.compress(np.diff(numbers, prepend=0).astype(np.int32).tobytes(), 1)
+
+
+def _unpack(packed: pa.ChunkedArray) -> np.ndarray:
+    """The numbers of all rows, one after another."""
+    return np.concatenate([np.cumsum(np.frombuffer(zlib.decompress(x.as_py()), np.int32), dtype=np.int64) for x in packed])
+
+
+def together(rows: DataFrame, terms: np.ndarray, alone: np.ndarray, bound: float, total: float, positive: float) -> np.ndarray:
+    """For each of the sorted ``terms`` the most evidence that a pair with it adds
+    to what both terms give ``alone``, or 0 if not more than ``bound``.
+
+    ``rows`` has (label, terms: sorted). All pairs are counted: terms are dealt to
+    parts, and for each two parts a task gets what the documents hold of these. So
+    neither the driver nor a task gets all terms of all documents.
+    """
+    context = rows.sparkSession.sparkContext
+    parts = max(1, min(len(terms), math.ceil(math.sqrt(8 * context.defaultParallelism))))
+    pairs = [(a, b) for a in range(parts) for b in range(a, parts)]
+    shared, least = context.broadcast((terms, alone)), fewest(bound, total, positive)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "terms"):
+            flat, offsets = numbered(shared.value[0], batch.column("terms"))
+            text, part = np.repeat(np.arange(batch.num_rows), np.diff(offsets)), flat % parts
+            own = [part == a for a in range(parts)]
+            held = [_pack(flat[x] // parts) for x in own]
+            count = [_pack(np.bincount(text[x], minlength=batch.num_rows)) for x in own]
+            first, second = np.array(pairs).T
+            labels = _pack((batch.column("label").to_numpy() > 0).astype(np.int32))
+            columns = {"a": pa.array(first, pa.int32()), "b": pa.array(second, pa.int32()), "labels": pa.array([labels] * len(pairs), pa.binary())}
+            yield pa.RecordBatch.from_pydict(columns | {f"{name}_{c}": pa.array([of[x] for x in side], pa.binary()) for c, side in (("a", first), ("b", second)) for name, of in (("held", held), ("count", count))})
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
+        mine, theirs, ends = _unpack(table.column("held_a")), _unpack(table.column("held_b")), np.cumsum(_unpack(table.column("count_b")))
+        positives, texts = _unpack(table.column("labels")) > 0, np.split(theirs, ends[:-1])
+        order = np.argsort(mine, kind="stable")
+        found = np.repeat(np.arange(len(ends)), _unpack(table.column("count_a")))[order]
+        alone_a, alone_b = shared.value[1][a::parts], shared.value[1][b::parts]
+        bounds = np.searchsorted(mine[order], np.arange(len(alone_a) + 1))
+        best_a, best_b = np.zeros(len(alone_a)), np.zeros(len(alone_b))
+        for term in range(len(alone_a)):
+            own = found[bounds[term] : bounds[term + 1]]
+            if len(own) < least:
+                continue
+            both = np.bincount(np.concatenate([texts[i] for i in own]), minlength=len(alone_b))
+            hits = np.bincount(np.concatenate([theirs[:0], *(texts[i] for i in own[positives[own]])]), minlength=len(alone_b))
+            other = np.flatnonzero(both >= least)
+            more = evidence(both[other].astype(float), hits[other].astype(float), total, positive) - np.maximum(alone_a[term], alone_b[other])
+            other, more = other[more > bound], more[more > bound]
+            best_a[term] = more.max(initial=0.0)
+            best_b[other] = np.maximum(best_b[other], more)
+        best = np.concatenate([best_a, best_b])
+        numbers = np.concatenate([np.arange(len(best_a)) * parts + a, np.arange(len(best_b)) * parts + b])
+        return pa.table({"id": numbers[best > 0], "best": best[best > 0]})
+
+    out = np.zeros(len(terms))
+    if len(terms):
+        dealt = rows.mapInArrow(deal, "a int, b int, labels binary, held_a binary, count_a binary, held_b binary, count_b binary").repartition(2 * len(pairs), "a", "b")
+        found = dealt.groupBy("a", "b").applyInArrow(run, "id long, best double").groupBy("id").agg(F.max("best").alias("best")).toArrow()
+        out[found.column("id").to_numpy()] = found.column("best").to_numpy()
     return out
 
 
-def numbered(known: np.ndarray, values: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """The places in the sorted ``known`` of each document's values; others go."""
+def numbered(known: np.ndarray, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in the sorted ``known`` of each list's values, one list after
+    another, and where each begins; values that aren't known go."""
+    values, offsets = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
     at = np.minimum(np.searchsorted(known, values), max(0, len(known) - 1)).astype(np.int32)
     held = known[at] == values if len(known) else np.zeros(len(values), bool)
-    ends = np.concatenate([[0], np.cumsum(held)])[offsets]
-    at = at[held]
-    return [at[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+    return at[held], np.concatenate([[0], np.cumsum(held)])[offsets]
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", usable: Column | None = None, key: str = "doc_id", text: str = "text") -> Machine:
-    """Fit on labelled rows; the terms' counts are made by Spark, and only terms
-    that may be features, of at most ``SAMPLE`` documents, come to the driver."""
+    """Fit on labelled rows; counts of terms and pairs are made by Spark, and only
+    the features of at most ``SAMPLE`` documents come to the driver."""
     sample = labelled_sample(documents, labels, label, F.lit(True) if usable is None else usable, SAMPLE, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,28 +226,26 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", usable: C
     size = max(2, counts.count())
     bound = CHANCE * math.log(size)
     # Evidence of a pair must beat chance among all pairs.
-    found = counts.where(F.col("n") >= fewest(bound, n, positive)).orderBy("term").toPandas()
-    terms, alone = found.term.to_numpy(np.int64), evidence(found.n.to_numpy(float), found.hits.to_numpy(float), n, positive)
-    wide = found.n.to_numpy() >= fewest(2 * bound, n, positive)
-    wanted = rows.sparkSession.sparkContext.broadcast(terms[wide | (alone > bound)])
+    found = counts.where(F.col("n") >= fewest(bound, n, positive)).orderBy("term").toArrow()
+    terms, seen = found.column("term").to_numpy().astype(np.int64), found.column("n").to_numpy()
+    alone = evidence(seen.astype(float), found.column("hits").to_numpy(), n, positive)
+    number = np.flatnonzero(seen >= fewest(2 * bound, n, positive))
+    strength = np.where(alone > bound, alone, 0.0)
+    strength[number] = np.maximum(strength[number], together(rows, terms[number], alone[number], 2 * bound, n, positive))
+    order = np.lexsort((terms, -strength))[:FEATURES]
+    terms = np.sort(terms[order[strength[order] > 0]])
+    wanted = rows.sparkSession.sparkContext.broadcast(terms)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            few = [np.intersect1d(x.values.to_numpy(), wanted.value, assume_unique=True).astype(np.int32) for x in batch.column("terms")]
-            yield pa.RecordBatch.from_pydict({"label": batch.column("label"), "terms": pa.array(few, pa.list_(pa.int32()))})
+            flat, offsets = numbered(wanted.value, batch.column("terms"))
+            yield pa.RecordBatch.from_pydict({"label": batch.column("label"), "terms": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))})
 
     few = rows.mapInArrow(choose, "label double, terms array<int>").toArrow()
     lists = few.column("terms").combine_chunks()
-    labels, values, offsets = few.column("label").to_numpy(), lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-    number = np.flatnonzero(wide)
-    known = numbered(terms[number], values, offsets)
-    pairs = Pairs(np.concatenate([np.empty(0, np.int32), *known]), np.concatenate([[0], np.cumsum([len(x) for x in known])]), labels, alone[number])
-    together = paired(rows.sparkSession, pairs, 2 * bound)
-    strength = np.where(alone > bound, alone, 0.0)
-    strength[number] = np.maximum(strength[number], together)
-    order = np.lexsort((terms, -strength))[:FEATURES]
-    terms = np.sort(terms[order[strength[order] > 0]])
-    return train(terms, numbered(terms, values, offsets), labels)
+    flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+    discard(rows, counts)
+    return train(terms, np.split(flat, ends[:-1]), few.column("label").to_numpy())
 
 
 def score(documents: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text", more: Sequence[str] = ()) -> DataFrame:

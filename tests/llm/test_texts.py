@@ -311,3 +311,20 @@ def test_words_of_a_block_of_texts():
     for h, w in zip(own.hashes.tolist(), (w.lower() for t in split for w in t), strict=True):
         assert names.setdefault(w, h) == h
     assert len(set(names.values())) == len(names)
+
+
+def test_the_driver_gets_features_only(spark, monkeypatch):
+    """Terms that are frequent but tell nothing stay in the tasks."""
+    r = np.random.default_rng(5)
+    rows = [(i, " ".join(["zuk"] * (i % 3 == 0) + [f"w{x}" for x in r.permutation(60)[:40]])) for i in range(300)]
+    kind, values = type(table(spark, rows)), []
+    take = kind.toArrow
+
+    def taken(self):
+        out = take(self)
+        values.append(sum(len(c.combine_chunks().flatten()) for c in out.columns if pa.types.is_list(c.type)))
+        return out
+
+    monkeypatch.setattr(kind, "toArrow", taken)
+    machine = toxicity.fit(table(spark, rows), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    assert toxicity.word_terms("zuk")[0] in machine.terms and max(values) <= len(rows) * len(machine.terms) < 300 * 10

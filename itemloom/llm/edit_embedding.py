@@ -20,7 +20,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,8 @@ LEAST = 256
 #: Ticks after which the shared random bits begin again, and classes of characters.
 PERIOD = 4096
 CLASSES = 256
+#: Up to so many texts are walked one by one.
+ALONE = 16
 #: Bands of sampled ticks, of which candidates share one.
 BANDS, PER_BAND = 16, 6
 #: The likeness of near documents.
@@ -70,6 +72,35 @@ def walk(classes: bytes, tick: int = 0) -> np.ndarray:
     return np.fromiter(accumulate(classes, lambda t, c: t + steps[c][t & mask], initial=tick), np.int64, len(classes) + 1)[1:]
 
 
+@cache
+def _table() -> np.ndarray:
+    return np.array(_steps(), np.int64).ravel()
+
+
+def walks(classes: list[bytes], ticks: list[int]) -> list[np.ndarray]:
+    """``walk`` of many texts, each begun at its tick: a character of every text at
+    once, longer texts first; the last ``ALONE`` texts go on by themselves."""
+    if not classes:
+        return []
+    ends = np.cumsum([len(c) for c in classes])
+    starts = ends - [len(c) for c in classes]
+    flat, left = np.frombuffer(b"".join(classes), np.uint8), np.empty(int(ends[-1]), np.int64)
+    order = np.argsort(starts - ends, kind="stable")
+    lengths = (ends - starts)[order]
+    at, tick, table, mask = starts[order], np.array(ticks, np.int64)[order], _table(), PERIOD - 1
+    upto = int(lengths[ALONE]) if len(order) > ALONE else 0
+    # Texts that are longer than each place.
+    for count in np.searchsorted(-lengths, -np.arange(upto), "left").tolist():
+        at, tick = at[:count], tick[:count]
+        tick = tick + table[flat[at].astype(np.int64) * PERIOD + (tick & mask)]
+        left[at] = tick
+        at = at + 1
+    for text in order[: ALONE if upto else len(order)].tolist():
+        begin = int(starts[text]) + upto
+        left[begin : ends[text]] = walk(classes[text][upto:], int(left[begin - 1]) if upto else ticks[text])
+    return np.split(left, ends[:-1])
+
+
 @cache
 def sampled_ticks(length: int) -> np.ndarray:
     """The ``SAMPLED`` ticks below ``length`` of lowest shared priority, in that order."""
@@ -193,24 +224,35 @@ COMPARED = ("edited_sha256", "edited_fingerprint", "near_edited", "near_next", "
 EDITED = "key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, bands_edited long, bands_next long"
 
 
-def _compared(text: str, own: tuple[np.ndarray, np.ndarray, str], following: str, following_print: str) -> tuple:
-    """Digest and fingerprint of the edited text, and for this and the following text
+#: A text's code points, the ticks at which its walk leaves them, fingerprint and bands.
+Walked = tuple[np.ndarray, np.ndarray, str, set[int]]
+
+
+def _bands(own: str) -> set[int]:
+    return set(band_signs(own, LEAST_LIKE))
+
+
+def _compared(pairs: list[tuple[str, Walked, str, str, set[int]]]) -> list[tuple]:
+    """For each text, given with what follows it, that one's fingerprint and bands:
+    digest and fingerprint of the edited text, and for this and the following text
     the likeness and the number of shared bands, of which candidates have one."""
-    points, left, mine = own
-    other = edited(text, following)
-    kept = len(text) - len(text) // 2
-    rest = _code_points(other)[kept:]
+    others = [edited(text, following) for text, _, following, _, _ in pairs]
+    kept = [len(text) - len(text) // 2 for text, *_ in pairs]
+    rests = [_code_points(other[k:]) for other, k in zip(others, kept, strict=True)]
     # The walk over what is kept is the same.
-    tail = walk(_classes(rest), int(left[kept - 1]) if kept else 0)
-    theirs = fingerprint(np.concatenate([points[:kept], rest]), np.concatenate([left[:kept], tail]))
-    bands = [set(band_signs(x, LEAST_LIKE)) for x in (mine, theirs, following_print)]
-    return hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), theirs, likeness(mine, theirs), likeness(mine, following_print), len(bands[0] & bands[1]), len(bands[0] & bands[2])
+    tails = walks([_classes(rest) for rest in rests], [int(own[1][k - 1]) if k else 0 for (_, own, *_), k in zip(pairs, kept, strict=True)])
+    out = []
+    for (_, (points, left, mine, bands), _, next_print, next_bands), other, k, rest, tail in zip(pairs, others, kept, rests, tails, strict=True):
+        theirs = fingerprint(np.concatenate([points[:k], rest]), np.concatenate([left[:k], tail]))
+        out.append((hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), theirs, likeness(mine, theirs), likeness(mine, next_print), len(bands & _bands(theirs)), len(bands & next_bands)))
+    return out
 
 
-def _walked(text: str) -> tuple[np.ndarray, np.ndarray, str]:
-    points = _code_points(text)
-    left = walk(_classes(points))
-    return points, left, fingerprint(points, left)
+def _walked(texts: list[str]) -> list[Walked]:
+    points = [_code_points(text) for text in texts]
+    lefts = walks([_classes(p) for p in points], [0] * len(texts))
+    prints = [fingerprint(p, left) for p, left in zip(points, lefts, strict=True)]
+    return [(p, left, own, _bands(own)) for p, left, own in zip(points, lefts, prints, strict=True)]
 
 
 def compare_edits(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -234,15 +276,17 @@ def compare_edits(documents: DataFrame, key: str = "doc_id", text: str = "text")
             return {"key": key, "n_chars": len(text), "fingerprint": own[2], "part": part, "head": head, "tail": tail} | dict(zip(COMPARED, compared, strict=True))
 
         for batch in slices(batches, "body", 4_000_000):
+            bodies = batch.column("body").to_pylist()
+            if not bodies:
+                continue
+            texts = [*([] if held is None else [held]), *zip(batch.column("key").to_pylist(), bodies, _walked(bodies), strict=True)]
+            if held is None:
+                head = bodies[0]
             rows = []
-            for k, body in zip(batch.column("key").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                own = _walked(body)
-                if held is None:
-                    head = body
-                else:
-                    rows.append(row(*held, _compared(*held[1:], body, own[2]), None))
-                    head = None
-                held = k, body, own
+            for one, compared in zip(texts, _compared([(text, own, body, *after[2:]) for (_, text, own), (_, body, after) in pairwise(texts)])):
+                rows.append(row(*one, compared, None))
+                head = None
+            held = texts[-1]
             yield pa.RecordBatch.from_pylist(rows, fields)
         if held is not None:
             yield pa.RecordBatch.from_pylist([row(*held, (None,) * len(COMPARED), held[1])], fields)
@@ -256,11 +300,10 @@ def compare_edits(documents: DataFrame, key: str = "doc_id", text: str = "text")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for x in batch.to_pylist():
-                own = _walked(x["tail"])
-                compared = _compared(x["tail"], own, x["body"], x["body_print"])
-                rows.append({"key": x["key"], "n_chars": len(x["tail"]), "fingerprint": own[2]} | dict(zip(COMPARED, compared, strict=True)))
+            ends = batch.to_pylist()
+            walked = _walked([x["tail"] for x in ends])
+            found = _compared([(x["tail"], own, x["body"], x["body_print"], _bands(x["body_print"])) for x, own in zip(ends, walked, strict=True)])
+            rows = [{"key": x["key"], "n_chars": len(x["tail"]), "fingerprint": own[2]} | dict(zip(COMPARED, compared, strict=True)) for x, own, compared in zip(ends, walked, found, strict=True)]
             yield pa.RecordBatch.from_pylist(rows, pa.schema([*fields][:-3]))
 
     return done.where("tail IS NULL").drop("part", "head", "tail").unionByName(tails.select("key", "tail", "body", "body_print").mapInArrow(meet, EDITED)).withColumnRenamed("key", key)

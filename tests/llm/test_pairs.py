@@ -282,3 +282,17 @@ def test_rows_without_a_key(spark):
     assert sorted(r.n_removed for r in window_index.deduplicate(rows).collect()) == [0, 0, 0, 0]
     assert edit_embedding.compare_edits(rows).count() == 4
     assert edit_embedding.near_documents(edit_embedding.fingerprints(rows)).count() == 4
+
+
+def test_texts_are_walked_together(monkeypatch):
+    """As each alone, also when few are left; no text but the longest goes character by character."""
+    r = random.Random(6)
+    classes = [bytes(r.randrange(256) for _ in range(n)) for n in (0, 1, 7, 900, 5000, 3, 0, 250, *range(40, 60))]
+    ticks = [r.randrange(9000) for _ in classes]
+    alone = [edit_embedding.walk(c, t).tolist() for c, t in zip(classes, ticks)]
+    assert [x.tolist() for x in edit_embedding.walks(classes, ticks)] == alone and edit_embedding.walks([], []) == []
+    monkeypatch.setattr(edit_embedding, "ALONE", 2)
+    walk, walked = edit_embedding.walk, []
+    monkeypatch.setattr(edit_embedding, "walk", lambda c, t=0: walked.append(len(c)) or walk(c, t))
+    assert [x.tolist() for x in edit_embedding.walks(classes, ticks)] == alone
+    assert sorted(walked) == [900 - 250, 5000 - 250]

@@ -72,6 +72,7 @@ class _Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         self.cores: dict[str, bytes] = {}
+        self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.shown = dict(enumerate(byte_characters()))
         self.points = {p: self.ids(p).tobytes() for p in ("", ".", ",")}
         self.plain = self.shortcut_holds()
@@ -96,12 +97,17 @@ class _Words:
         core = core.lower()
         if (ids := self.cores.get(core)) is None:
             shown = core if core.isascii() else core.encode().decode("latin-1").translate(self.shown)
-            ids = self.cores[core] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(shown)])
+            ids = self.cores[core] = b"".join([self.four[t.id] for t in self.tokenizer.model.tokenize(shown)])
         return ids + self.points[point]
 
     def learn(self, words: set[bytes]) -> None:
         hard = []
         for word in words:
+            core, point = (word[:-1], word[-1:].decode()) if word[-1] in b".," else (word, "")
+            # Of bytes these are ASCII letters only: PLAIN without being decoded.
+            if self.plain and core.isalpha():
+                self.known[word] = self.letters_ids(core.decode(), point)
+                continue
             match = PLAIN(text := word.decode()) if self.plain else None
             if match is None:
                 hard.append((word, text))
@@ -124,10 +130,11 @@ class _Words:
         split = [t.split() for t in texts]
         known = self.known
         found = [[*map(known.get, words)] for words in split]
-        late = [i for i, ids in enumerate(found) if None in ids]
-        self.learn({w for i in late for w, ids in zip(split[i], found[i], strict=True) if ids is None})
-        for i in late:
-            found[i] = [known[w] for w in split[i]]
+        gaps = [[k for k, ids in enumerate(row) if ids is None] if None in row else [] for row in found]
+        self.learn({words[k] for words, places in zip(split, gaps, strict=True) for k in places})
+        for words, row, places in zip(split, found, gaps, strict=True):
+            for k in places:
+                row[k] = known[words[k]]
         return [b"".join(ids) for ids in found]
 
 

@@ -328,3 +328,13 @@ def test_the_driver_gets_features_only(spark, monkeypatch):
     monkeypatch.setattr(kind, "toArrow", taken)
     machine = toxicity.fit(table(spark, rows), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int"))
     assert toxicity.word_terms("zuk")[0] in machine.terms and max(values) <= len(rows) * len(machine.terms) < 300 * 10
+
+
+def test_ascii_words_are_learned_as_bytes(monkeypatch):
+    import public_tokenizers
+
+    own = plane_files._Words(public_tokenizers.path("word_bpe_49k.json"))
+    plain = plane_files.PLAIN
+    monkeypatch.setattr(plane_files, "PLAIN", lambda t: plain(t) if not re.fullmatch("[A-Za-z]+[.,]?", t) else pytest.fail(t))
+    texts = ["Zebra zebra, ZEBRA. a b. é. Éa, x.. . , .a a.b 1. a1, it's ™x", "", " \n", "zebra Zebra qwxz, qwxz. new é"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode([t.encode() for t in texts])] == [own.ids(t).tolist() for t in texts]

@@ -4,9 +4,10 @@ Sets are dealt to size bands. In a band, similar sets differ in at most ``k``
 shingles, so if the domain of shingles is cut into more than ``k`` parts, some
 parts are equal in both sets. Each set gets a signature for every part (few
 differences: for every pair of parts) with all its shingles therein; similar
-sets then share a signature. Parts without shingles give none: the number of
-parts leaves room for that, and the rare sets with more empty parts than this
-room also sign these.
+sets then share a signature. There are more parts than that, so many are equal;
+the best-filled one of these is enough. Parts are ordered by their number of
+shingles, and a set leaves out as many of its emptiest as it can: parts of no or
+one shingle, which many sets have by chance, seldom give signatures.
 
 Rows of one signature are brought together by sorting ranges of (signature,
 document), so a signature of any number of documents is spread over tasks. Of a
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import combinations
 from math import ceil, exp, sqrt
 
@@ -88,6 +90,11 @@ def bands(largest: int, share: int, of: int) -> list[Band]:
     return out
 
 
+@cache
+def _pairs(n: int) -> np.ndarray:
+    return np.array([*combinations(range(n), 2)]).T
+
+
 def signatures(items: np.ndarray, own: list[Band]) -> np.ndarray:
     """The signatures of a set in each of its bands."""
     out = []
@@ -95,18 +102,22 @@ def signatures(items: np.ndarray, own: list[Band]) -> np.ndarray:
     low, high = (inner & np.uint64(0xFFFFFFFF)).astype(np.float64), (inner >> np.uint64(32)).astype(np.float64)
     for band in own:
         part = ((items >> np.uint64(33)) % np.uint64(band.parts)).astype(np.int64)
+        held = np.bincount(part, minlength=band.parts)
         sums = mixed(np.bincount(part, low, band.parts).astype(np.uint64)) + np.bincount(part, high, band.parts).astype(np.uint64)
-        empty = np.bincount(part, minlength=band.parts) == 0
         seed = np.uint64(band.number << 40)
+        signs = mixed(mixed(sums) + seed + np.arange(band.parts, dtype=np.uint64))
+        # Equal parts have the same place in any order by their shingles. Of the ``room`` or
+        # more that two similar sets have in common, the last (two) in the order have all the
+        # others before them, so neither set leaves them out.
+        order = np.lexsort((signs, held))
         if 0 < band.k <= FEW:
-            first, second = np.array([*combinations(range(band.parts), 2)]).T
+            kept = np.sort(order[band.room - 2 :])
+            first, second = (kept[i] for i in _pairs(len(kept)))
             signs = mixed(mixed(sums[first] + seed + first.astype(np.uint64)) + sums[second] + second.astype(np.uint64))
-            empty = empty[first] & empty[second]
-            lacking = np.bincount(part, minlength=band.parts).tolist().count(0)
+            filled = (held[first] > 0) | (held[second] > 0)
+            out.append(signs[filled] if band.parts - np.count_nonzero(held) < band.room else signs)
         else:
-            signs = mixed(mixed(sums) + seed + np.arange(band.parts, dtype=np.uint64))
-            lacking = int(empty.sum())
-        out.append(signs if lacking >= band.room else signs[~empty])
+            out.append(signs[order[band.room - 1 :]])
     return np.unique(np.concatenate(out))
 
 

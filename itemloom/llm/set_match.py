@@ -89,8 +89,13 @@ class Stars:
         """Pairs (a, b) of nodes with different components that have differences
         in common; ``named`` has (node, component)."""
         placed = self.rows.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        least = placed.groupBy("reference").agg(F.min("excess").alias("least"), F.min("component").alias("low"), F.max("component").alias("top")).where("low < top").select("reference", "least")
-        placed = placed.join(least, "reference").withColumn("size", F.size("theirs").cast("long"))
+        # The least excess a node can meet is that of the other components. In a star of one
+        # component there is none, and a node can't share more than all its differences.
+        best = placed.groupBy("reference", "component").agg(F.min("excess").alias("excess"))
+        first = best.groupBy("reference").agg(F.min(F.struct("excess", "component")).alias("first"))
+        second = best.join(first, "reference").where(F.col("component") != F.col("first.component")).groupBy("reference").agg(F.first("first").alias("first"), F.min("excess").alias("second"))
+        placed = placed.join(second, "reference").withColumn("least", F.when(F.col("component") == F.col("first.component"), F.col("second")).otherwise(F.col("first.excess")))
+        placed = placed.withColumn("size", F.size("theirs").cast("long")).where(F.col("excess") + F.col("least") <= F.col("size") * (2 * (self.of + self.share)))
         # A node with several texts is one row for each.
         items = placed.select("reference", "node", F.xxhash64("theirs").alias("text"), "n", "component", "excess", "least", "size", F.explode("theirs").alias("item"))
         shared = items.groupBy("reference", "item").agg(F.count("*").alias("held"), F.min("component").alias("low"), F.max("component").alias("top")).where("low < top").select("reference", "item", "held")
@@ -100,7 +105,7 @@ class Stars:
         ranked = items.join(shared, ["reference", "item"]).withColumn("place", F.row_number().over(order) + F.col("size") - F.count("*").over(own))
         # The excess is in units of 1 / (of + share).
         reach = lambda excess: F.col("size") - F.greatest(F.ceil(excess / (2 * (self.of + self.share))), F.lit(1)) + 1
-        few = ranked.where(F.col("place") <= reach(2 * F.col("excess"))).select("reference", "item", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("excess").alias("a_excess"), F.col("component").alias("a_component"), (F.col("size") - F.col("place") + 1).alias("a_left"))
+        few = ranked.where(F.col("place") <= reach(F.col("excess") + F.greatest("excess", "least"))).select("reference", "item", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("excess").alias("a_excess"), F.col("component").alias("a_component"), (F.col("size") - F.col("place") + 1).alias("a_left"))
         more = ranked.where(F.col("place") <= reach(F.col("excess") + F.col("least"))).select(F.col("reference").alias("r"), F.col("item").alias("i"), F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("excess").alias("b_excess"), F.col("component").alias("b_component"), (F.col("size") - F.col("place") + 1).alias("b_left"))
         fits = (self.of * F.least("a_n", "b_n") >= self.share * F.greatest("a_n", "b_n")) & (F.col("a_component") != F.col("b_component")) & (F.col("a_excess") + F.col("b_excess") > 0)
         # Of the first common difference both have as many others left as they share.

@@ -86,6 +86,20 @@ def test_part_enum_signatures_never_miss():
             assert one & two, (n, lost, len(other))
 
 
+def test_part_enum_signs_the_best_filled_parts():
+    """One signature more than two similar sets may differ in, where all parts
+    with a shingle gave one before; for few differences, pairs of two parts more."""
+    r = random.Random(4)
+    import numpy as np
+
+    for n in (9, 30, 100, 400):
+        items = np.unique(np.array([r.getrandbits(64) for _ in range(n)], np.uint64))
+        for band in part_enum.bands(1000, 80, 100):
+            if band.low <= n <= band.high:
+                most = math.comb(band.k + 2, 2) if 0 < band.k <= part_enum.FEW else band.k + 1
+                assert 0 < len(part_enum.signatures(items, [band])) <= most
+
+
 def test_line_dedup_of_rows_with_one_key(spark):
     """Equal rows are one document; other texts of the key are documents of their own."""
     line, other = "alpha beta gamma delta eta", "one two three four five"

@@ -4,6 +4,9 @@ Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last
 return the columns of ``documents``, without any others that the table has. In all
 of them null texts count as empty, a row without a doc_id is a document of its own,
 equal rows are treated alike, and an empty table gives an empty one.
+
+A stage sets the session's limit on the bytes of an Arrow batch, since its result
+is computed when it is written: the workers' memory holds for texts of any length.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemloom.llm import byte_bpe, decontamination, line_dedup, part_enum, toxicity
-from itemloom.llm.shared import discard, settle
+from itemloom.llm.shared import BATCH, BATCHED, discard, settle
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,6 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine, fitted on this table's labelled
     documents, doesn't reject. Without labels, or with labels of one class only,
     all have one score, which rejects none unless all are labelled toxic."""
+    spark.conf.set(BATCHED, BATCH)
     machine = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scores = toxicity.score(docs.select(*COLUMNS), machine, more=COLUMNS[1:])
     return scores.where(F.col("score") < TOXIC).select(*COLUMNS)
@@ -32,6 +36,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that match an earlier one (Jaccard similarity of
     words 0.8 or more). A document that loses all it had goes with its lines."""
+    spark.conf.set(BATCHED, BATCH)
     found = line_dedup.deduplicate(docs)
     changed = found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     return changed.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
@@ -56,6 +61,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the documents, as count and digests; one row for each row."""
     import public_tokenizers
 
+    spark.conf.set(BATCHED, BATCH)
     bpe = byte_bpe.ByteBpe.from_file(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return byte_bpe.digests(bpe.encode(docs, decoded=True))
 

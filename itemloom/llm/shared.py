@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 #: Whether Spark deletes a query's shuffle files as soon as the query has ended.
 CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The most bytes that Spark hands a Python worker at once (of 10,000 rows, whole
+#: texts or sets would be some tens of MB, in the JVM and in Python).
+BATCHED, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -52,12 +55,14 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     # What is read again is the table, so the shuffle files behind it may go.
-    cleaned = spark.conf.get(CLEANED, None)
+    held = {name: spark.conf.get(name, None) for name in (CLEANED, BATCHED)}
     spark.conf.set(CLEANED, "true")
+    spark.conf.set(BATCHED, BATCH)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(CLEANED) if cleaned is None else spark.conf.set(CLEANED, cleaned)
+        for name, value in held.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     out = spark.read.schema(df.schema).parquet(path)
     _places[out] = path
     return out

@@ -85,3 +85,19 @@ def test_stages_keep_clean_rows(spark, folder, at):
     order = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
     assert [(r.doc_id, r.text) for r in sorted(found.collect(), key=order)] == sorted(ROWS, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
     assert stage(spark, rows.limit(0), folder).collect() == []
+
+
+def test_a_settled_table_comes_in_small_batches(spark):
+    """Whatever the session allows; its own setting stays."""
+    import pyarrow as pa
+
+    from itemloom.llm.shared import BATCHED, settle
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"held": pa.array([batch.nbytes], pa.int64())})
+
+    rows = spark.range(0, 6000, 1, 1).selectExpr("id", "repeat('abcd', 500) AS body")
+    before = spark.conf.get(BATCHED)
+    sizes = [x.held for x in settle(rows.mapInArrow(run, "held long"), "sizes").collect()]
+    assert len(sizes) > 2 and max(sizes) < 5_000_000 and spark.conf.get(BATCHED) == before

@@ -119,5 +119,5 @@ def connect(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: C
             if not pairs.isEmpty():
                 learn(pairs)
             discard(pairs)
-        discard(stars, compared.rows)
+        discard(stars, compared.rows, compared.items)
     return named

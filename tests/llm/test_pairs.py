@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from itemloom.llm import components, edit_embedding, line_dedup, part_enum, window_index
+from itemloom.llm import components, edit_embedding, line_dedup, part_enum, set_match, window_index
 from tests.llm.conftest import mixed_texts, table
 
 SPACES = re.compile(r"[^\x20\x09-\x0D]+")
@@ -66,6 +66,32 @@ def test_part_enum_in_a_family_of_near_copies(spark, with_base):
     assert 1 < len(set(found.values())) < 69
 
 
+@pytest.mark.parametrize("cells", [1, 1 << 16, 1 << 22])
+def test_only_differences_that_may_meet_get_rows(spark, cells):
+    """A star of sets edited each in its own way, and groups of sets that share edits;
+    one cell tells nothing of the differences, but no link may be lost."""
+    r = random.Random(5)
+    item = lambda: r.randrange(-(1 << 63), 1 << 63)
+    base = [item() for _ in range(100)]
+    sets = {0: base}
+    for group in range(30):
+        edited = base[group + 1 :] + [item() for _ in range(30)]
+        for own in range(1 + 2 * (group % 5 == 0)):
+            sets[len(sets)] = edited[own:] + [item() for _ in range(1 + own)]
+    sets |= {len(sets) + i: [item() for _ in range(70)] + base[:30] for i in range(20)}
+    rows = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "key long, items array<long>")
+    stars = rows.select(F.lit(0).cast("long").alias("reference"), F.col("key").alias("node"), F.size("items").cast("long").alias("n"))
+    compared = set_match.Stars(stars, rows, 80, 100, cells)
+    named = spark.createDataFrame([(k, k) for k in sets], "node long, component long")
+    found = {tuple(sorted(p)) for pairs in (compared.leads(), compared.others(named)) for p in pairs.collect()}
+    plain = {k: set(v) for k, v in sets.items()}
+    linked = [(a, b) for a, b in found if 100 * len(plain[a] & plain[b]) >= 80 * len(plain[a] | plain[b])]
+    joined = {x.node: x.component for x in components.components(spark.createDataFrame(linked, "a long, b long")).collect()}
+    assert len(joined) > 10 and {k: joined.get(k, k) for k in sets} == components_of(plain, 80)
+    differences = compared.rows.agg(F.sum(F.size("theirs"))).first()[0]
+    assert compared.items.count() < (differences if cells == 1 else differences / 4)
+
+
 def test_part_enum_signatures_never_miss():
     """Sets of all sizes that differ as much as allowed share a signature."""
     r = random.Random(5)

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,11 +31,12 @@ from itemloom.llm.shared import shuffle_width, slices
 
 BLOCK = 4096
 CHUNK = 1 << 18
-#: Distinct words whose ids a worker remembers before it starts afresh.
+#: Distinct words whose ids a worker remembers, about.
 REMEMBERED = 400_000
 #: Latin-1 letters and at most one full stop or comma: the tokenizer lowers the
 #: letters, keeps them as one piece and takes the point as another.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
+SHAPE = "([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)"
+PLAIN = re.compile(SHAPE).fullmatch
 
 CHUNKS = "shard int, chunk int, start long, n_ids long, keys array<long>, lengths array<long>, planes array<binary>"
 
@@ -63,7 +65,7 @@ def from_planes(planes: list[bytes], n_ids: int, block: int = BLOCK) -> np.ndarr
 
 class _Words:
     """Ids of a text, word by word: the tokenizer drops white space and none of
-    its steps reaches across it, so words are encoded once and remembered."""
+    its steps reaches across it, so a batch's distinct words are encoded once and remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -71,7 +73,7 @@ class _Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.shown = dict(enumerate(byte_characters()))
         self.points = {p: self.ids(p).tobytes() for p in ("", ".", ",")}
@@ -94,48 +96,66 @@ class _Words:
         return all(self.letters_ids(*PLAIN(w).groups()) == self.ids(w).tobytes() for w in words)
 
     def letters_ids(self, core: str, point: str) -> bytes:
-        core = core.lower()
-        if (ids := self.cores.get(core)) is None:
-            shown = core if core.isascii() else core.encode().decode("latin-1").translate(self.shown)
-            ids = self.cores[core] = b"".join([self.four[t.id] for t in self.tokenizer.model.tokenize(shown)])
-        return ids + self.points[point]
-
-    def learn(self, words: set[bytes]) -> None:
-        hard = []
-        for word in words:
-            core, point = (word[:-1], word[-1:].decode()) if word[-1] in b".," else (word, "")
-            # Of bytes these are ASCII letters only: PLAIN without being decoded.
-            if self.plain and core.isalpha():
-                self.known[word] = self.letters_ids(core.decode(), point)
-                continue
-            match = PLAIN(text := word.decode()) if self.plain else None
-            if match is None:
-                hard.append((word, text))
-            else:
-                self.known[word] = self.letters_ids(*match.groups())
-        together = [(w, t) for w, t in hard if self.mark not in t]
+        return self.cores_ids(pa.array([core.lower()]))[0] + self.points[point]
+
+    def cores_ids(self, cores: pa.Array) -> list[bytes]:
+        """Ids of lowered letters, each as a piece of its own."""
+        shown = "\n".join(cores.to_pylist()).encode().decode("latin-1").translate(self.shown)
+        tokenize, four = self.tokenizer.model.tokenize, self.four
+        return [b"".join([four[t.id] for t in tokenize(core)]) for core in shown.split(self.shown[10])]
+
+    def learn(self, words: pa.Array) -> list[bytes]:
+        """Ids of distinct words."""
+        found = np.full(len(words), None, object)
+        # Letters are told, lowered and parted from their point by Arrow, all at once.
+        plain = pc.match_substring_regex(words, f"^{SHAPE}$") if self.plain else pa.array(np.zeros(len(words), bool))
+        easy = words.filter(plain)
+        if len(easy):
+            pieces = pc.utf8_lower(pc.utf8_rtrim(easy, ".,")).dictionary_encode()
+            ids = np.array([*self.cores_ids(pieces.dictionary), None], object)[:-1][pieces.indices.to_numpy()]
+            points = np.select([pc.ends_with(easy, p).to_numpy(zero_copy_only=False) for p in ".,"], [1, 2], 0)
+            found[plain.to_numpy(zero_copy_only=False)] = ids + np.array([self.points[p] for p in ("", ".", ",")], object)[points]
+        at = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        hard = [*zip(at.tolist(), words.take(pa.array(at)).to_pylist(), strict=True)]
+        together = [(k, t) for k, t in hard if self.mark not in t]
         for i in range(0, len(together), 1000):
             some = together[i : i + 1000]
             ids = self.ids(f" {self.mark} ".join([t for _, t in some]))
-            at = np.flatnonzero(ids == self.mark_id)
-            starts, ends, data = [0, *(4 * (at + 1)).tolist()], [*(4 * at).tolist(), 4 * len(ids)], ids.tobytes()
-            self.known.update((w, data[a:b]) for (w, _), a, b in zip(some, starts, ends, strict=True))
-        for word, text in hard:
+            cut = np.flatnonzero(ids == self.mark_id)
+            starts, ends, data = [0, *(4 * (cut + 1)).tolist()], [*(4 * cut).tolist(), 4 * len(ids)], ids.tobytes()
+            for (k, _), low, high in zip(some, starts, ends, strict=True):
+                found[k] = data[low:high]
+        for k, text in hard:
             if self.mark in text:
-                self.known[word] = self.ids(text).tobytes()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known, self.cores = {}, {}
-        split = [t.split() for t in texts]
-        known = self.known
-        found = [[*map(known.get, words)] for words in split]
-        gaps = [[k for k, ids in enumerate(row) if ids is None] if None in row else [] for row in found]
-        self.learn({words[k] for words, places in zip(split, gaps, strict=True) for k in places})
-        for words, row, places in zip(split, found, gaps, strict=True):
-            for k in places:
-                row[k] = known[words[k]]
-        return [b"".join(ids) for ids in found]
+                found[k] = self.ids(text).tobytes()
+        return found.tolist()
+
+    def encode(self, texts: pa.Array | list[bytes]) -> list[bytes]:
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.binary()).cast(pa.string())
+        if len(self.known) > REMEMBERED // 2:
+            # What is used again comes back from the older half.
+            self.older, self.known = self.known, {}
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        names = words.dictionary.cast(pa.binary()).to_pylist()
+        found = [*map(self.known.get, names)]
+        gaps = [k for k, ids in enumerate(found) if ids is None]
+        old = [self.older.get(names[k]) for k in gaps]
+        new = [k for k, ids in zip(gaps, old, strict=True) if ids is None]
+        for k, ids in zip(gaps, old, strict=True):
+            found[k] = ids
+        for k, ids in zip(new, self.learn(words.dictionary.take(pa.array(new, pa.int64()))), strict=True):
+            found[k] = ids
+        self.known.update((names[k], found[k]) for k in gaps)
+        # The ids of all words of the texts, gathered from those of the distinct ones.
+        held, sizes = np.frombuffer(b"".join(found), "<u4"), np.array([len(ids) // 4 for ids in found], np.int64)
+        own = words.indices.to_numpy()
+        counts = sizes[own]
+        ends = np.cumsum(counts)
+        data = held[np.repeat((np.cumsum(sizes) - sizes)[own] - (ends - counts), counts) + np.arange(counts.sum())].tobytes()
+        cuts = 4 * np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [data[low:high] for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
 _words: dict[str, _Words] = {}
@@ -167,7 +187,7 @@ def write_ids(df: DataFrame, folder: str, tokenizer: str, end_id: int, key: str
             })
 
         for batch in slices(batches, "body", 4_000_000):
-            for k, ids in zip(batch.column("key").to_pylist(), encode(batch.column("body").cast(pa.binary()).to_pylist()), strict=True):
+            for k, ids in zip(batch.column("key").to_pylist(), encode(batch.column("body")), strict=True):
                 keys.append(k)
                 parts.append(ids + end)
                 size += len(parts[-1]) // 4

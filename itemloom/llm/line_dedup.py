@@ -3,13 +3,18 @@
 A line is the set of its words (A-Z lowered, split at ASCII white space). Words
 are ordered by rarity, from counts over all documents in a table of fixed size;
 any order is right, a good one keeps candidates few. Lines that are similar
-enough share one of their first words, so each line is signed by these. Rows of
+enough share one of their first words, so each line is signed by these; a word that
+all documents have once signs nothing. Rows of
 a sign come together, and its lines are compared: lengths, the words'
-places and 64 parity bits of the sets leave few pairs. Of each line's, the
-``FEW`` earliest are verified on the sets, the rest only where none matches. A line goes if it matches one that
+places and 64 parity bits of the sets leave few pairs. A pair that also shares the
+word before the sign is met under that one, so not once more. Of each line's pairs, the
+earliest is verified on the sets, the rest only where it doesn't match. A line goes if it matches one that
 begins earlier (smaller key, or same key and smaller line number), whatever
 becomes of that one; so one match is enough.
 
+Spark moves the rows of signs packed: parts of the signs are a few for each task, and
+a part's rows of a block of documents are one row of Spark, with the bytes of each column.
+
 What this leaves open is settled by the sets: lines with more than ``MANY``
 candidates that weren't removed, lines of signs with more than ``RUN`` lines, and
 those of words so frequent that their rows are dealt to many tasks. Such lines, the probes, meet all earlier
@@ -41,7 +46,7 @@ from itemloom.llm.words import Words, blocks, mixed
 
 #: Cells of the table of word counts.
 CELLS, BLOCK = 1 << 22, 1 << 14
-#: Candidates of a row that are verified at once.
+#: The earliest candidates of a row, which are noted in any case.
 FEW = 4
 #: Candidates of a row up to which all are noted at once.
 MANY = 64
@@ -61,9 +66,14 @@ FREQUENT = 0.25
 LEAST = 1 << 12
 #: Rows that are compared at once; a longer run is handled in pieces.
 CHUNK = 1 << 18
+#: Parts of the signs for each task, at least.
+PARTS = 8
+#: The rank of a word that all documents have once.
+ONCE = 8
 PLACE = (1 << 32) - 1
 PARITIES = [f"parity{i}" for i in range(1 + MORE)]
-COLUMNS = ["sign", "info", "class", "key", "line", *PARITIES, "spread"]
+#: The columns of a sign's row and their types; ``more`` has the further parities of long lines only.
+PACKED = {"sign": np.int64, "before": np.uint64, "class": np.int64, "key": np.int64, "line": np.int64, "n": np.int32, "place": np.int32, "hot": np.bool_, "parity0": np.uint64, "more": np.uint64}
 
 
 def least_common(n, share: int, of: int):
@@ -126,21 +136,22 @@ class _Lines:
                     out[i, long] = np.bitwise_xor.reduceat(np.where(part == i, bits, 0), starts)
         return out
 
-    def signs(self, classes: np.ndarray, share: int, of: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(line, place, sign): the rarest words, of which similar lines share one.
-        Lines that only equal ones match have one sign for their set."""
+    def signs(self, classes: np.ndarray, share: int, of: int) -> tuple[np.ndarray, ...]:
+        """(line, place, sign, word, before): the rarest words, of which similar lines
+        share one, and the words before these, or 0. Lines that only equal ones match
+        have one sign for their set."""
         n = self.sizes
         alone = only_equal(n, share, of)
         length = np.where(alone, np.minimum(n, 1), n - least_common(n, share, of) + 1)
         place = np.arange(len(self.hashes)) - self.starts[self.line]
         some = np.flatnonzero(place < length[self.line])
-        line = self.line[some]
-        return line, place[some], np.where(alone[line], mixed(~classes[line]), self.hashes[some])
+        line, place, word = self.line[some], place[some], self.hashes[some]
+        return line, place, np.where(alone[line], mixed(~classes[line]), word), word, np.where(place > 0, self.hashes[some - 1], np.uint64(0))
 
 
 def _rarity(source: DataFrame) -> tuple[np.ndarray, int]:
     """Per cell the logarithm of its words' count in all documents, as a small
-    number, and the least number of frequent words; the cells' counts are summed by
+    number, and the number of words; the cells' counts are summed by
     Spark, in blocks of ``BLOCK``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,16 +182,42 @@ def _rarity(source: DataFrame) -> tuple[np.ndarray, int]:
         out[row.block] = np.frombuffer(bytes(row.ranks), np.uint8)
         words += row.words
     discard(summed)
-    return out.reshape(-1), int(8 * np.log2(FREQUENT * words / shuffle_width(source.sparkSession) + LEAST))
-
-
-def _signed(source: DataFrame, rarity: np.ndarray, frequent: int, share: int, of: int) -> DataFrame:
-    """(sign, info: size and place, class, key, line, parities, spread) of the lines.
-    Rows with a ``spread`` other than 0, those of frequent words, are dealt by it. Of equal
-    lines of a block only the first has all signs, the others the one at place 0."""
+    return out.reshape(-1), words
+
+
+def _packed(held: list[dict[str, np.ndarray]], parts: int) -> pa.RecordBatch:
+    """A row for each part, with its rows' columns as bytes."""
+    columns = {c: np.concatenate([x[c] for x in held]) for c in held[0]}
+    part = (mixed(columns.pop("dealt")) % np.uint64(parts)).astype(np.int32)
+    at = np.argsort(part)
+    names, edges = np.unique(part[at], return_index=True)
+    edges = np.append(edges, len(at))
+    parity, long = columns.pop("parity")[at], columns["n"][at] > LONG
+    columns = {c: x[at].astype(PACKED[c], copy=False) for c, x in columns.items()} | {"parity0": parity[:, 0].copy(), "more": parity[long, 1:].reshape(-1)}
+    ends = {c: edges * x.itemsize for c, x in columns.items()} | {"more": np.append(0, np.cumsum(long))[edges] * MORE * 8}
+    packed = [pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(ends[c].astype(np.int32)), pa.py_buffer(columns[c])]) for c in PACKED]
+    return pa.RecordBatch.from_arrays([pa.array(names), *packed], ["part", *PACKED])
+
+
+def _unpacked(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """The rows of some parts, each with its part."""
+    columns = {c: np.frombuffer(b"".join(batch.column(c).to_pylist()), kind) for c, kind in PACKED.items()}
+    more, long = columns.pop("more").reshape(-1, MORE), np.flatnonzero(columns["n"] > LONG)
+    for i, c in enumerate(PARITIES[1:]):
+        columns[c] = np.zeros(len(columns["n"]), np.uint64)
+        columns[c][long] = more[:, i]
+    sizes = [len(x) // np.dtype(PACKED["sign"]).itemsize for x in batch.column("sign").to_pylist()]
+    return columns | {"part": np.repeat(batch.column("part").to_numpy(), sizes)}
+
+
+def _signed(source: DataFrame, rarity: np.ndarray, frequent: int, parts: int, share: int, of: int) -> DataFrame:
+    """Rows of the lines' signs, packed by ``parts``. Rows that are ``hot``, those of
+    frequent words, are dealt by their lines. Of equal lines of a block only the first
+    has all signs, the others the one at place 0."""
     shared = source.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
         for batch, words in blocks(batches, lowered=True):
             own = _Lines(words, shared.value)
             classes, parity = own.classes(), own.parities()
@@ -189,17 +226,22 @@ def _signed(source: DataFrame, rarity: np.ndarray, frequent: int, share: int, of
             order = np.lexsort((number, key, classes))
             later = np.zeros(own.n, bool)
             later[order[1:]] = classes[order[1:]] == classes[order[:-1]]
-            line, place, sign = own.signs(classes, share, of)
-            used = ~later[line] | (place == 0)
-            line, place, sign = line[used], place[used], sign[used]
-            hot = (shared.value[_cells(sign)] >= frequent) & ~only_equal(own.sizes[line], share, of)
-            hot |= only_equal(own.sizes[line], share, of) & (shared.value[_cells(own.hashes[own.starts[line]])] >= frequent)
-            spread = np.where(hot, mixed(classes[line] + key[line].astype(np.uint64)) | np.uint64(1), np.uint64(0)).view(np.int64)
-            yield pa.RecordBatch.from_pydict({
-                "sign": sign.view(np.int64), "info": (own.sizes[line] << 32) | place, "class": classes[line].view(np.int64), "key": key[line], "line": number[line],
-            } | {c: parity[i, line].view(np.int64) for i, c in enumerate(PARITIES)} | {"spread": spread})
+            line, place, sign, word, before = own.signs(classes, share, of)
+            rank = shared.value[_cells(word)]
+            # A word of one place has no other line.
+            used = (~later[line] | (place == 0)) & (rank > ONCE)
+            line, place, sign, before, hot = line[used], place[used], sign[used], before[used], rank[used] >= frequent
+            held.append({
+                "sign": sign.view(np.int64), "before": before, "class": classes[line].view(np.int64), "key": key[line], "line": number[line], "n": own.sizes[line], "place": place, "hot": hot,
+                "parity": parity.T[line], "dealt": np.where(hot, classes[line] + key[line].astype(np.uint64), sign),
+            })
+            if sum(len(x["sign"]) for x in held) >= CHUNK // 2:
+                yield _packed(held, parts)
+                held = []
+        if held:
+            yield _packed(held, parts)
 
-    return source.mapInArrow(run, ", ".join(f"{c} long" for c in COLUMNS))
+    return source.mapInArrow(run, ", ".join(["part int", *(f"{c} binary" for c in PACKED)]))
 
 
 class _Earliest:
@@ -220,10 +262,12 @@ class _Earliest:
             candidate = np.maximum(known, candidate)
 
 
-def _alike(i: np.ndarray, j: np.ndarray, n: np.ndarray, place: np.ndarray, parity: np.ndarray, share: int, of: int) -> np.ndarray:
-    """Whether rows of one sign may match: by length, place and parity."""
+def _alike(i: np.ndarray, j: np.ndarray, n: np.ndarray, place: np.ndarray, before: np.ndarray, parity: np.ndarray, share: int, of: int) -> np.ndarray:
+    """Whether rows of one sign may match: by length, place and parity. Lines that
+    share the word before, too, meet there: what the places tell is the same."""
     both = n[i] + n[j]
     good = of * np.minimum(n[i], n[j]) >= share * np.maximum(n[i], n[j])
+    good &= (before[i] != before[j]) | (before[i] == 0)
     most = np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j])
     good &= most * (of + share) >= share * both
     at = np.flatnonzero(good)
@@ -240,13 +284,32 @@ def _alike(i: np.ndarray, j: np.ndarray, n: np.ndarray, place: np.ndarray, parit
     return good
 
 
-def _compared(columns: list[np.ndarray], cut: np.ndarray, share: int, of: int) -> tuple[np.ndarray, ...]:
-    """Of rows sorted by sign, size, place, class, key and line: copies of a line
-    that stands before them; pairs of an earlier and a later row; more such pairs;
-    rows that may have still more; the rows of open signs, and whether they may match
-    others. Rows are given by number; signs that are ``cut`` have rows elsewhere, too."""
-    sign, info, name, key, line = columns[:5]
-    n, place, parity = info >> 32, info & PLACE, np.stack(columns[5:-1]).view(np.uint64)
+def _in_order(sign: np.ndarray, n: np.ndarray, name: np.ndarray, key: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The rows by sign, size, class, key and line."""
+    run = np.unique(sign, return_inverse=True)[1]
+    if len(n) and n.max() < 1 << 12 and len(run) < 1 << 20:
+        slim = (run.astype(np.uint64) << np.uint64(44)) | (n.astype(np.uint64) << np.uint64(32)) | (name.view(np.uint64) >> np.uint64(32))
+        at = np.argsort(slim)
+        slim = slim[at]
+        same = slim[1:] == slim[:-1]
+        if not (same & (name[at[1:]] != name[at[:-1]])).any():
+            equal = np.zeros(len(at), bool)
+            equal[1:] |= same
+            equal[:-1] |= same
+            some = at[equal]
+            at[equal] = some[np.lexsort((line[some], key[some], slim[equal]))]
+            return at
+    return np.lexsort((line, key, name, n, sign))
+
+
+def _compared(columns: dict[str, np.ndarray], cut: np.ndarray, share: int, of: int) -> tuple[np.ndarray, ...]:
+    """Of rows sorted by sign, size, class, key and line: copies of a line
+    that stands before them; pairs of an earlier and a later row, the earliest of each later one;
+    more such pairs; rows that may have still more; the rows of their signs; the rows of open
+    signs, and whether they may match others. Rows are given by number; signs that are
+    ``cut`` have rows elsewhere, too."""
+    sign, name, key, line = (columns[c] for c in ("sign", "class", "key", "line"))
+    n, place, before, parity = columns["n"].astype(np.int64), columns["place"].astype(np.int64), columns["before"], np.stack([columns[c] for c in PARITIES])
     again = np.zeros(len(sign), bool)
     again[1:] = (sign[1:] == sign[:-1]) & (name[1:] == name[:-1])
     whole = np.maximum.accumulate(np.where(again, 0, np.arange(len(sign))))
@@ -257,7 +320,7 @@ def _compared(columns: list[np.ndarray], cut: np.ndarray, share: int, of: int) -
     run = np.cumsum(begins)[rows] - 1
     length = np.bincount(run, minlength=int(begins.sum()))
     rows, run = rows[(length[run] > 1) | cut[rows]], run[(length[run] > 1) | cut[rows]]
-    n, place, parity, open_ = n[rows], place[rows], parity[:, rows], cut[rows]
+    n, place, before, parity, open_ = n[rows], place[rows], before[rows], parity[:, rows], cut[rows]
     by_age = np.lexsort((line[rows], key[rows]))
     age = np.empty(len(rows), np.int64)
     age[by_age] = np.arange(len(rows))
@@ -269,33 +332,34 @@ def _compared(columns: list[np.ndarray], cut: np.ndarray, share: int, of: int) -
         starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
         lead = by_age[np.repeat(np.minimum.reduceat(age, starts), np.diff(np.append(starts, len(run))))]
         some = np.flatnonzero(crowded & (lead != np.arange(len(rows))))
-        some = some[_alike(some, lead[some], n, place, parity, share, of)]
+        some = some[_alike(some, lead[some], n, place, before, parity, share, of)]
         found.offer(some, age[lead[some]])
-    met = _Met(n, place, parity, run, ~crowded, share, of)
+    met = _Met(n, place, before, parity, run, ~crowded, share, of)
     for i, j in met.pairs(np.ones(len(rows), bool)):
         late = age[i] > age[j]
         found.offer(i[late], age[j[late]])
         found.offer(j[~late], age[i[~late]])
     open_ = (crowded | open_) & ~only_equal(n, share, of)
     which, later = np.nonzero(found.best < np.iinfo(np.int64).max)
-    first = [(by_age[found.best[which, later]], later)]
+    earlier = by_age[found.best[which, later]]
+    first, rest = [(earlier[which == 0], later[which == 0])], [(earlier[which > 0], later[which > 0])]
     # All candidates of rows with some more.
     some = (found.count > FEW) & (found.count <= MANY) & ~open_
-    rest = []
     for i, j in met.pairs(np.isin(run, run[some])) if some.any() else ():
         late = age[i] > age[j]
         i, j = np.where(late, i, j), np.where(late, j, i)
         rest.append((j[some[i]], i[some[i]]))
-    first, rest = (tuple(rows[np.concatenate([np.empty(0, np.int64), *x])] for x in zip(*pairs, strict=True)) if pairs else (rows[:0], rows[:0]) for pairs in (first, rest))
+    first, rest = (tuple(rows[np.concatenate(x)] for x in zip(*pairs, strict=True)) for pairs in (first, rest))
+    marked = (found.count > MANY) & ~open_
     kept = np.flatnonzero(crowded | cut[rows])
-    return copies, first, rest, rows[(found.count > MANY) & ~open_], rows[kept], open_[kept]
+    return copies, first, rest, rows[marked], rows[np.isin(run, run[marked])], rows[kept], open_[kept]
 
 
 class _Met:
     """Pairs of rows in runs that may match."""
 
-    def __init__(self, n: np.ndarray, place: np.ndarray, parity: np.ndarray, run: np.ndarray, whole: np.ndarray, share: int, of: int):
-        self.n, self.place, self.parity, self.run, self.whole, self.share, self.of = n, place, parity, run, whole, share, of
+    def __init__(self, n: np.ndarray, place: np.ndarray, before: np.ndarray, parity: np.ndarray, run: np.ndarray, whole: np.ndarray, share: int, of: int):
+        self.n, self.place, self.before, self.parity, self.run, self.whole, self.share, self.of = n, place, before, parity, run, whole, share, of
 
     def pairs(self, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(i, j) with i beyond j, each i and each j once in an array, of the
@@ -305,7 +369,7 @@ class _Met:
         while len(active):
             # Sizes only fall from here: a row whose neighbour is too small has met all it can.
             active = active[of * n[active - offset] >= share * n[active]]
-            i = active[_alike(active, active - offset, n, self.place, self.parity, share, of)]
+            i = active[_alike(active, active - offset, n, self.place, self.before, self.parity, share, of)]
             if len(i):
                 yield i, i - offset
             offset += 1
@@ -314,57 +378,65 @@ class _Met:
 
 
 _MET = ", ".join(["kind int", *(f"{c} long" for c in ("key", "line", "a_key", "a_line", "sign", "class", "n", *PARITIES))])
-#: Kinds of rows: copies of earlier lines; lines with an earlier one that may match,
-#: and with a further one; lines with still more in this sign; rows of open signs,
-#: and those of them that may match others.
-COPY, PAIR, FURTHER, MARK, TARGET, PROBE = range(6)
+#: Kinds of rows: copies of earlier lines; lines with the earliest one that may match,
+#: and with a further one; lines with still more in this sign, and the rows of such
+#: signs; rows of open signs, and those of them that may match others.
+COPY, PAIR, FURTHER, MARK, STAND, TARGET, PROBE = range(7)
 
 
 def _met(rows: DataFrame, share: int, of: int) -> DataFrame:
     """What comes of comparing the lines of each sign, by kind."""
-    ordered = rows.repartition(shuffle_width(rows.sparkSession), "sign", "spread").sortWithinPartitions("sign", "info", "class", "key", "line")
-
-    def told(columns: list[np.ndarray], cut: np.ndarray) -> pa.RecordBatch:
-        copies, (earlier, later), (earlier_too, later_too), marks, kept, probes = _compared(columns, cut, share, of)
-        parts = [(COPY, copies), (PAIR, later), (FURTHER, later_too), (MARK, marks), (TARGET, kept)]
+    ordered = rows.repartition(shuffle_width(rows.sparkSession), "part").sortWithinPartitions("part")
+
+    def told(columns: dict[str, np.ndarray], cut: np.ndarray) -> pa.RecordBatch:
+        # Most of the rows that have a sign alone go before the sorting.
+        _, run, count = np.unique(columns["sign"], return_inverse=True, return_counts=True)
+        some = np.flatnonzero((count[run] > 1) | cut)
+        some = some[_in_order(*(columns[c][some] for c in ("sign", "n", "class", "key", "line")))]
+        columns, cut = {c: x[some] for c, x in columns.items()}, cut[some]
+        copies, (earlier, later), (earlier_too, later_too), marks, stand, kept, probes = _compared(columns, cut, share, of)
+        parts = [(COPY, copies), (PAIR, later), (FURTHER, later_too), (MARK, marks), (STAND, stand), (TARGET, kept)]
         own = np.concatenate([x for _, x in parts])
         kind = np.repeat(np.array([k for k, _ in parts], np.int32), [len(x) for _, x in parts])
         kind[len(own) - len(kept) :] += probes
         other = own.copy()
         other[len(copies) : len(copies) + len(earlier) + len(earlier_too)] = np.concatenate([earlier, earlier_too])
-        paired, signed, open_ = (kind == PAIR) | (kind == FURTHER), kind >= MARK, kind >= TARGET
-        sign, info, name, key, line = columns[:5]
+        paired, signed, open_ = (kind == PAIR) | (kind == FURTHER), kind >= MARK, kind >= STAND
+        sign, name, key, line = (columns[c] for c in ("sign", "class", "key", "line"))
         return pa.RecordBatch.from_pydict({
             "kind": kind, "key": key[own], "line": line[own], "a_key": pa.array(key[other], mask=~paired), "a_line": pa.array(line[other], mask=~paired),
-            "sign": pa.array(sign[own], mask=~signed), "class": pa.array(name[own], mask=~open_), "n": pa.array(info[own] >> 32, mask=~open_),
-        } | {c: pa.array(x[own], mask=~open_) for c, x in zip(PARITIES, columns[5:-1], strict=True)})
+            "sign": pa.array(sign[own], mask=~signed), "class": pa.array(name[own], mask=~open_), "n": pa.array(columns["n"][own].astype(np.int64), mask=~open_),
+        } | {c: pa.array(columns[c][own].view(np.int64), mask=~open_) for c in PARITIES})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[dict[str, np.ndarray]] = []
         # Signs whose runs are handled in several pieces.
-        split: list[int] = []
+        split = np.empty(0, np.int64)
 
         def pieces(last: bool) -> Iterator[pa.RecordBatch]:
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            sign = columns[0]
-            upto = len(sign) if last else int(np.flatnonzero(sign == sign[-1])[0])
-            if not upto and len(sign) >= CHUNK:
-                split.append(int(sign[0]))
-                upto = len(sign)
+            nonlocal split
+            columns = {c: np.concatenate([x[c] for x in held]) for c in held[0]}
+            part, sign = columns.pop("part"), columns["sign"]
+            done = (part != part[-1]) | last
+            if not done.any():
+                # A part that is too long, so the longest runs of it go ahead.
+                names, which, count = np.unique(sign, return_inverse=True, return_counts=True)
+                longest = np.argsort(-count, kind="stable")
+                longest = longest[: 1 + int(np.searchsorted(np.cumsum(count[longest]), len(sign) // 2))]
+                split, done = np.union1d(split, names[longest]), np.isin(which, longest)
             held.clear()
-            if upto:
-                # Rows of frequent words and of runs in pieces have others elsewhere.
-                cut = np.isin(sign[:upto], split) | (columns[-1][:upto] != 0)
-                yield told([c[:upto] for c in columns], cut)
-            if upto < len(sign):
-                held.append([c[upto:] for c in columns])
+            if not done.all():
+                held.append({c: x[~done] for c, x in columns.items()} | {"part": part[~done]})
+            # Rows of frequent words and of runs in pieces have others elsewhere.
+            cut = columns["hot"] | np.isin(sign, split)
+            yield told({c: x[done] for c, x in columns.items()}, cut[done])
 
         for batch in batches:
             if batch.num_rows:
-                held.append([batch.column(c).to_numpy() for c in COLUMNS])
-                if sum(len(x[0]) for x in held) >= CHUNK:
+                held.append(_unpacked(batch))
+                if sum(len(x["sign"]) for x in held) >= CHUNK:
                     yield from pieces(False)
-        if held:
+        if held and sum(len(x["sign"]) for x in held):
             yield from pieces(True)
 
     return ordered.mapInArrow(run, _MET)
@@ -470,40 +542,43 @@ def removed_lines(source: DataFrame, share: int = 80, of: int = 100, unique: boo
     """(key, line): the lines of ``source`` (key, twin, body) that match an earlier
     one; ``line`` counts from the document's ``twin``. ``unique`` says that no key is
     repeated."""
-    line = ["key", "line"]
-    rarity, frequent = _rarity(source)
-    met = settle(_met(_signed(source, rarity, frequent, share, of), share, of), "pairs")
+    line, width = ["key", "line"], shuffle_width(source.sparkSession)
+    rarity, words = _rarity(source)
+    frequent = int(8 * np.log2(FREQUENT * words / width + LEAST))
+    # A line has no more signs than words, so a part has far fewer rows than are compared at once.
+    parts = max(PARTS * width, 2 * words // CHUNK)
+    met = settle(_met(_signed(source, rarity, frequent, parts, share, of), share, of), "pairs")
     copies, open_ = met.where(F.col("kind") == COPY).select(*line), met.where(F.col("kind") >= TARGET)
     # Equal lines of frequent words.
     first = open_.groupBy("class").agg(F.min(F.struct(*line)).alias("first"), F.max(F.struct(*line)).alias("last")).where("first < last").select("class", "first")
     copies = copies.unionByName(open_.join(first, "class").where(F.struct(*line) > F.col("first")).select(*line))
-    pairs = [met.where(F.col("kind") == kind).select(*line, "a_key", "a_line") for kind in (PAIR, FURTHER)]
-    ends = [pairs[0].select(*line), *(p.select(F.col("a_key").alias("key"), F.col("a_line").alias("line")) for p in pairs), open_.select(*line)]
-    sets = settle(_sets(source, ends[0].unionByName(ends[1]).unionByName(ends[2]).unionByName(ends[3]).distinct(), unique), "items")
+    pairs = met.where(F.col("kind").isin(PAIR, FURTHER)).select("kind", *line, "a_key", "a_line")
+    ends = [pairs.select(*line), pairs.select(F.col("a_key").alias("key"), F.col("a_line").alias("line")), open_.select(*line)]
+    sets = [settle(_sets(source, reduce(DataFrame.unionByName, ends).distinct(), unique), "items")]
     # Most lines match the earliest candidate; only of the others all are compared.
-    best = pairs[0].groupBy(*line).agg(F.min(F.struct("a_key", "a_line")).alias("a")).select(*line, "a.a_key", "a.a_line")
-    gone = settle(copies.unionByName(_matching(best, sets, share, of)).distinct(), "removed")
-    for some in pairs:
-        late = settle(_matching(some.join(gone, line, "left_anti"), sets, share, of), "removed")
-        last, gone = gone, settle(gone.unionByName(late), "removed")
-        discard(last, late)
-
-    probes = settle(met.where(F.col("kind").isin(MARK, PROBE)).select(*line, "sign").join(gone, line, "left_anti"), "probes")
-    marks = settle(met.where(F.col("kind") == MARK).select(*line, "sign").join(gone, line, "left_anti").select("sign").distinct(), "marks")
-    open_ = open_.select(*line, "sign", "n", *PARITIES)
+    best = pairs.where(F.col("kind") == PAIR).groupBy(*line).agg(F.min(F.struct("a_key", "a_line")).alias("a")).select(*line, "a.a_key", "a.a_line")
+    # Tables without a common row.
+    gone = [settle(copies.unionByName(_matching(best, sets[0], share, of)).distinct(), "removed")]
+    gone.append(settle(_matching(pairs.join(gone[0], line, "left_anti"), sets[0], share, of), "removed"))
+
+    def left(kinds: Column) -> DataFrame:
+        return met.where(kinds).select(*line, "sign").join(reduce(DataFrame.unionByName, gone), line, "left_anti")
+
+    probes = settle(left(F.col("kind").isin(MARK, PROBE)), "probes")
+    marks = settle(left(F.col("kind") == MARK).select("sign").distinct(), "marks")
+    slim = [*line, "sign", "n", *PARITIES]
+    open_ = open_.select(*slim)
     if not marks.isEmpty():
-        # The rows of these signs once more.
-        again = settle(_signed(source, rarity, frequent, share, of).join(marks, "sign", "left_semi").select(*line, "sign", F.shiftright("info", 32).alias("n"), *PARITIES).distinct(), "open")
-        wanted = settle(again.select(*line).distinct().join(sets.select(*line), line, "left_anti"), "wanted")
-        last, sets = sets, settle(_sets(source, wanted, unique, few=wanted.count() <= BROADCAST).unionByName(sets), "items")
-        discard(last, wanted)
+        # The rows of these signs, too.
+        again = settle(met.where(F.col("kind") == STAND).select(*slim).join(marks, "sign", "left_semi").select(*slim), "open")
+        wanted = settle(again.select(*line).distinct().join(sets[0].select(*line), line, "left_anti"), "wanted")
+        sets.append(settle(_sets(source, wanted, unique, few=wanted.count() <= BROADCAST), "items"))
+        discard(wanted)
         open_ = open_.unionByName(again)
     if not probes.isEmpty():
-        late = _settled_by_sets(open_, probes, source, sets, rarity, share, of)
-        last, gone = gone, settle(gone.unionByName(late).distinct(), "removed")
-        discard(last, late)
-    discard(met, sets, probes, marks)
-    return gone
+        gone.append(_settled_by_sets(open_, probes, source, reduce(DataFrame.unionByName, sets), rarity, share, of))
+    discard(met, *sets, probes, marks)
+    return reduce(DataFrame.unionByName, gone)
 
 
 def deduplicate(documents: DataFrame, key: str = "doc_id", text: str = "text", share: int = 80, of: int = 100) -> DataFrame:

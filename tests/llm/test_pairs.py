@@ -171,6 +171,86 @@ def test_line_dedup_keeps_first_lines(spark, docs, monkeypatch, run, few, many,
         assert found[i].text == (t if not removed else "\n".join(kept))
 
 
+def test_line_dedup_signs_the_documents_once(spark, monkeypatch):
+    """Lines with over 64 candidates, none of which matches: words are replaced by
+    others that flip the same bits. The last line matches a late one of them."""
+    import numpy as np
+
+    from itemloom.llm.words import Words
+
+    made = [f"w{i}" for i in range(60000)]
+    text = " ".join(made).encode()
+    hashes = Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), True).hashes
+    alike = [[made[i] for i in np.flatnonzero((hashes & np.uint64(255)) == b)] for b in range(5)]
+    base = [f"b{i}" for i in range(35)]
+    lines = [base + [x[i] for x in alike] for i in range(90)]
+    lines.append([f"c{i}" if i < 2 else w for i, w in enumerate(lines[80])])
+    calls, signed = [], line_dedup._signed
+    monkeypatch.setattr(line_dedup, "_signed", lambda *a: calls.append(a) or signed(*a))
+    found = line_dedup.deduplicate(table(spark, [(i, " ".join(x)) for i, x in enumerate(lines)]))
+    assert {r.doc_id for r in found.where("n_removed > 0").collect()} == {90}
+    assert len(calls) == 1
+
+
+def test_line_dedup_notes_a_pair_once(spark, monkeypatch):
+    """A line and its near copy share many of their first words, in a row; lines of
+    words that no other line has aren't handed on."""
+    line = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(line)), (2, " ".join([*line[:50], "other", *line[51:]])), (3, " ".join(f"x{i}" for i in range(40)))]
+    noted, moved, settle, signed = [], [], line_dedup.settle, line_dedup._signed
+
+    def settled(df, name):
+        out = settle(df, name)
+        noted.extend(out.where(F.col("kind").isin(line_dedup.PAIR, line_dedup.FURTHER)).collect() if name == "pairs" else ())
+        return out
+
+    def counted(*a):
+        out = signed(*a)
+        moved.extend(r.key for r in out.select("key").collect())
+        return out
+
+    monkeypatch.setattr(line_dedup, "settle", settled)
+    monkeypatch.setattr(line_dedup, "_signed", counted)
+    found = {r.doc_id: r.n_removed for r in line_dedup.deduplicate(table(spark, rows)).collect()}
+    assert found == {1: 0, 2: 1, 3: 0}
+    assert 1 <= len(noted) <= 2
+    assert 3 not in {k for x in moved for k in ([x] if isinstance(x, int) else memoryview(x).cast("q"))}
+
+
+def test_line_dedup_packs_rows_and_puts_them_in_order():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    draw = lambda n: r.integers(-(1 << 63), (1 << 63) - 1, n)
+    for rows, most in ((1, 60), (500, 60), (500, 300), (500, 9000)):
+        held = [
+            {"sign": r.choice(draw(40), rows), "before": draw(rows).view(np.uint64), "class": r.choice(draw(30), rows), "key": draw(rows), "line": np.arange(rows), "n": r.integers(1, most, rows),
+             "place": np.zeros(rows, np.int64), "hot": r.random(rows) < 0.5, "parity": draw(4 * rows).view(np.uint64).reshape(rows, 4), "dealt": draw(rows).view(np.uint64)}
+            for _ in range(2)
+        ]
+        for x in held:
+            x["parity"][x["n"] <= line_dedup.LONG, 1:] = 0
+        batch = line_dedup._packed(held, 16)
+        found = line_dedup._unpacked(batch)
+        assert batch.num_rows == len(set(found["part"].tolist())) <= 16
+        names = ["sign", "before", "class", "key", "line", "n", "place", "hot"]
+        told = lambda x, parity: sorted(zip(*(x[c].tolist() for c in names), *(p.tolist() for p in parity), strict=True))
+        whole = {c: np.concatenate([x[c] for x in held]) for c in (*names, "parity")}
+        assert told(found, [found[c] for c in line_dedup.PARITIES]) == told(whole, whole["parity"].T)
+        # Also with classes that agree in the half that is compared first.
+        for name in (whole["class"], whole["class"] >> 40 << 40 | r.integers(0, 9, 2 * rows)):
+            at = line_dedup._in_order(whole["sign"], whole["n"], name, whole["key"], whole["line"])
+            assert sorted(at.tolist()) == list(range(2 * rows))
+            group = list(zip(whole["sign"][at].tolist(), whole["n"][at].tolist(), strict=True))
+            assert group == sorted(group)
+            inner = {}
+            for i in at.tolist():
+                inner.setdefault((whole["sign"][i], whole["n"][i], name[i]), []).append((whole["key"][i], whole["line"][i]))
+            assert all(x == sorted(x) for x in inner.values())
+            runs = [(whole["sign"][i], whole["n"][i], name[i]) for i in at.tolist()]
+            assert 1 + sum(x != y for x, y in zip(runs, runs[1:], strict=False)) == len(inner)
+
+
 def brute_windows(texts):
     seen, out = set(), {}
     for i, t in texts:

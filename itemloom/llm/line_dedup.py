@@ -388,12 +388,15 @@ def _met(rows: DataFrame, share: int, of: int) -> DataFrame:
     """What comes of comparing the lines of each sign, by kind."""
     ordered = rows.repartition(shuffle_width(rows.sparkSession), "part").sortWithinPartitions("part")
 
-    def told(columns: dict[str, np.ndarray], cut: np.ndarray) -> pa.RecordBatch:
+    def told(columns: dict[str, np.ndarray], cut: np.ndarray, done: np.ndarray) -> pa.RecordBatch:
+        """Of the rows that are ``done``; empties ``columns``."""
         # Most of the rows that have a sign alone go before the sorting.
-        _, run, count = np.unique(columns["sign"], return_inverse=True, return_counts=True)
-        some = np.flatnonzero((count[run] > 1) | cut)
+        some = np.flatnonzero(done)
+        _, run, count = np.unique(columns["sign"][some], return_inverse=True, return_counts=True)
+        some = some[(count[run] > 1) | cut[some]]
         some = some[_in_order(*(columns[c][some] for c in ("sign", "n", "class", "key", "line")))]
-        columns, cut = {c: x[some] for c, x in columns.items()}, cut[some]
+        # A column's unsorted values go as soon as they are copied.
+        columns, cut = {c: columns.pop(c)[some] for c in list(columns)}, cut[some]
         copies, (earlier, later), (earlier_too, later_too), marks, stand, kept, probes = _compared(columns, cut, share, of)
         parts = [(COPY, copies), (PAIR, later), (FURTHER, later_too), (MARK, marks), (STAND, stand), (TARGET, kept)]
         own = np.concatenate([x for _, x in parts])
@@ -429,7 +432,8 @@ def _met(rows: DataFrame, share: int, of: int) -> DataFrame:
                 held.append({c: x[~done] for c, x in columns.items()} | {"part": part[~done]})
             # Rows of frequent words and of runs in pieces have others elsewhere.
             cut = columns["hot"] | np.isin(sign, split)
-            yield told({c: x[done] for c, x in columns.items()}, cut[done])
+            del sign
+            yield told(columns, cut, done)
 
         for batch in batches:
             if batch.num_rows:
